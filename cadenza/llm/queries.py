@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe
+from cadenza.llm import bpe, dac, packing
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(sql: str | None = None):
@@ -29,3 +30,13 @@ def query(sql: str | None = None):
 @query()
 def op10_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query()
+def op5_dac(spark, sf_dir):
+    return dac.read_digests(dac.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2))
+
+
+@query()
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
