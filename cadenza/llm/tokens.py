@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Chunks kept per worker; longer ones than KEPT_CHARS are not kept.
-KEPT, KEPT_CHARS = 1_000_000, 48
+KEPT, KEPT_CHARS = 500_000, 48
 #: Bytes of text encoded at once.
-AT_ONCE = 24_000_000
+AT_ONCE = 12_000_000
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
