@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, dac, packing
+from cadenza.llm import bpe, dac, fingerprints, packing, quality
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,13 @@ def op5_dac(spark, sf_dir):
 @query()
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
+
+
+@query()
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.against_edited(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_quality(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents"))
