@@ -97,6 +97,11 @@ def range_cells(df: DataFrame, column: str, rows: int, most: int = 65_536) -> tu
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + rest).cast("int"), len(cuts) + 1
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal few rows that each stand for much work over as many tasks as a shuffle has; Spark doesn't merge these."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches sorted by key, regrouped so that no key is cut: tables with the bounds of their runs of equal keys."""
     kept: list[pa.RecordBatch] = []

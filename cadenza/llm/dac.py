@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cadenza.llm.common import corpus, range_cells, scratch_path, written
+from cadenza.llm.common import corpus, range_cells, scratch_path, spread, written
 from cadenza.llm.tokens import encoded
 
 MAGIC = b"DACIDS01"
@@ -183,5 +183,5 @@ def _read(files: DataFrame, of, name: str, sql_type: str, arrow_type: pa.DataTyp
                     [pa.array(codes.doc_ids), pa.array(codes.at[:-1] + first), pa.array(np.diff(codes.at)), pa.array([of(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:])], arrow_type)],
                     ["doc_id", "start", "n_tokens", name])
 
-    dealt = starts(files).select("path", "first").repartition("path")
+    dealt = spread(starts(files).select("path", "first"), "path")
     return dealt.mapInArrow(load, f"doc_id long, start long, n_tokens long, {name} {sql_type}")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, dac, fingerprints, packing, quality
+from cadenza.llm import bpe, dac, fingerprints, packing, quality, quotes, warc
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,21 @@ def op1_fingerprints(spark, sf_dir):
 @query()
 def op9_quality(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("""
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+       payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept,
+        (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(substr(bits, CAST(5 * i + 1 AS INT), 5)::BIT::INT AS INT)], '' ORDER BY i) FROM range(32) r(i)) AS payload_digest
+      FROM (SELECT *, (SELECT string_agg(CAST((strpos('0123456789abcdef', substr(sha1(coalesce(html, '')), CAST(j AS INT), 1)) - 1)::UTINYINT::BIT AS VARCHAR)[5:8], '' ORDER BY j) FROM range(1, 41) q(j)) AS bits FROM pages))""")
+def op3_warc(spark, sf_dir):
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_quotes(spark, sf_dir):
+    d = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return d.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "n_quoted", "n_linked", "max_level", "reply_to")
