@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, dac, fingerprints, packing, quality, quotes, warc
+from cadenza.llm import bpe, chosen_path, dac, fingerprints, packing, quality, quotes, warc
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op3_warc(spark, sf_dir):
 def op2_quotes(spark, sf_dir):
     d = quotes.conversations(table(spark, sf_dir, "conversations"))
     return d.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "n_quoted", "n_linked", "max_level", "reply_to")
+
+
+@query()
+def op4_near_duplicates(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
