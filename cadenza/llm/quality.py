@@ -117,6 +117,6 @@ def verdicts(docs: DataFrame, least: int = 100) -> DataFrame:
 
 
 def filtered(docs: DataFrame, least: int = 100) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns; rows with one doc_id stay if one of them is kept."""
     keep = verdicts(docs, least).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")

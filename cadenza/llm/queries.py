@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, chosen_path, dac, fingerprints, packing, quality, quotes, warc
+from cadenza.llm import bpe, chosen_path, dac, fingerprints, langid, packing, quality, quotes, toxicity, warc
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,14 @@ def op2_quotes(spark, sf_dir):
 @query()
 def op4_near_duplicates(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
+@query()
+def op6_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
