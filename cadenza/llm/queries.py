@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, chosen_path, dac, fingerprints, langid, packing, quality, quotes, toxicity, warc
+from cadenza.llm import bpe, chosen_path, dac, fingerprints, langid, packing, quality, quality_sql, quotes, toxicity, warc
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,9 +47,10 @@ def op1_fingerprints(spark, sf_dir):
     return fingerprints.against_edited(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(quality_sql.oracle())
 def op9_quality(spark, sf_dir):
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("""
