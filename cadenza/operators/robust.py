@@ -1,0 +1,151 @@
+"""Robust fits within a group: lines, circular modes, lattices and thresholds.
+
+A group is a page or a sweep, tens of points; fits over pairs of points take one group at a time. Everything that can be
+said as a sum, a histogram or a median is, and is combined before it is shuffled.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+
+def theil_sen_line(t: np.ndarray, x: np.ndarray, most: int = 60) -> tuple[float, float] | None:
+    """Slope and intercept: the median slope of all pairs of at most `most` evenly spaced points, then the median rest."""
+    if len(t) > most:
+        pick = np.linspace(0, len(t) - 1, most).astype(int)
+        t, x = t[pick], x[pick]
+    i, j = np.triu_indices(len(t), 1)
+    dt = t[j] - t[i]
+    if not (np.abs(dt) > 1e-9).any():
+        return None
+    use = np.abs(dt) > 1e-9
+    slope = float(np.median((x[j] - x[i])[use] / dt[use]))
+    return slope, float(np.median(x - slope * t))
+
+
+def _grouped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, f) -> DataFrame:
+    kinds = dict(df.dtypes)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = f(pdf.sort_values(order, kind="stable"))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        for i, k in reversed(list(enumerate(keys))):
+            out.insert(0, k, key[i])
+        return out
+
+    full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
+    return df.select(*dict.fromkeys([*keys, *order, *columns])).groupBy(*keys).applyInPandas(run, full)
+
+
+def theil_sen(df: DataFrame, keys: list[str], t: str, x: str, most: int = 60) -> DataFrame:
+    """keys, slope, intercept, n of every group with two different times."""
+
+    def fit(p: pd.DataFrame) -> list[tuple]:
+        p = p.dropna()
+        line = theil_sen_line(p[t].to_numpy(float), p[x].to_numpy(float), most)
+        return [(*line, len(p))] if line else []
+
+    return _grouped(df, keys, [t, x], [t, x], "slope double, intercept double, n long", fit)
+
+
+def theil_sen_pairs(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
+    """As theil_sen over all points, with joins and medians alone; for groups small enough to pair."""
+    a = df.select(*keys, F.col(t).alias("t0"), F.col(x).alias("x0"))
+    b = df.select(*keys, F.col(t).alias("t1"), F.col(x).alias("x1"))
+    slope = a.join(b, keys).where("t1 > t0").groupBy(*keys).agg(F.median((F.col("x1") - F.col("x0")) / (F.col("t1") - F.col("t0"))).alias("slope"))
+    return df.join(slope, keys).groupBy(*keys, "slope").agg(F.median(F.col(x) - F.col("slope") * F.col(t)).alias("intercept"), F.count("*").alias("n"))
+
+
+def ransac_lines(df: DataFrame, keys: list[str], t: str, x: str, tolerance: float, most: int = 2, least: int = 4) -> DataFrame:
+    """keys, line, slope, intercept, inliers: up to `most` lines, each through the pair of points that most of the points
+    not yet used lie near; lines of fewer than `least` points are left."""
+
+    def fit(p: pd.DataFrame) -> list[tuple]:
+        ts, xs, out = p[t].to_numpy(float), p[x].to_numpy(float), []
+        while len(out) < most and len(ts) >= least:
+            i, j = np.triu_indices(len(ts), 1)
+            use = np.abs(ts[j] - ts[i]) > 1e-9
+            i, j = i[use], j[use]
+            if not len(i):
+                break
+            s = (xs[j] - xs[i]) / (ts[j] - ts[i])
+            near = np.abs(xs[None] - (xs[i] - s * ts[i])[:, None] - s[:, None] * ts[None]) <= tolerance
+            best = int(near.sum(1).argmax())
+            if near[best].sum() < least:
+                break
+            line = theil_sen_line(ts[near[best]], xs[near[best]])
+            out.append((len(out), *line, int(near[best].sum())))
+            ts, xs = ts[~near[best]], xs[~near[best]]
+        return out
+
+    return _grouped(df, keys, [t, x], [t, x], "line int, slope double, intercept double, inliers long", fit)
+
+
+def circular_mode(df: DataFrame, keys: list[str], value: str, size: int = 180, half: int = 6) -> DataFrame:
+    """keys, mode, weight: the whole number of a circle with the most values within `half` of it; of equal ones the least."""
+    h = df.groupBy(*keys, F.pmod(F.col(value), F.lit(size)).cast("int").alias("_v")).agg(F.count("*").alias("_n"))
+    h = h.select(*keys, F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_o"), "_v", "_n")
+    w = h.groupBy(*keys, F.pmod(F.col("_v") + F.col("_o"), F.lit(size)).alias("mode")).agg(F.sum("_n").alias("weight"))
+    return w.groupBy(*keys).agg(F.min(F.struct(-F.col("weight"), F.col("mode").alias("m"))).alias("_b")).select(*keys, F.col("_b.m").alias("mode"), (-F.col("_b.col1")).alias("weight"))
+
+
+def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high: float = 13.0, step: float = 0.02, tolerance: float = 2.0) -> DataFrame:
+    """keys, spacing, phase, score: the row spacing for which most values lie within `tolerance` of a lattice whose phase
+    is their circular mean; score adds a quarter of the mean resultant to the share of inliers."""
+
+    def fit(p: pd.DataFrame) -> list[tuple]:
+        ys = p[y].to_numpy(float)
+        a = np.arange(low, high, step)
+        angle = 2 * np.pi * ys[None] / a[:, None]
+        c, s = np.cos(angle).mean(1), np.sin(angle).mean(1)
+        phase = np.mod(np.arctan2(s, c) / (2 * np.pi), 1) * a
+        rest = np.abs(np.mod(ys[None] - phase[:, None] + a[:, None] / 2, a[:, None]) - a[:, None] / 2)
+        score = (rest <= tolerance).mean(1) + 0.25 * np.hypot(c, s)
+        i = int(score.argmax())
+        return [(float(a[i]), float(phase[i]), float(score[i]))]
+
+    return _grouped(df, keys, [y], [y], "spacing double, phase double, score double", fit)
+
+
+def lattice_rest(y: Column, spacing: Column | float, phase: Column | float) -> Column:
+    """How far a place is from the nearest row of a lattice."""
+    s = F.lit(spacing) if isinstance(spacing, float) else spacing
+    return F.abs(F.pmod(y - phase + s / 2, s) - s / 2)
+
+
+def lattice_row(y: Column, spacing: Column | float, phase: Column | float) -> Column:
+    """The row of a place, upwards; halves go to the even row."""
+    return (-F.rint((y - phase) / spacing)).cast("int")
+
+
+def hue_distance(a: Column, b: Column | int, size: int = 180) -> Column:
+    d = F.pmod(a - b, F.lit(size))
+    return F.least(d, size - d)
+
+
+def near_median(df: DataFrame, keys: list[str], value: str, within: float) -> DataFrame:
+    """Rows whose value is at most `within` from the median of their keys."""
+    m = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    return df.join(m, keys).where(F.abs(F.col(value) - F.col("_m")) <= within).drop("_m")
+
+
+def mad_threshold(df: DataFrame, keys: list[str], value: str, times: float = 6.0, least: float = 0.8) -> DataFrame:
+    """keys, threshold: the median and the greater of `times` the median deviation from it and `least`."""
+    m = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    return df.join(m, keys).groupBy(*keys).agg((F.first("_m") + F.greatest(times * F.median(F.abs(F.col(value) - F.col("_m"))), F.lit(least))).alias("threshold"))
+
+
+def extremes_consistent(df: DataFrame, keys: list[str], kind: str, row: str, half: int = 1) -> DataFrame:
+    """df with consistent: whether a row lies within `half` of the commonest row of its kind (ties: the least row)."""
+    counts = df.groupBy(*keys, kind, row).agg(F.count("*").alias("_n"))
+    mode = counts.groupBy(*keys, kind).agg(F.min(F.struct(-F.col("_n"), F.col(row).alias("r"))).alias("_b")).select(*keys, kind, F.col("_b.r").alias("_mode"))
+    return df.join(mode, [*keys, kind]).withColumn("consistent", F.abs(F.col(row) - F.col("_mode")) <= half).drop("_mode")
+
+
+def best_hypothesis(scores: DataFrame, keys: list[str], hypothesis: str, score: str) -> DataFrame:
+    """keys, hypothesis, score, margin over the next best; ties go to the least hypothesis."""
+    w = W.partitionBy(*keys).orderBy(F.desc(score), hypothesis)
+    d = scores.withColumns({"_rn": F.row_number().over(w), "margin": F.col(score) - F.lead(score).over(w)})
+    return d.where("_rn = 1").drop("_rn")
