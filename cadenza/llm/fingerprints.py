@@ -31,7 +31,9 @@ def vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     some of the keys, no row moves."""
     d = df.select(*keys, F.split(text, "\n").alias("_paragraphs"), F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)).alias("_blocks"))
     lane = lambda i: F.aggregate("_paragraphs", F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(M62))).bitwiseAND(F.lit(M62)))
-    d = d.select(*keys, F.array(*[lane(i) for i in range(STRONG)], F.size("_paragraphs").cast("long")).alias("_strong"), F.explode_outer("_blocks").alias("_block"))
+    # a step of its own: beside explode it would be evaluated for every block
+    d = d.select(*keys, F.array(*[lane(i) for i in range(STRONG)], F.size("_paragraphs").cast("long")).alias("_strong"), "_blocks")
+    d = d.select(*keys, "_strong", F.explode_outer("_blocks").alias("_block"))
     d = d.select(*keys, "_strong", F.col("_block").isNotNull().cast("long").alias("_one"), *[F.when(F.col("_block").isNotNull(), F.xxhash64(F.lit(STRONG + i), "_block")).alias(f"_h{i}") for i in range(HASHES)])
     sums = [F.sum(F.shiftright(f"_h{i}", j).bitwiseAND(F.lit(PAIR))).alias(f"_s{i}_{j}") for i in range(HASHES) for j in range(PER_HASH)]
     d = d.groupBy(*keys, "_strong").agg(F.sum("_one").alias("_n"), *sums)
