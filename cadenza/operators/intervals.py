@@ -5,9 +5,9 @@ last_wins is declarative. The greedy folds depend on the order of their rows and
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cadenza.operators.folds import fold_groups
 from cadenza.operators.sequence import by, islands
 
 
@@ -38,18 +38,6 @@ def undo_splits(df: DataFrame, keys: list[str], exact: list[str], start: str, en
     return df.groupBy(*keys, *exact).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"))
 
 
-def _fold(df: DataFrame, keys: list[str], columns: list[str], schema: str, f) -> DataFrame:
-    kinds = dict(df.dtypes)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(f(pdf.to_dict("records")), columns=[c.split()[0] for c in schema.split(", ")])
-        for i, k in reversed(list(enumerate(keys))):
-            out.insert(0, k, key[i])
-        return out
-
-    return df.select(*dict.fromkeys([*keys, *columns])).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
-
-
 def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start: str, end: str, slack: float = 0.02) -> DataFrame:
     """keys, ident of what isn't contained in a longer kept interval of one pitch, up to slack at either end."""
 
@@ -60,7 +48,7 @@ def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start
                 kept.setdefault(r[pitch], []).append(r)
         return [(r[ident],) for rs in kept.values() for r in rs]
 
-    return _fold(df, keys, [ident, pitch, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold)
+    return fold_groups(df, keys, [ident, pitch, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold)
 
 
 def suppress_overlaps(df: DataFrame, keys: list[str], ident: str, prefer: list[tuple[str, bool]], start: str, end: str, share: float = 0.3) -> DataFrame:
@@ -74,7 +62,7 @@ def suppress_overlaps(df: DataFrame, keys: list[str], ident: str, prefer: list[t
                 kept.append(r)
         return [(r[ident],) for r in kept]
 
-    return _fold(df, keys, [ident, start, end, *(c for c, _ in prefer)], f"{ident} {dict(df.dtypes)[ident]}", fold)
+    return fold_groups(df, keys, [ident, start, end, *(c for c, _ in prefer)], f"{ident} {dict(df.dtypes)[ident]}", fold)
 
 
 def cluster_bars(df: DataFrame, keys: list[str], order: list[str], dy: float = 4.0, d0: float = 6.0, d1: float = 8.0) -> DataFrame:
@@ -93,7 +81,7 @@ def cluster_bars(df: DataFrame, keys: list[str], order: list[str], dy: float = 4
                 found.append([float(r["x0"]), float(r["x1"]), float(r["cy"]), 1])
         return [(i, *c) for i, c in enumerate(found)]
 
-    return _fold(df, keys, [*order, "x0", "x1", "cy"], "cluster int, x0 double, x1 double, cy double, seen long", fold)
+    return fold_groups(df, keys, [*order, "x0", "x1", "cy"], "cluster int, x0 double, x1 double, cy double, seen long", fold)
 
 
 def track(df: DataFrame, keys: list[str], frame: str, dy: float = 12.0, gap: int = 20, overlap: float = 0.5) -> DataFrame:
@@ -117,4 +105,4 @@ def track(df: DataFrame, keys: list[str], frame: str, dy: float = 12.0, gap: int
                 best |= {"last": r[frame], "x1": max(best["x1"], r["x1"]), "cy": 0.7 * best["cy"] + 0.3 * r["cy"], "hits": best["hits"] + 1}
         return [(i, t["first"], t["last"], float(t["x0"]), float(t["x1"]), t["cy"], t["hits"]) for i, t in enumerate(sorted(done + live, key=lambda t: (t["first"], t["cy"], t["x0"])))]
 
-    return _fold(df, keys, [frame, "x0", "x1", "cy"], "track int, first_f long, last_f long, x0 double, x1 double, cy double, hits long", fold)
+    return fold_groups(df, keys, [frame, "x0", "x1", "cy"], "track int, first_f long, last_f long, x0 double, x1 double, cy double, hits long", fold)

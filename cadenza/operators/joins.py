@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cadenza.operators.folds import fold_groups
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], span: float | None = None, forward: bool = False) -> DataFrame:
     """left with `take` of the last right row of its keys at or before `at` (forward: the first one at or after).
@@ -89,20 +90,16 @@ def positional(results: DataFrame, array: Column, targets: DataFrame, keys: list
 def greedy_overlap(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], l_id: str, r_id: str) -> DataFrame:
     """keys, l_id, r_id, overlap: every left row, in the order of its start, takes the unused right row that it overlaps
     most (ties: the least r_id). One group of keys is a page or a song: a bounded number of rows."""
-    lk = left.select(*keys, F.col(l_id).alias("_l"), F.col(l[0]).cast("double").alias("_a"), F.col(l[1]).cast("double").alias("_b"))
-    rk = right.select(*keys, F.col(r_id).alias("_r"), F.col(r[0]).cast("double").alias("_c"), F.col(r[1]).cast("double").alias("_d"))
-    kinds = dict(lk.dtypes) | dict(rk.dtypes)
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, free = [], b.sort_values("_r")[["_r", "_c", "_d"]].values.tolist()
-        for i, s, e in a.sort_values(["_a", "_l"])[["_l", "_a", "_b"]].values.tolist():
-            best = max(((min(e, d) - max(s, c), -k) for k, (_, c, d) in enumerate(free)), default=(0, 0))
+    side = lambda d, i, i_id, ab: d.select(*keys, F.lit(i).alias("_side"), F.col(i_id).alias("_id"), F.col(ab[0]).cast("double").alias("_a"), F.col(ab[1]).cast("double").alias("_b"))
+    both = side(left, 0, l_id, l).unionByName(side(right, 1, r_id, r))
+
+    def match(rows: list[dict]) -> list[tuple]:
+        free = sorted((x["_id"], x["_a"], x["_b"]) for x in rows if x["_side"])
+        out = []
+        for x in sorted((x for x in rows if not x["_side"]), key=lambda x: (x["_a"], x["_id"])):
+            best = max(((min(x["_b"], d) - max(x["_a"], c), -k) for k, (_, c, d) in enumerate(free)), default=(0, 0))
             if best[0] > 0:
-                out.append((i, free.pop(-best[1])[0], best[0]))
-        got = pd.DataFrame(out, columns=[l_id, r_id, "overlap"])
-        for k in reversed(keys):
-            got.insert(0, k, a[k].iloc[0] if len(a) else b[k].iloc[0])
-        return got
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {l_id} {kinds['_l']}, {r_id} {kinds['_r']}, overlap double"
-    return lk.groupBy(*keys).cogroup(rk.groupBy(*keys)).applyInPandas(match, schema)
+                out.append((x["_id"], free.pop(-best[1])[0], best[0]))
+        return out
+
+    return fold_groups(both, keys, ["_side", "_id", "_a", "_b"], f"{l_id} {dict(left.dtypes)[l_id]}, {r_id} {dict(right.dtypes)[r_id]}, overlap double", match)

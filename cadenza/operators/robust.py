@@ -7,9 +7,10 @@ said as a sum, a histogram or a median is, and is combined before it is shuffled
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cadenza.operators.folds import fold_groups
+
 
 def theil_sen_line(t: np.ndarray, x: np.ndarray, most: int = 60) -> tuple[float, float] | None:
     """Slope and intercept: the median slope of all pairs of at most `most` evenly spaced points, then the median rest."""
@@ -25,29 +26,22 @@ def theil_sen_line(t: np.ndarray, x: np.ndarray, most: int = 60) -> tuple[float,
     return slope, float(np.median(x - slope * t))
 
 
-def _grouped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, f) -> DataFrame:
-    kinds = dict(df.dtypes)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = f(pdf.sort_values(order, kind="stable"))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        for i, k in reversed(list(enumerate(keys))):
-            out.insert(0, k, key[i])
-        return out
-
-    full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
-    return df.select(*dict.fromkeys([*keys, *order, *columns])).groupBy(*keys).applyInPandas(run, full)
+def _points(rows: list[dict], t: str, x: str) -> tuple[np.ndarray, np.ndarray]:
+    """The points of a group in order, without nulls."""
+    p = sorted((float(r[t]), float(r[x])) for r in rows if r[t] is not None and r[x] is not None)
+    a = np.array(p, float).reshape(-1, 2)
+    return a[:, 0], a[:, 1]
 
 
 def theil_sen(df: DataFrame, keys: list[str], t: str, x: str, most: int = 60) -> DataFrame:
     """keys, slope, intercept, n of every group with two different times."""
 
-    def fit(p: pd.DataFrame) -> list[tuple]:
-        p = p.dropna()
-        line = theil_sen_line(p[t].to_numpy(float), p[x].to_numpy(float), most)
-        return [(*line, len(p))] if line else []
+    def fit(rows: list[dict]) -> list[tuple]:
+        ts, xs = _points(rows, t, x)
+        line = theil_sen_line(ts, xs, most)
+        return [(*line, len(ts))] if line else []
 
-    return _grouped(df, keys, [t, x], [t, x], "slope double, intercept double, n long", fit)
+    return fold_groups(df, keys, [t, x], "slope double, intercept double, n long", fit)
 
 
 def theil_sen_pairs(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
@@ -62,8 +56,8 @@ def ransac_lines(df: DataFrame, keys: list[str], t: str, x: str, tolerance: floa
     """keys, line, slope, intercept, inliers: up to `most` lines, each through the pair of points that most of the points
     not yet used lie near; lines of fewer than `least` points are left."""
 
-    def fit(p: pd.DataFrame) -> list[tuple]:
-        ts, xs, out = p[t].to_numpy(float), p[x].to_numpy(float), []
+    def fit(rows: list[dict]) -> list[tuple]:
+        (ts, xs), out = _points(rows, t, x), []
         while len(out) < most and len(ts) >= least:
             i, j = np.triu_indices(len(ts), 1)
             use = np.abs(ts[j] - ts[i]) > 1e-9
@@ -80,7 +74,7 @@ def ransac_lines(df: DataFrame, keys: list[str], t: str, x: str, tolerance: floa
             ts, xs = ts[~near[best]], xs[~near[best]]
         return out
 
-    return _grouped(df, keys, [t, x], [t, x], "line int, slope double, intercept double, inliers long", fit)
+    return fold_groups(df, keys, [t, x], "line int, slope double, intercept double, inliers long", fit)
 
 
 def circular_mode(df: DataFrame, keys: list[str], value: str, size: int = 180, half: int = 6) -> DataFrame:
@@ -95,18 +89,22 @@ def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high:
     """keys, spacing, phase, score: the row spacing for which most values lie within `tolerance` of a lattice whose phase
     is their circular mean; score adds a quarter of the mean resultant to the share of inliers."""
 
-    def fit(p: pd.DataFrame) -> list[tuple]:
-        ys = p[y].to_numpy(float)
+    def fit(rows: list[dict]) -> list[tuple]:
+        ys = np.array(sorted(r[y] for r in rows if r[y] is not None), float)
+        if not len(ys):
+            return []
+        ys, n = np.unique(ys, return_counts=True)  # few rows, many bars
+        n = n / n.sum()
         a = np.arange(low, high, step)
         angle = 2 * np.pi * ys[None] / a[:, None]
-        c, s = np.cos(angle).mean(1), np.sin(angle).mean(1)
+        c, s = np.cos(angle) @ n, np.sin(angle) @ n
         phase = np.mod(np.arctan2(s, c) / (2 * np.pi), 1) * a
         rest = np.abs(np.mod(ys[None] - phase[:, None] + a[:, None] / 2, a[:, None]) - a[:, None] / 2)
-        score = (rest <= tolerance).mean(1) + 0.25 * np.hypot(c, s)
+        score = (rest <= tolerance) @ n + 0.25 * np.hypot(c, s)
         i = int(score.argmax())
         return [(float(a[i]), float(phase[i]), float(score[i]))]
 
-    return _grouped(df, keys, [y], [y], "spacing double, phase double, score double", fit)
+    return fold_groups(df, keys, [y], "spacing double, phase double, score double", fit)
 
 
 def lattice_rest(y: Column, spacing: Column | float, phase: Column | float) -> Column:

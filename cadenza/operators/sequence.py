@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cadenza.operators.folds import fold_groups
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], new: Column, name: str = "island") -> DataFrame:
     """Number the stretches of a key's rows; a row for which `new` holds begins one. `new` may use lag() over by(keys, order)."""
@@ -54,28 +55,23 @@ def anchored_sessions(df: DataFrame, keys: list[str], at: str, width: float, lea
     """keys, at, n: windows that hold what lies within `width` of their first row; those of `least` rows stay, at their
     last row's place, and of two less than `apart` from each other the later one. A window begins at a row, not at a gap,
     so this goes row by row within a key."""
-    schema = df.select(*keys, at).schema
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         found: list[list] = []
-        for x in pdf[at].sort_values():
+        for x in sorted(r[at] for r in rows if r[at] is not None):
             if found and x - found[-1][0] <= width:
                 found[-1][1:] = [x, found[-1][2] + 1]
             else:
                 found.append([x, x, 1])
-        kept: list[list] = []
+        kept: list[tuple] = []
         for _, end, n in found:
             if n < least:
                 continue
             if kept and end - kept[-1][0] < apart:
                 kept.pop()
-            kept.append([end, n])
-        out = pd.DataFrame(kept, columns=[at, "n"])
-        for i, k in reversed(list(enumerate(keys))):
-            out.insert(0, k, key[i])
-        return out
+            kept.append((end, n))
+        return kept
 
-    return df.select(*keys, at).groupBy(*keys).applyInPandas(fold, schema.add("n", "long"))
+    return fold_groups(df, keys, [at], f"{at} {dict(df.dtypes)[at]}, n long", fold)
 
 
 def refractory_edges(df: DataFrame, keys: list[str], frame: str, hot: Column, gap: int) -> DataFrame:

@@ -11,20 +11,20 @@ from cadenza.plans.views import NOTES, notes, table
 
 @query(f"""
 WITH {NOTES}, s AS (SELECT a.song_id, median((b.x0 - a.x0) / (b.t_start - a.t_start)) AS slope FROM notes a JOIN notes b ON a.song_id = b.song_id AND b.t_start > a.t_start GROUP BY 1)
-SELECT song_id, round(slope, 6) AS slope, round(median(x0 - slope * t_start), 6) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
+SELECT song_id, round(slope, 3) AS slope, round(median(x0 - slope * t_start), 3) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
 def sweep_lines(spark, sf_dir):
     """The robust line of place over time of every song: median slope of all pairs, then median rest."""
     d = R.theil_sen(notes(spark, sf_dir), ["song_id"], "t_start", "x0")
-    return d.select("song_id", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
+    return d.select("song_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
 @query(f"""
 WITH {NOTES}, s AS (SELECT a.song_id, median((b.x0 - a.x0) / (b.t_start - a.t_start)) AS slope FROM notes a JOIN notes b ON a.song_id = b.song_id AND b.t_start > a.t_start GROUP BY 1)
-SELECT song_id, round(slope, 6) AS slope, round(median(x0 - slope * t_start), 6) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
+SELECT song_id, round(slope, 3) AS slope, round(median(x0 - slope * t_start), 3) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
 def sweep_lines_by_join(spark, sf_dir):
     """The same lines with a self-join of each song's few notes."""
     d = R.theil_sen_pairs(notes(spark, sf_dir), ["song_id"], "t_start", "x0")
-    return d.select("song_id", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
+    return d.select("song_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
 @query()
@@ -71,10 +71,10 @@ def event_thresholds(spark, sf_dir):
 
 
 @query(f"""
-WITH {NOTES} SELECT page, round(quantile_cont(x0, 0.05), 6) AS p05, round(quantile_cont(x0, 0.5), 6) AS p50, round(quantile_cont(x0, 0.9), 6) AS p90, round(avg(CASE WHEN x0 < 100 THEN 1.0 ELSE 0.0 END), 6) AS below FROM notes GROUP BY 1""")
+WITH {NOTES} SELECT page, round(quantile_cont(x0, 0.05), 3) AS p05, round(quantile_cont(x0, 0.5), 3) AS p50, round(quantile_cont(x0, 0.9), 3) AS p90, round(avg(CASE WHEN x0 < 100 THEN 1.0 ELSE 0.0 END), 6) AS below FROM notes GROUP BY 1""")
 def place_percentiles(spark, sf_dir):
     """Percentiles of the places by page number, and the share below 100."""
-    p = lambda q: F.round(F.percentile("x0", F.lit(q)), 6)
+    p = lambda q: F.round(F.percentile("x0", F.lit(q)), 3)
     return notes(spark, sf_dir).groupBy("page").agg(p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.avg((F.col("x0") < 100).cast("double")), 6).alias("below"))
 
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from cadenza.plans import boards, fits, matches, stats  # noqa: E402, F401  registers their queries
+from cadenza.plans import boards, fits, live, matches, snapshots, stats, texts  # noqa: E402, F401  registers their queries
