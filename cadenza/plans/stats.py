@@ -228,8 +228,8 @@ def filled_pages(spark, sf_dir):
 
 
 @query(f"""
-WITH {NOTES}, a AS (SELECT song_id, list(x0 ORDER BY pos) AS xs FROM notes GROUP BY 1) SELECT song_id, round(list_reduce(xs, lambda a, x: 0.7::DOUBLE * a + (1 - 0.7::DOUBLE) * x), 3) AS centre FROM a""")
+WITH {NOTES}, a AS (SELECT song_id, list(x0 ORDER BY pos) AS xs FROM notes GROUP BY 1) SELECT song_id, round(list_reduce(xs, lambda a, x: 0.7::DOUBLE * a + (1 - 0.7::DOUBLE) * x), 10) AS centre FROM a""")
 def smoothed_centre(spark, sf_dir):
     """The exponential mean of the places of a song's notes."""
     a = notes(spark, sf_dir).groupBy("song_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x0"))), lambda s: s["x0"]).alias("xs"))
-    return a.select("song_id", F.round(S.ema(F.col("xs")), 3).alias("centre"))
+    return a.select("song_id", F.round(S.ema(F.col("xs")), 10).alias("centre"))
