@@ -17,7 +17,7 @@ WS = r"[\x20\x09-\x0D]"
 
 #: The measures and how far beyond the fence a value may lie, whatever the group: symbols, repeated lines, words in
 #: repeated windows, words like the one before and capitals per thousand, mean word length in hundredths of a character.
-SLACK = {"m_symbols": 150, "m_dup_lines": 400, "m_repeats": 250, "m_stutters": 150, "m_capitals": 250, "m_word_length": 300}
+SLACK = {"m_symbols": 150, "m_dup_lines": 400, "m_repeats": 300, "m_stutters": 150, "m_capitals": 250, "m_word_length": 300}
 
 
 def measures(docs: DataFrame) -> DataFrame:

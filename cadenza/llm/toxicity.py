@@ -221,7 +221,7 @@ def learn_lexicon(sampled: DataFrame, most: int = LEXICON) -> Lexicon:
     if not bad or not good:
         return Lexicon()
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    least = max(3, bad // 100)
+    least = max(3, bad // 50)  # rarer words come with copies of single documents
     rank = lambda t: t.withColumn("w", odds).where((F.col("bad") >= least) & (F.col("bad") >= 10 * F.col("good")) & (F.col("w") > 2)).orderBy(F.desc("bad"), "word").limit(most)
     weights = {r.word: float(r.w) for r in rank(d).collect()}
     stems = d.select(F.explode(F.transform(F.array(F.lit(4), F.lit(5), F.lit(6)), lambda k: F.when(F.length("word") > k, F.substring("word", F.lit(1), k)))).alias("word"), "bad", "good")
