@@ -78,7 +78,7 @@ def refractory_edges(df: DataFrame, keys: list[str], frame: str, hot: Column, ga
     """Rows that are hot, the first of every stretch whose hot rows are at most `gap` apart."""
     d = df.where(hot)
     before = F.lag(frame).over(by(keys, [frame]))
-    return d.where(True).withColumn("_before", before).where(F.col("_before").isNull() | (F.col(frame) - F.col("_before") > gap)).drop("_before")
+    return d.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(frame) - F.col("_before") > gap)).drop("_before")
 
 
 def trim_to_next(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, before: float = 0.01, least: float = 0.05) -> DataFrame:

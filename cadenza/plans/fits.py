@@ -11,20 +11,20 @@ from cadenza.plans.views import NOTES, notes, table
 
 @query(f"""
 WITH {NOTES}, s AS (SELECT a.song_id, median((b.x0 - a.x0) / (b.t_start - a.t_start)) AS slope FROM notes a JOIN notes b ON a.song_id = b.song_id AND b.t_start > a.t_start GROUP BY 1)
-SELECT song_id, round(slope, 3) AS slope, round(median(x0 - slope * t_start), 3) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
+SELECT song_id, round(slope, 9) AS slope, round(median(x0 - slope * t_start), 9) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
 def sweep_lines(spark, sf_dir):
     """The robust line of place over time of every song: median slope of all pairs, then median rest."""
     d = R.theil_sen(notes(spark, sf_dir), ["song_id"], "t_start", "x0")
-    return d.select("song_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+    return d.select("song_id", F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"), "n")
 
 
 @query(f"""
 WITH {NOTES}, s AS (SELECT a.song_id, median((b.x0 - a.x0) / (b.t_start - a.t_start)) AS slope FROM notes a JOIN notes b ON a.song_id = b.song_id AND b.t_start > a.t_start GROUP BY 1)
-SELECT song_id, round(slope, 3) AS slope, round(median(x0 - slope * t_start), 3) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
+SELECT song_id, round(slope, 9) AS slope, round(median(x0 - slope * t_start), 9) AS intercept, count(*) AS n FROM notes JOIN s USING (song_id) GROUP BY song_id, slope""")
 def sweep_lines_by_join(spark, sf_dir):
     """The same lines with a self-join of each song's few notes."""
     d = R.theil_sen_pairs(notes(spark, sf_dir), ["song_id"], "t_start", "x0")
-    return d.select("song_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+    return d.select("song_id", F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"), "n")
 
 
 @query()
