@@ -26,6 +26,8 @@ from cadenza.llm.tokens import encoded
 
 MAGIC = b"DACIDS01"
 BLOCK = 512
+#: Stands for a null doc_id in a file.
+NULL_ID = -(1 << 63)
 
 
 def _padded(x: np.ndarray) -> bytes:
@@ -102,8 +104,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None, rows: int
     n_tokens. (cell, part) is the order of the files.
 
     Documents are dealt by ranges of doc_id, about `rows` in each, and sorted; a file is closed after file_bytes of
-    text, so a range of many or long documents takes several. Null texts are empty (the end id alone); rows with one
-    doc_id stay apart, next to each other. An attempt of a task writes under names of its own and only the files of the
+    text, so a range of many or long documents takes several. Null texts are empty (the end id alone); null ids come first
+    and are read back as null; rows with one doc_id stay apart, next to each other. An attempt of a task writes under names of its own and only the files of the
     attempt that Spark took are listed. Columns other than doc_id and text are left out; an empty table has no file.
     """
     spark = docs.sparkSession
@@ -126,7 +128,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None, rows: int
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             name = f"{now:06d}-{part:04d}-{uuid.uuid4().hex[:8]}.dac"
             with store.open_output_stream(f"{root}/{name}") as f:
-                f.write(dump(whole.column("doc_id").to_numpy(zero_copy_only=False), at, np.concatenate(ids)))
+                f.write(dump(pc.fill_null(whole.column("doc_id"), NULL_ID).to_numpy(), at, np.concatenate(ids)))
             return pa.RecordBatch.from_pydict({"cell": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [whole.num_rows], "n_tokens": [int(at[-1])]})
 
         for batch in batches:
@@ -180,7 +182,7 @@ def _read(files: DataFrame, of, name: str, sql_type: str, arrow_type: pa.DataTyp
                 at = codes.at.tolist()
                 raw = codes.slice(0, codes.tokens).astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes.doc_ids), pa.array(codes.at[:-1] + first), pa.array(np.diff(codes.at)), pa.array([of(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:])], arrow_type)],
+                    [pa.array(codes.doc_ids, mask=codes.doc_ids == NULL_ID), pa.array(codes.at[:-1] + first), pa.array(np.diff(codes.at)), pa.array([of(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:])], arrow_type)],
                     ["doc_id", "start", "n_tokens", name])
 
     dealt = spread(starts(files).select("path", "first"), "path")

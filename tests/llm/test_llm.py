@@ -400,6 +400,27 @@ def test_automata_find_what_edit_distance_finds():
         assert (got - 1) % 4 == want if got else want is None, w
 
 
+# ---- nulls in every column
+
+
+def test_null_ids(spark):
+    data = [(None, BASE), (None, None), (3, BASE), (4, "a b c"), (2**62 + 1, "d e f " * 30), (None, "z")]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None, None, None, None, None) for i, t in data], SCHEMA)
+    n = len(data)
+    assert fingerprints.against_edited(d, rows=2).count() == n and bpe.round_trip_digests(d, BYTE).count() == n
+    got = dac.read_digests(dac.write(d, BYTE, end_id=2, rows=2)).collect()
+    assert sorted((r.doc_id or -1) for r in got) == [-1, -1, -1, 3, 4, 2**62 + 1] and min(r.start for r in got) == 0
+    near = chosen_path.near_duplicates(d).collect()
+    assert len(near) == n and {r.component_id for r in near if r.n_shingles == 18} <= {3, None}
+    assert len({(r.doc_id, r.piece) for r in packing.pack(d, WORD).collect()}) == 4
+    assert langid.identify(d).count() == n and quality.verdicts(d).count() == n and quality.filtered(d).count() <= n
+    labels = spark.createDataFrame([(None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(d, toxicity.fit(d, labels)).count() == n and toxicity.filtered(d, labels).columns == d.columns
+    pages = spark.createDataFrame([(None, None, None), (None, "u", "x"), (4, None, "x")], "page_id long, url string, html string")
+    found = warc.read(warc.write(pages)).collect()
+    assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in found) == [(-1, "response", None), (-1, "revisit", 4), (4, "response", None)]
+
+
 # ---- pipeline
 
 
