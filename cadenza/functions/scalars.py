@@ -73,13 +73,17 @@ def _part(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+# The forms of a karaoke video's title, of the English part in it, and of what may follow the artist.
+TITLE = r"^【カラオケ練習用】([^／]+)／([^｜|]+)[｜|]\s*(.*)"
+ENGLISH = r"^\[(?:Videoke|Karaoke)\]\s*([^-]+?)\s*-\s*(.+)"
+AFTER_ARTIST = r"\s*-\s*カラオケ@DIVA.*$"
+
+
 def title_parts(title: Column) -> Column:
     """title_jp, artist_jp, english_part, title_en, artist_en of a karaoke video's title; null where it has another form."""
-    whole = r"^【カラオケ練習用】([^／]+)／([^｜|]+)[｜|]\s*(.*)"
-    english = F.regexp_extract(title, whole, 3)
-    pair = r"^\[(?:Videoke|Karaoke)\]\s*([^-]+?)\s*-\s*(.+)"
-    artist = F.regexp_replace(F.regexp_extract(english, pair, 2), r"\s*-\s*カラオケ@DIVA.*$", "")
-    return F.struct(_part(title, whole, 1).alias("title_jp"), _part(title, whole, 2).alias("artist_jp"), F.nullif(F.trim(english), F.lit("")).alias("english_part"), _part(english, pair, 1).alias("title_en"), F.nullif(F.trim(artist), F.lit("")).alias("artist_en"))
+    english = F.regexp_extract(title, TITLE, 3)
+    artist = F.regexp_replace(F.regexp_extract(english, ENGLISH, 2), AFTER_ARTIST, "")
+    return F.struct(_part(title, TITLE, 1).alias("title_jp"), _part(title, TITLE, 2).alias("artist_jp"), F.nullif(F.trim(english), F.lit("")).alias("english_part"), _part(english, ENGLISH, 1).alias("title_en"), F.nullif(F.trim(artist), F.lit("")).alias("artist_en"))
 
 
 def video_id(url: Column) -> Column:
