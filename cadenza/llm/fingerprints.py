@@ -5,9 +5,10 @@ paragraphs' vectors: their order doesn't matter, and a paragraph is inserted or
 vector. The vector has two parts:
 
 * STRONG sums of independent 62-bit hashes of the whole paragraph, modulo 2^62: equal sums mean equal multisets;
-* counters, two in each number and modulo 2^31: the paragraph is cut into blocks of four words, each block hashed to 124
-  bits, and each counter counts the blocks that have its bit. Twice a counter less the number of blocks is a sum of signs,
-  and the cosine of two documents' sign sums estimates that of their multisets of blocks (standard error about 0.09).
+* counters, two in each number and modulo 2^31: every window of four words in a row of the paragraph (all its words, if
+  it has fewer) is hashed to 124 bits, and each counter counts the windows that have its bit. A word put in or left out
+  changes the four windows it is in only. Twice a counter less the number of windows is a sum of signs, and the cosine of
+  two documents' sign sums estimates that of their multisets of windows (standard error about 0.09).
 
 As text a fingerprint is its numbers in hexadecimal, with dots between them.
 """
@@ -21,20 +22,25 @@ from cadenza.llm.common import range_cells
 STRONG, PER_HASH, HASHES = 8, 31, 2
 M62 = (1 << 62) - 1
 PAIR = 1 | 1 << 31
-BLOCKS = r"[^ \n]++(?: ++[^ \n]++){0,3}+"
-#: Numbers in a fingerprint: the strong sums, the paragraphs, the blocks, the pairs of counters.
+#: Words in a window.
+WORDS = 4
+#: Numbers in a fingerprint: the strong sums, the paragraphs, the windows, the pairs of counters.
 WIDTH = STRONG + 2 + PER_HASH * HASHES
 
 
 def vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and lanes (the fingerprint's numbers) of every row; keys must tell the rows apart. If df is already dealt by
     some of the keys, no row moves."""
-    d = df.select(*keys, F.split(text, "\n").alias("_paragraphs"), F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)).alias("_blocks"))
+    words = lambda p: F.filter(F.split(p, " "), lambda w: w != "")
+    starts = lambda w: F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    d = df.select(*keys, F.split(text, "\n").alias("_paragraphs")).withColumn("_words", F.transform("_paragraphs", words))
+    windows = F.flatten(F.transform("_words", lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.lit(STRONG), F.slice(w, i, WORDS)))))
     lane = lambda i: F.aggregate("_paragraphs", F.lit(0).cast("long"), lambda a, p: (a + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(M62))).bitwiseAND(F.lit(M62)))
-    # a step of its own: beside explode it would be evaluated for every block
-    d = d.select(*keys, F.array(*[lane(i) for i in range(STRONG)], F.size("_paragraphs").cast("long")).alias("_strong"), "_blocks")
-    d = d.select(*keys, "_strong", F.explode_outer("_blocks").alias("_block"))
-    d = d.select(*keys, "_strong", F.col("_block").isNotNull().cast("long").alias("_one"), *[F.when(F.col("_block").isNotNull(), F.xxhash64(F.lit(STRONG + i), "_block")).alias(f"_h{i}") for i in range(HASHES)])
+    # a step of its own: beside explode it would be evaluated for every window
+    d = d.select(*keys, F.array(*[lane(i) for i in range(STRONG)], F.size("_paragraphs").cast("long")).alias("_strong"), windows.alias("_windows"))
+    d = d.select(*keys, "_strong", F.explode_outer("_windows").alias("_h0"))
+    more = [F.when(F.col("_h0").isNotNull(), F.xxhash64(F.lit(STRONG + i), "_h0")).alias(f"_h{i}") for i in range(1, HASHES)]
+    d = d.select(*keys, "_strong", F.col("_h0").isNotNull().cast("long").alias("_one"), "_h0", *more)
     sums = [F.sum(F.shiftright(f"_h{i}", j).bitwiseAND(F.lit(PAIR))).alias(f"_s{i}_{j}") for i in range(HASHES) for j in range(PER_HASH)]
     d = d.groupBy(*keys, "_strong").agg(F.sum("_one").alias("_n"), *sums)
     return d.select(*keys, F.concat("_strong", F.array("_n", *[F.coalesce(s, F.lit(0).cast("long")) for s in d.columns if s.startswith("_s") and s != "_strong"])).alias("lanes"))
@@ -59,8 +65,8 @@ def as_text(lanes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal fingerprints, else the estimated cosine of the multisets of blocks, at least 0. A document
-    without blocks is like no other one."""
+    """0 to 1: 1 for equal fingerprints, else the estimated cosine of the multisets of windows, at least 0. A document
+    without words is like no other one."""
     signs = lambda v: F.transform(F.slice(v, STRONG + 3, PER_HASH * HASHES), lambda x: F.struct(
         (2 * x.bitwiseAND(F.lit((1 << 31) - 1)) - F.get(v, STRONG + 1)).cast("double").alias("l"), (2 * F.shiftright(x, 31) - F.get(v, STRONG + 1)).cast("double").alias("h")))
     dot = F.aggregate(F.zip_with(signs(a), signs(b), lambda x, y: F.struct((x["l"] * y["l"] + x["h"] * y["h"]).alias("ab"), (x["l"] * x["l"] + x["h"] * x["h"]).alias("aa"), (y["l"] * y["l"] + y["h"] * y["h"]).alias("bb"))),
@@ -71,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, lanes, fingerprint of every row. A null text is empty: one empty paragraph, no block."""
+    """doc_id, lanes, fingerprint of every row. A null text is empty: one empty paragraph, no window."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
     d = vectors(d, ["_row", "doc_id"], "text")
     return d.select("doc_id", "lanes", as_text(F.col("lanes")).alias("fingerprint"))

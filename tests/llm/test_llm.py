@@ -199,6 +199,18 @@ def test_fingerprints_are_homomorphic(spark):
     assert r.s == p[1].lanes and r.m == p[3].lanes
 
 
+def test_near_copies_are_alike_after_insertions_and_deletions(spark):
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(500)}" for _ in range(300)]
+    apart = [f"v{rng.randrange(500)}" for _ in range(300)]
+    cut = lambda at: [x for i, x in enumerate(w) if i not in at]
+    texts = [w, ["new", *w], w[1:], w[:100] + ["new"] + w[100:250], cut({40, 200}), apart]
+    d = fingerprints.fingerprints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    first = d.where("doc_id = 0").select(F.col("lanes").alias("first"))
+    got = {r.doc_id: r.x for r in d.crossJoin(first).select("doc_id", fingerprints.likeness(F.col("first"), F.col("lanes")).alias("x")).collect()}
+    assert all(got[i] > 0.8 for i in range(1, 5)) and got[5] < 0.4
+
+
 def test_quality_measures(docs, empty):
     for r in quality.verdicts(docs, least=5).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         t = r.text or ""
