@@ -1,12 +1,12 @@
 """Greedy folds over the rows of a group, for what no join or window can say.
 
 Rows are dealt by key once and sorted, and each task runs through its groups one after another in plain Python, so many
-small groups cost little. A group (a song or a page) has to fit in memory.
+small groups cost little. A group (a song or a page) has to fit in memory, unless its fold takes the rows in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -15,8 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[list[dict]], list[tuple]], batch: int = 20_000) -> DataFrame:
-    """keys and schema: what `fold` makes of each group's rows (in no particular order)."""
+def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[Iterable[dict]], Iterable[tuple]], batch: int = 20_000, order: list[str] | None = None) -> DataFrame:
+    """keys and schema: what `fold` makes of each group's rows: a list in no particular order or, with `order`, an iterator
+    in that order, of which no more than a batch is in memory."""
     d = df.select(*dict.fromkeys([*keys, *columns]))
     full = StructType([d.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
 
@@ -29,11 +30,12 @@ def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str,
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
 
         for key, group in groupby(rows, lambda r: tuple(r[k] for k in keys)):
-            out += [(*key, *r) for r in fold(list(group))]
-            if len(out) >= batch:
-                yield made()
-                out = []
+            for r in fold(group if order else list(group)):
+                out.append((*key, *r))
+                if len(out) >= batch:
+                    yield made()
+                    out = []
         if out:
             yield made()
 
-    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, full)
+    return d.repartition(*keys).sortWithinPartitions(*keys, *order or ()).mapInArrow(run, full)

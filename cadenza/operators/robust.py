@@ -87,13 +87,11 @@ def circular_mode(df: DataFrame, keys: list[str], value: str, size: int = 180, h
 
 def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high: float = 13.0, step: float = 0.02, tolerance: float = 2.0) -> DataFrame:
     """keys, spacing, phase, score: the row spacing for which most values lie within `tolerance` of a lattice whose phase
-    is their circular mean; score adds a quarter of the mean resultant to the share of inliers."""
+    is their circular mean; score adds a quarter of the mean resultant to the share of inliers. Equal values are counted
+    before they are dealt: few rows, many bars."""
 
     def fit(rows: list[dict]) -> list[tuple]:
-        ys = np.array(sorted(r[y] for r in rows if r[y] is not None), float)
-        if not len(ys):
-            return []
-        ys, n = np.unique(ys, return_counts=True)  # few rows, many bars
+        ys, n = np.array(sorted((r[y], r["_n"]) for r in rows), float).T
         n = n / n.sum()
         a = np.arange(low, high, step)
         angle = 2 * np.pi * ys[None] / a[:, None]
@@ -104,7 +102,8 @@ def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high:
         i = int(score.argmax())
         return [(float(a[i]), float(phase[i]), float(score[i]))]
 
-    return fold_groups(df, keys, [y], "spacing double, phase double, score double", fit)
+    counts = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(F.count("*").alias("_n"))
+    return fold_groups(counts, keys, [y, "_n"], "spacing double, phase double, score double", fit)
 
 
 def lattice_rest(y: Column, spacing: Column | float, phase: Column | float) -> Column:

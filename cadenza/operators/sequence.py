@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.folds import fold_groups
@@ -54,24 +56,35 @@ def gap_sessions(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFra
 def anchored_sessions(df: DataFrame, keys: list[str], at: str, width: float, least: int = 1, apart: float = 0.0) -> DataFrame:
     """keys, at, n: windows that hold what lies within `width` of their first row; those of `least` rows stay, at their
     last row's place, and of two less than `apart` from each other the later one. A window begins at a row, not at a gap,
-    so this goes row by row within a key."""
-    def fold(rows: list[dict]) -> list[tuple]:
-        found: list[list] = []
-        for x in sorted(r[at] for r in rows if r[at] is not None):
-            if found and x - found[-1][0] <= width:
-                found[-1][1:] = [x, found[-1][2] + 1]
-            else:
-                found.append([x, x, 1])
-        kept: list[tuple] = []
-        for _, end, n in found:
+    so this goes row by row, but only between gaps that no window and no comparison reaches over, with two windows in
+    memory."""
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        kept: tuple | None = None
+        for end, n in windows(rows):
             if n < least:
                 continue
-            if kept and end - kept[-1][0] < apart:
-                kept.pop()
-            kept.append((end, n))
-        return kept
-
-    return fold_groups(df, keys, [at], f"{at} {dict(df.dtypes)[at]}, n long", fold)
+            if kept and end - kept[0] >= apart:
+                yield kept
+            kept = (end, n)
+        if kept:
+            yield kept
+
+    def windows(rows: Iterable[dict]) -> Iterator[tuple]:
+        first = None
+        for r in rows:
+            x = r[at]
+            if first is not None and x - first <= width:
+                end, n = x, n + 1
+                continue
+            if first is not None:
+                yield end, n
+            first, end, n = x, x, 1
+        if first is not None:
+            yield end, n
+
+    d = df.where(F.col(at).isNotNull()).select(*keys, at)
+    d = islands(d, keys, [at], F.col(at) - F.lag(at).over(by(keys, [at])) > max(width, apart), "_island")
+    return fold_groups(d, [*keys, "_island"], [at], f"{at} {dict(df.dtypes)[at]}, n long", fold, order=[at]).drop("_island")
 
 
 def refractory_edges(df: DataFrame, keys: list[str], frame: str, hot: Column, gap: int) -> DataFrame:

@@ -142,9 +142,8 @@ def preferred_bars(spark, sf_dir):
 
 @query()
 def bar_clusters(spark, sf_dir):
-    """Bars of a page number and part that lie together."""
-    d = notes(spark, sf_dir).withColumn("part", F.col("song_id") % 500)
-    return I.cluster_bars(d, ["page", "part"], ["t_start", "song_id", "pos"])
+    """Bars of a song's page that lie together."""
+    return I.cluster_bars(notes(spark, sf_dir), ["song_id", "page"], ["t_start", "pos"])
 
 
 @query()

@@ -175,3 +175,54 @@ def test_folds_over_bars(spark):
     assert sorted(r.i for r in inside.collect()) == [0, 2]
     seen = I.track(bars((0.0, 10.0, 1.0), (0.0, 12.0, 1.0), (50.0, 60.0, 1.0)), ["k"], "i").collect()
     assert sorted(r.hits for r in seen) == [1, 2]
+
+
+def _largest_groups(monkeypatch, module):
+    """The rows of the largest group of each fold that the module begins."""
+    sizes, fold = [], module.fold_groups
+
+    def seen(df, keys, *args, **kw):
+        sizes.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return fold(df, keys, *args, **kw)
+
+    monkeypatch.setattr(module, "fold_groups", seen)
+    return sizes
+
+
+def test_lattice_folds_counts_of_heights(spark, monkeypatch):
+    sizes = _largest_groups(monkeypatch, B)
+    rows = [("a", 3.0 + 7.5 * (i % 5)) for i in range(3000)] + [("a", None), ("b", None)]
+    d = spark.createDataFrame(rows, "k string, y double")
+    one = spark.createDataFrame([("a", 3.0 + 7.5 * i) for i in range(5)], "k string, y double")
+    assert B.lattice_fit(d, ["k"], "y").collect() == B.lattice_fit(one, ["k"], "y").collect()
+    assert sizes == [5, 5]
+
+
+def test_anchored_sessions_fold_islands(spark, monkeypatch):
+    sizes = _largest_groups(monkeypatch, S)
+    rng = random.Random(4)
+    rows = [(u, t * 1.0) for u in range(3) for base in range(0, 40_000, 100) for t in sorted(rng.randrange(base, base + 60) for _ in range(rng.randint(0, 9)))]
+    d = spark.createDataFrame(rows + [(1, None), (9, None)], "u int, t double").repartition(5)
+    for width, least, apart in ((3.0, 1, 0.0), (7.0, 2, 20.0), (5.0, 3, 9.0)):
+        want = []
+        for u in range(3):
+            found, kept = [], []
+            for x in sorted(t for v, t in rows if v == u):
+                if found and x - found[-1][0] <= width:
+                    found[-1][1:] = [x, found[-1][2] + 1]
+                else:
+                    found.append([x, x, 1])
+            for _, end, n in found:
+                if n >= least:
+                    if kept and end - kept[-1][1] < apart:
+                        kept.pop()
+                    kept.append((u, end, n))
+            want += kept
+        assert sorted((r.u, r.t, r.n) for r in S.anchored_sessions(d, ["u"], "t", width, least, apart).collect()) == want
+    assert max(sizes) <= 20  # a user has some 1800 rows
+
+
+def test_bar_clusters_are_of_a_song_and_page(spark):
+    from cadenza.plans import registry
+
+    assert registry.QUERIES["bar_clusters"](spark, "/root/testdata/sf0.001").columns[:2] == ["song_id", "page"]
