@@ -105,14 +105,20 @@ def fill_ends(df: DataFrame, keys: list[str], order: list[str], start: str, last
     return df.withColumn(name, F.coalesce(F.lead(start).over(by(keys, order)), last))
 
 
-def fill_periods(df: DataFrame, keys: list[str], at: str, period: float, slack: float = 0.25) -> DataFrame:
-    """keys, at, filled: rows added wherever the next one is a whole number of periods away (up to slack of a period)."""
+def fill_periods(df: DataFrame, keys: list[str], at: str, period: float, slack: float = 0.25, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """keys, at, filled: rows added wherever the next one is a whole number of periods away (up to slack of a period).
+    With start, rows are also added before a key's first one until one is at start or before it; with end, after the last
+    one as long as they are before end. Both are of a key's rows alike."""
     nxt = F.lead(at).over(by(keys, [at]))
     k = F.round((nxt - F.col(at)) / period)
     ok = (k >= 2) & (F.abs((nxt - F.col(at)) / k - period) <= slack * period)
-    steps = F.when(ok, F.sequence(F.lit(0), k.cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    none = F.lit(0)
+    front = none if start is None else F.when(F.lag(at).over(by(keys, [at])).isNull() & (F.col(at) > start), F.ceil((F.col(at) - start) / period).cast("int")).otherwise(none)
+    back = none if end is None else F.when(nxt.isNull() & (F.col(at) + period < end), F.ceil((end - F.col(at)) / period).cast("int") - 1).otherwise(none)
+    steps = F.sequence(-front, F.when(ok, k.cast("int") - 1).otherwise(back))
     d = df.withColumns({"_step": F.when(ok, (nxt - F.col(at)) / k), "_steps": steps}).select(*keys, at, "_step", F.explode("_steps").alias("_i"))
-    return d.select(*keys, (F.col(at) + F.coalesce("_step", F.lit(0.0)) * F.col("_i")).alias(at), (F.col("_i") > 0).alias("filled"))
+    step = F.when(F.col("_i") < 0, F.lit(period)).otherwise(F.coalesce("_step", F.lit(period)))
+    return d.select(*keys, (F.col(at) + step * F.col("_i")).alias(at), (F.col("_i") != 0).alias("filled"))
 
 
 def rolling_median(df: DataFrame, keys: list[str], order: list[str], value: str, half: int = 4, least: int = 3, name: str = "smooth") -> DataFrame:
@@ -123,13 +129,16 @@ def rolling_median(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn("_near", near).withColumn(name, F.when(n >= least, mid)).drop("_near")
 
 
-def interpolate(df: DataFrame, keys: list[str], at: str, value: str, most: float, name: str = "filled") -> DataFrame:
-    """Nulls between two values at most `most` apart lie on the line between them."""
+def interpolate(df: DataFrame, keys: list[str], at: str, value: str, most: float, name: str = "filled", slopes: tuple[float, float] | None = None) -> DataFrame:
+    """Nulls between two values at most `most` apart lie on the line between them, if its slope is in `slopes` (from the
+    first, below the second)."""
     w = by(keys, [at])
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     d = df.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))})
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(at) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
-    return d.withColumn(name, F.coalesce(value, F.when(F.col("_b.t") - F.col("_a.t") <= most, line))).drop("_a", "_b")
+    rise, run = F.col("_b.v") - F.col("_a.v"), F.col("_b.t") - F.col("_a.t")
+    joined = (run <= most) & (F.lit(True) if slopes is None else (rise >= slopes[0] * run) & (rise < slopes[1] * run))
+    return d.withColumn(name, F.coalesce(value, F.when(joined, line))).drop("_a", "_b")
 
 
 def crossings(df: DataFrame, keys: list[str], order: list[str], value: str, level: Column) -> DataFrame:

@@ -226,3 +226,15 @@ def test_bar_clusters_are_of_a_song_and_page(spark):
     from cadenza.plans import registry
 
     assert registry.QUERIES["bar_clusters"](spark, "/root/testdata/sf0.001").columns[:2] == ["song_id", "page"]
+
+
+def test_periods_are_filled_to_the_ends(spark):
+    d = spark.createDataFrame([(1, 10.0), (1, 16.0), (2, 3.0)], "s int, t double")
+    got = sorted((r.s, r.t, r.filled) for r in S.fill_periods(d, ["s"], "t", 3.0, start=F.lit(2.0), end=F.lit(22.0)).collect())
+    assert got == [(1, 1.0, True), (1, 4.0, True), (1, 7.0, True), (1, 10.0, False), (1, 13.0, True), (1, 16.0, False), (1, 19.0, True),
+                   (2, 0.0, True), (2, 3.0, False), (2, 6.0, True), (2, 9.0, True), (2, 12.0, True), (2, 15.0, True), (2, 18.0, True), (2, 21.0, True)]
+
+
+def test_interpolation_bounds_its_slope(spark):
+    d = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, None), (1, 2.0, 10.0), (1, 3.0, None), (1, 4.0, 500.0), (1, 5.0, None), (1, 6.0, 400.0)], "s int, t double, v double")
+    assert [r.filled for r in S.interpolate(d, ["s"], "t", "v", 3.0, slopes=(0.0, 180.0)).orderBy("t").collect()] == [0.0, 5.0, 10.0, None, 500.0, None, 400.0]
