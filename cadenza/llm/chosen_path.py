@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from cadenza.llm.common import corpus, runs, written
 from cadenza.llm.components import components
 
-#: Trees; in those after the first DEEP only nodes of one block are compared. A pair of similarity 0.8 is missed by
-#: all ten with probability 1e-7, one whose nodes are all larger than a block by the first five with 3e-4.
-TREES, DEEP = 10, 5
+#: Trees, all alike: a pair of similarity 0.8 is missed by all ten with probability 1e-7, whatever the nodes' sizes as
+#: long as none branches.
+TREES = 10
 BLOCK, COMPARED, DEPTH = 512, 8192, 6
 #: A node that is too large branches by two coordinates at once, this many times.
 BRANCHES = 4
@@ -157,7 +157,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     nodes, found = written(_roots(members), "nodes"), None
     for depth in range(DEPTH + 1):
         sizes = nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(nodes.join(sizes, "key").where((F.col("size") <= BLOCK) | (F.col("tree") < DEEP)), "sized")
+        sized = written(nodes.join(sizes, "key"), "sized")
         large = F.col("size") > (COMPARED if depth < DEPTH else 1 << 62)
         k = F.ceil(F.col("size") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("sid"), k).cast("int")

@@ -331,6 +331,16 @@ def test_near_duplicates_branch(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0, 40}
 
 
+def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch):
+    members = spark.createDataFrame([(i, b"") for i in range(10)], "sid long, minima binary")
+    monkeypatch.setattr(chosen_path, "BLOCK", 4)
+    monkeypatch.setattr(chosen_path, "_roots", lambda m: m.select(F.lit(1).cast("long").alias("key"), F.lit(9).alias("tree"), "sid"))
+    met = collections.defaultdict(set)
+    for r in chosen_path._blocks(members).collect():
+        met[r.block].add(r.sid)
+    assert all(any({i, j} <= s for s in met.values()) for i in range(10) for j in range(i))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (102, 101)]
     got = {r.a: r.b for r in components.components(spark.createDataFrame(chain, "x long, y long")).collect()}
