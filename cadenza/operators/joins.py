@@ -38,10 +38,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return both.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], *[F.col(f"_found._v{i}").alias(c) for i, c in enumerate(take)])
 
 
-def interval_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], width: float, how: str = "inner", also: Column | None = None) -> DataFrame:
+def interval_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], width: float, how: str = "inner", also: Column | None = None, ident: list[str] | None = None) -> DataFrame:
     """Pairs of rows of equal keys whose closed intervals meet. Either side is repeated for every cell of `width` that it
     touches; a pair is kept in the cell of the greater start alone. how: inner, left_semi or left_anti. Columns of the
-    sides other than keys must differ in name; `also` is a further condition on a pair."""
+    sides other than keys must differ in name; `also` is a further condition on a pair. Semi- and anti-joins tell left
+    rows apart by `ident` (with keys; all columns if it isn't given), by value alone: a number made up while the plan runs
+    may differ wherever it is computed again."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width)))
     rk = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]).withColumn("_rc", cells(*r))
     cond = (F.col("_lc") == F.col("_rc")) & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))
@@ -52,18 +54,40 @@ def interval_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[
     if how == "inner":
         cond &= F.col("_lc") == F.floor(F.greatest(l[0], r[0]) / width)
         return left.withColumn("_lc", cells(*l)).join(rk, cond).drop("_lc", "_rc", *[f"_r_{k}" for k in keys])
-    d = left.withColumn("_id", F.monotonically_increasing_id())
-    hit = d.withColumn("_lc", cells(*l)).join(rk, cond, "left_semi").select("_id").distinct()
-    return d.join(hit, "_id", how).drop("_id")
-
-
-def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, r: tuple[str, str], take: list[str], width: float) -> DataFrame:
-    """points with `take` of the interval that holds them; of several the one that starts last (then the greatest)."""
-    d = points.withColumn("_id", F.monotonically_increasing_id())
-    p = d.select("_id", *keys, F.col(at).alias("_a"), F.col(at).alias("_b"))
-    pairs = interval_pairs(p, intervals.select(*dict.fromkeys([*keys, *r, *take])), keys, ("_a", "_b"), r, width)
-    best = pairs.groupBy("_id").agg(F.max(F.struct(r[0], *take)).alias("_best"))
-    return d.join(best, "_id", "left").select(*points.columns, *[F.col(f"_best.{c}").alias(c) for c in take])
+    hit = left.withColumn("_lc", cells(*l)).join(rk, cond, "left_semi").drop("_lc")
+    if how == "left_semi" and ident:
+        return hit.dropDuplicates([*keys, *ident])
+    own = [*keys, *ident] if ident else left.columns
+    return left.join(*_same(hit.select(*own).distinct(), own), how)
+
+
+def _same(values: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """values under other names, and the condition that `columns` equal those of the original names, null to null."""
+    out = values.toDF(*[f"_h_{c}" for c in values.columns])
+    cond = F.lit(True)
+    for c in columns:
+        cond &= F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return out, cond
+
+
+def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, r: tuple[str, str], take: list[str], width: float, ident: list[str] | None = None) -> DataFrame:
+    """points with `take` of the interval that holds them; of several the one that starts last (then the greatest).
+    With ident, columns that tell the points apart, all is one join and one aggregate; without, what is found for each
+    place is joined back by keys and place."""
+    rk = intervals.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(f"_i_{c}") for c in dict.fromkeys([*r, *take])])
+    rk = rk.withColumn("_rc", F.explode(F.sequence(F.floor(F.col(f"_i_{r[0]}") / width), F.floor(F.greatest(f"_i_{r[0]}", f"_i_{r[1]}") / width))))
+    p = points if ident else points.select(*keys, at).distinct()
+    cond = (F.floor(F.col(at) / width) == F.col("_rc")) & (F.col(f"_i_{r[0]}") <= F.col(at)) & (F.col(at) <= F.col(f"_i_{r[1]}"))
+    for k in keys:
+        cond &= F.col(k) == F.col(f"_r_{k}")
+    own = ident or [*keys, at]
+    best = F.max(F.when(F.col("_rc").isNotNull(), F.struct(*[F.col(f"_i_{c}") for c in (r[0], *take)]))).alias("_best")
+    d = p.join(rk, cond, "left").groupBy(*own).agg(best, *[F.first(c).alias(c) for c in p.columns if c not in own])
+    found = [F.col(f"_best._i_{c}").alias(c) for c in take]
+    if not ident:
+        values, cond = _same(d.select(*own, "_best"), own)
+        d = points.join(values, cond, "left").withColumnRenamed("_h__best", "_best")
+    return d.select(*points.columns, *found)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, name: str = "distance") -> DataFrame:

@@ -17,9 +17,9 @@ def frame_credits(frames: DataFrame, notes: DataFrame) -> DataFrame:
     """session_id, song_id, t, midi, dt, pos, distance, credit of the frames that count. frames: session_id, song_id, t
     (the song's clock), midi or null; latency_ms, if there is one, is taken off t first."""
     d = frames.withColumn("t", F.col("t") - F.col("latency_ms") / 1000.0) if "latency_ms" in frames.columns else frames
-    d = d.withColumn("dt", F.col("t") - F.lag("t").over(by(["session_id"], ["t"]))).where((F.col("dt") > 0) & (F.col("dt") < LONGEST_FRAME))
+    d = d.withColumn("dt", F.col("t") - F.lag("t").over(by(["session_id"], ["t", "midi"]))).where((F.col("dt") > 0) & (F.col("dt") < LONGEST_FRAME))
     n = notes.select("song_id", "pos", "t_start", "t_end", F.col("midi").alias("note_midi"))
-    d = stab(d.select("session_id", "song_id", "t", "midi", "dt"), n, ["song_id"], "t", ("t_start", "t_end"), ["pos", "note_midi"], 4.0)
+    d = stab(d.select("session_id", "song_id", "t", "midi", "dt"), n, ["song_id"], "t", ("t_start", "t_end"), ["pos", "note_midi"], 4.0, ["session_id", "song_id", "t"])
     cents = folded(F.col("midi"), F.col("note_midi")) - F.col("note_midi")
     d = d.withColumn("off", cents).withColumn("distance", F.abs("off"))
     return d.withColumn("credit", F.when(F.col("distance").isNotNull(), credit(F.col("distance"))))

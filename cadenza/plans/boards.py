@@ -190,10 +190,10 @@ def orders_of_listed_users(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 def users_without_orders(spark, sf_dir):
-    """A failed existence probe as an anti-join."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Users without a large order: a failed existence probe as an anti-join."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 400000")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 

@@ -57,7 +57,7 @@ def active_note(spark, sf_dir):
     """The note that sounds at each time of a grid; of several the one that started last."""
     n = notes(spark, sf_dir)
     g = n.select("song_id").distinct().select("song_id", F.explode(F.sequence(F.lit(1), F.lit(57), F.lit(7))).alias("t")).withColumn("t", (F.col("t") + 0.25).cast("double"))
-    return stab(g, n, ["song_id"], "t", ("t_start", "t_end"), ["pos"], 4.0).select("song_id", "t", "pos")
+    return stab(g, n, ["song_id"], "t", ("t_start", "t_end"), ["pos"], 4.0, ["song_id", "t"]).select("song_id", "t", "pos")
 
 
 @query(f"""
@@ -85,7 +85,7 @@ WITH {NOTES}, {SPLIT} SELECT song_id, pos FROM bars b WHERE NOT EXISTS (SELECT 1
 def bars_without_shot(spark, sf_dir):
     """Bars that no bar of the second detector overlaps (an anti-join on overlap, within the song)."""
     bars, shots = _bars(spark, sf_dir)
-    return interval_pairs(bars, shots, ["song_id"], ("x0", "x1"), ("s0", "s1"), 64.0, "left_anti", F.abs(F.col("s_cy") - F.col("cy")) < 40).select("song_id", "pos")
+    return interval_pairs(bars, shots, ["song_id"], ("x0", "x1"), ("s0", "s1"), 64.0, "left_anti", F.abs(F.col("s_cy") - F.col("cy")) < 40, ["pos"]).select("song_id", "pos")
 
 
 @query(f"""
@@ -94,7 +94,7 @@ def confirmed_bars(spark, sf_dir):
     """Bars of which a second snapshot overlaps over 0.6 of the lesser width (a semi-join on overlap)."""
     bars, shots = _bars(spark, sf_dir)
     enough = F.least("s1", "x1") - F.greatest("s0", "x0") > 0.6 * F.least(F.col("s1") - F.col("s0"), F.col("x1") - F.col("x0"))
-    return interval_pairs(bars, shots, ["song_id"], ("x0", "x1"), ("s0", "s1"), 64.0, "left_semi", enough).select("song_id", "pos")
+    return interval_pairs(bars, shots, ["song_id"], ("x0", "x1"), ("s0", "s1"), 64.0, "left_semi", enough, ["pos"]).select("song_id", "pos")
 
 
 @query()
