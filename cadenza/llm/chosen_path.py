@@ -2,13 +2,18 @@
 
 Every text is a set of word shingles; equal sets are one member. Each of several independent trees sends a member down
 the path of its minwise tokens at the coordinates chosen for that path, so a node holds members that agree on all of
-them, and two members of similarity s part at a level with probability 1 - s. A node of one member is done. Nodes that
-are too large to compare go on branching; the others are compared exhaustively, in blocks where needed: first by their
-128 minwise tokens, then what may be linked on the full sets. The links' components are the groups of near-duplicates.
-
-A node's block holds BLOCK members, so no task ever holds more than twice as many; a member meets at most
-COMPARED / BLOCK blocks of a node. Nothing is dropped: what still shares a node of more than COMPARED after DEPTH levels
-is compared in blocks all the same.
+them, and two members of similarity s part at a coordinate with probability 1 - s. A node of one member is done, and one
+of at most BLOCK members is compared exhaustively.
+
+In a larger node links are sought before anything branches: its members are dealt at random into cells of BLOCK, each of
+which is compared exhaustively, and linked members take a common label; a few such rounds leave near copies of one text
+with one label. Members of one label need not be compared again, so a node of one label is done. If at most COMPARED
+members are outside the commonest label, they are compared with all of the node, in blocks; else the node branches by one
+coordinate, in 1 / similarity children on the average, and its children go the same way. A member's rows are multiplied
+by about COMPARED / WIDE at most where it is compared, and by 1 / similarity a level where it branches. Nothing is dropped:
+after DEPTH levels what is outside the commonest label is compared with all of its node all the same.
+
+Candidates are found by 128 minwise tokens and confirmed on the full sets. The links' components are the groups.
 """
 
 from __future__ import annotations
@@ -22,18 +27,22 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import corpus, runs, written
+from cadenza.llm.common import Scratch, corpus, join_counted, runs, slices, written
 from cadenza.llm.components import components
 
-#: Trees, all alike: a pair of similarity 0.8 is missed by all ten with probability 1e-7, whatever the nodes' sizes as
-#: long as none branches.
-TREES = 10
-BLOCK, COMPARED, DEPTH = 512, 8192, 6
-#: A node that is too large branches by two coordinates at once, this many times.
-BRANCHES = 4
-#: Pairs are held against their full sets from this share of equal minwise tokens on, less than the similarity by five
-#: standard errors of 128 tokens at 0.8.
-MARGIN = 5 * (0.8 * 0.2 / 128) ** 0.5
+#: Trees, all alike: a pair of similarity 0.8 whose nodes don't branch is missed by all six with probability 6e-5, one of
+#: similarity 0.6 with 4e-3, however large the nodes are.
+TREES = 6
+#: Members of a node that is compared as a whole and of a random cell; of either side of a block where what is outside a
+#: label meets the rest; outside a label at most for that; levels; rounds of cells.
+BLOCK, WIDE, COMPARED, DEPTH, ROUNDS = 256, 512, 8192, 10, 3
+
+
+def least_equal(similarity: float) -> int:
+    """How many of 128 minwise tokens must be equal for a pair to be held against its full sets: what the similarity
+    leads to, less four standard errors (a pair just at the similarity is missed with probability 3e-5)."""
+    return int((similarity - 4 * (similarity * (1 - similarity) / COORDINATES) ** 0.5) * COORDINATES)
+
 
 COORDINATES = 128
 _random = np.random.RandomState(20240229)
@@ -99,22 +108,24 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, sid (a number of the set; null for an empty one), minima (binary) of every row."""
+    """doc_id, n_shingles, digest (128 bits of the set; null for an empty one), minima and tokens (binary: the minwise
+    hashes, and one byte of each) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                sets, at = shingle_sets(part.column("text"), words)
-                full, k, raw = minima(sets, at), 0, sets.tobytes()
-                sids, least = [], []
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                    sids.append(int.from_bytes(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=8).digest(), "little", signed=True) if y > x else None)
-                    least.append(full[k].tobytes() if y > x else None)
-                    k += y > x
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sids, pa.int64()), pa.array(least, pa.binary())], ["doc_id", "n_shingles", "sid", "minima"])
-
-    return corpus(docs).mapInArrow(run, "doc_id long, n_shingles long, sid long, minima binary")
+        for part in slices(batches):
+            sets, at = shingle_sets(part.column("text"), words)
+            full, raw, n = minima(sets, at), sets.tobytes(), np.diff(at)
+            short = np.ascontiguousarray(full.view(np.uint8).reshape(len(full), COORDINATES, 4)[:, :, 0])
+            digests, least, tokens, k = [], [], [], 0
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                digests.append(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() if y > x else None)
+                least.append(full[k].tobytes() if y > x else None)
+                tokens.append(short[k].tobytes() if y > x else None)
+                k += y > x
+            binary = [pa.array(c, pa.binary()) for c in (digests, least, tokens)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *binary], ["doc_id", "n_shingles", "digest", "minima", "tokens"])
+
+    return corpus(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, minima binary, tokens binary")
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -135,136 +146,206 @@ def _roots(members: DataFrame) -> DataFrame:
     return members.select("sid", "minima").mapInArrow(run, "key long, tree int, sid long")
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """The nodes below those of key, tree, sid, minima: by two coordinates that the node chooses, BRANCHES times."""
+def _children(rows: DataFrame, similarity: float) -> DataFrame:
+    """The nodes below those of key, tree, sid, label, minima, each by a coordinate that it chooses: 1 / similarity of
+    them on the average."""
+    whole, part = divmod(1 / similarity, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 m, key, i = _matrix(b.column("minima"), np.uint32), b.column("key").to_numpy().astype(np.uint64), np.arange(b.num_rows)
-                keys = []
-                for r in range(BRANCHES):
+                keys, kept = [], []
+                for r in range(int(whole) + 1):
                     path = mixed(key + step(r + 1))
-                    c = [(mixed(path + np.uint64(j)) % np.uint64(COORDINATES)).astype(int) for j in range(2)]
-                    keys.append(mixed(mixed(path + m[i, c[0]]) + m[i, c[1]]) >> np.uint64(8))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.tile(b.column("tree").to_numpy(), BRANCHES)), pa.array(np.tile(b.column("sid").to_numpy(), BRANCHES))], ["key", "tree", "sid"])
+                    c = (mixed(path + np.uint64(1)) % np.uint64(COORDINATES)).astype(int)
+                    kept.append(i[(r < whole) | (mixed(path + np.uint64(2)) < np.uint64(int(part * (2**64 - 1))))])
+                    keys.append((mixed(path + m[i, c]) >> np.uint64(8))[kept[-1]])
+                kept = pa.array(np.concatenate(kept))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), *[b.column(c).take(kept) for c in ("tree", "sid", "label")]], ["key", "tree", "sid", "label"])
+
+    return rows.mapInArrow(run, "key long, tree int, sid long, label long")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """key, tree, size, common (the commonest label), outside (the members of other labels) of nodes of several labels."""
+    d = rows.groupBy("key", "tree", "label").agg(F.count("*").alias("_n"))
+    d = d.groupBy("key", "tree").agg(F.sum("_n").alias("size"), F.max("_n").alias("_most"), F.max_by("label", F.struct("_n", "label")).alias("common"))
+    return d.select("key", "tree", "size", "common", (F.col("size") - F.col("_most")).alias("outside")).where("outside > 0")
 
-    return rows.mapInArrow(run, "key long, tree int, sid long")
 
+def _outside_against_all(rows: DataFrame) -> DataFrame:
+    """Blocks in which every member outside its node's commonest label (side 0) meets every other one (side 1)."""
+    k, l = (F.ceil(F.col(c) / WIDE).cast("int") for c in ("size", "outside"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("label <> common").select("key", "sid", "label", F.lit(0).alias("side"), F.pmod(F.xxhash64("sid"), l).cast("int").alias("i"), every(k).alias("j"))
+    right = rows.select("key", "sid", "label", F.lit(1).alias("side"), every(l).alias("i"), F.pmod(F.xxhash64("sid", F.lit(1)), k).cast("int").alias("j"))
+    return left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("block"), "sid", "label", "side")
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """block, sid: every block of members to be compared, from all trees."""
-    nodes, found = written(_roots(members), "nodes"), None
+
+def _search(members: DataFrame, sets: Sets, similarity: float, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect what is to be connected."""
+    nodes = scratch.written(_roots(members).withColumn("label", F.col("sid")), "nodes")
+    own, blocks, links = F.col("sid"), [], []
     for depth in range(DEPTH + 1):
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(nodes.join(sizes, "key"), "sized")
-        large = F.col("size") > (COMPARED if depth < DEPTH else 1 << 62)
-        k = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("sid"), k).cast("int")
-        pair = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
-        own = sized.where(~large).select(pair.alias("block"), "sid")
-        found = own if found is None else found.unionByName(own)
-        rest = sized.where(large)
-        if rest.isEmpty():
-            return found
-        nodes = written(_children(rest.join(members.select("sid", "minima"), "sid").select("key", "tree", "sid", "minima")), "nodes")
-    return found
-
-
-def _clusters(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n members the least member that the pairs connect it to."""
-    root = list(range(n))
-
-    def top(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist()):
-            a, b = top(a), top(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([top(i) for i in range(n)])
-
-
-def _candidates(blocks: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """members (sorted array of sids): sets of members of a block that their minwise tokens say may be linked."""
-    least = int((similarity - MARGIN) * COORDINATES)
-
-    def near(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a in range(0, len(tokens), 64):
-            equal = (tokens[a : a + 64, None] == tokens[None]).sum(2, dtype=np.uint8)
-            i, j = np.nonzero(equal >= least)
-            yield (i + a)[i + a < j], j[i + a < j]
+        sizes = scratch.written(nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sized = join_counted(nodes, sizes, "key")
+        blocks.append(sized.where(F.col("size") <= BLOCK).select(F.col("key").alias("block"), "sid", "label", F.lit(0).alias("side")))
+        if sizes.where(F.col("size") > BLOCK).isEmpty():
+            break
+        rows = scratch.written(sized.where(F.col("size") > BLOCK).drop("size"), "large")
+        open_ = scratch.written(_open(rows), "open")
+        for r in range(ROUNDS):
+            chosen = open_.where((F.col("outside") > BLOCK) & (2 * F.col("outside") > F.col("size")))
+            if r < ROUNDS - 1:
+                chosen = chosen.where("tree < 2")  # the trees are alike, and a label counts in all of them
+            if chosen.isEmpty():
+                continue
+            cell = F.pmod(F.xxhash64("sid", "tree", F.lit(r)), F.ceil(F.col("size") / BLOCK)).cast("int")
+            cells = join_counted(rows, chosen.drop("tree"), "key").select(F.xxhash64("key", F.lit(r), cell).alias("block"), "sid", "label", (F.col("label") == F.col("common")).cast("int").alias("side"))
+            found = scratch.written(_links(_candidates(cells, members, similarity, scratch), sets, similarity), "links")
+            links.append(found)
+            least = found.groupBy("a").agg(F.min("b").alias("b"))
+            rows = scratch.written(rows.join(least, own == least["a"], "left").select("key", "tree", "sid", F.coalesce("b", "label").alias("label")), "large")
+            open_ = scratch.written(_open(rows), "open")
+        near = F.lit(True) if depth == DEPTH else F.col("outside") <= COMPARED
+        if not open_.where(near).isEmpty():
+            blocks.append(_outside_against_all(join_counted(rows, open_.where(near).drop("tree"), "key")))
+        far = open_.where(~near)
+        if far.isEmpty():
+            break
+        nodes = scratch.written(_children(join_counted(rows, far.drop("tree"), "key").join(members.select("sid", "minima"), "sid").select("key", "tree", "sid", "label", "minima"), similarity), "nodes")
+    every = blocks[0]
+    for b in blocks[1:]:
+        every = every.unionByName(b)
+    out = _links(_candidates(every, members, similarity, scratch), sets, similarity)
+    for found in links:
+        out = out.unionByName(found)
+    return out
+
+
+def _clusters(linked: np.ndarray) -> np.ndarray:
+    """For each member the least member that it is connected to. linked: of the first members (rows) with all (columns)."""
+    left, n = linked.shape
+    root, before = np.arange(n, dtype=np.int32), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        root[:left] = np.minimum(root[:left], np.where(linked, root[None], n).min(1))
+        root = np.minimum(root, np.where(linked, root[:left, None], n).min(0))
+        root = root[root]
+    return root
+
+
+def _candidates(blocks: DataFrame, members: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """members, labels, sides: sets of members of a block (block, sid, label, side) that their minwise tokens say may be linked.
+    Members of side 1 aren't compared with each other, nor any two of one label."""
+    least = least_equal(similarity)
+
+    def near(tokens: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
+        n, t = int((side == 0).sum()), np.ascontiguousarray(tokens.T)  # those of side 0 come first
+        out = np.zeros((n, len(label)), bool)
+        for a in range(0, n, 64):
+            u = slice(a, min(a + 64, n))
+            equal, one = np.zeros((u.stop - a, len(label) - a), np.uint8), np.empty((u.stop - a, len(label) - a), bool)
+            for c in range(COORDINATES):
+                np.equal(t[c, u, None], t[c, None, a:], out=one)
+                equal += one.view(np.uint8)
+            out[u, a:] = (equal >= least) & (label[u, None] != label[None, a:])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, "block"):
-            sids, tokens, out = t.column("sid").to_numpy(), _matrix(t.column("tokens"), np.uint8), []
+            sids, labels, sides, tokens, out = *[t.column(c).to_numpy() for c in ("sid", "label", "side")], _matrix(t.column("tokens"), np.uint8), []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a > 1:
-                    root = _clusters(b - a, near(tokens[a:b]))
+                    root = _clusters(near(tokens[a:b], labels[a:b], sides[a:b]))
                     for r in np.flatnonzero(np.bincount(root) > 1):
-                        out.append(np.unique(sids[a:b][root == r]).tolist())
-            yield pa.RecordBatch.from_pydict({"members": pa.array([x for x in out if len(x) > 1], pa.list_(pa.int64()))})
+                        x, k = np.unique(sids[a:b][root == r], return_index=True)  # of a member on both sides that of side 0
+                        out.append((x, labels[a:b][root == r][k], sides[a:b][root == r][k]))
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in out if len(x[0]) > 1], pa.list_(pa.int64())) for i, c in enumerate(("members", "labels", "sides"))})
 
-    low = F.expr("unhex(array_join(transform(sequence(0, 127), i -> hex(substring(minima, 4 * i + 1, 1))), ''))")
-    d = blocks.join(members.select("sid", low.alias("tokens")), "sid")
-    d = d.repartition("block").sortWithinPartitions("block", "sid")
-    return d.mapInArrow(run, "members array<long>").distinct()
+    d = blocks.join(members.select("sid", "tokens"), "sid")
+    d = d.repartition("block").sortWithinPartitions("block", "side", "sid")
+    return scratch.written(d.mapInArrow(run, "members array<long>, labels array<long>, sides array<long>").distinct(), "candidates")
 
 
-def _links(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that connect the members of each candidate set whose similarity on the full sets is enough."""
+def _links(candidates: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """a, b: of the links of each candidate set, on the full sets, those that connect it: members with the least label
+    that they are now connected to, if it isn't theirs."""
     percent = round(100 * similarity)
 
-    def linked(x: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def linked(x: list[np.ndarray], left: int) -> np.ndarray:
         n = np.array([len(s) for s in x])
-        which, of = np.unique(np.concatenate(x), return_inverse=True)
+        _, of = np.unique(np.concatenate(x), return_inverse=True)
         row = np.repeat(np.arange(len(x)), n)
         shared = np.bincount(of) > 1
         row, of = row[shared[of]], (np.cumsum(shared) - 1)[of[shared[of]]]
         order = np.argsort(of, kind="stable")
-        row, of, both = row[order], of[order], np.zeros((len(x), len(x)), np.float32)
+        row, of, both = row[order], of[order], np.zeros((left, len(x)), np.float32)
         width = max(256, 4_000_000 // len(x))
         for c in range(0, int(shared.sum()), width):
             u, v = np.searchsorted(of, [c, c + width])
             has = np.zeros((len(x), width), np.float32)
             has[row[u:v], of[u:v] - c] = 1
-            both += has @ has.T
-        i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1))
-        yield i, j
+            both += has[:left] @ has.T
+        return 100 * both >= percent * (n[:left, None] + n[None] - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, "group"):
-            sids, raw, left, right = t.column("sid").to_numpy(), t.column("shingles").to_pylist(), [], []
+            labels, sides, raw, left, right = t.column("label").to_numpy(), t.column("side").to_numpy(), t.column("shingles").to_pylist(), [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a > 1:
-                    root = _clusters(b - a, linked([np.frombuffer(x, np.uint64) for x in raw[a:b]]))
-                    hung = np.flatnonzero(root != np.arange(b - a))
-                    left.append(sids[a:b][hung])
-                    right.append(sids[a:b][root[hung]])
+                    root, own = _clusters(linked([np.frombuffer(x, np.uint64) for x in raw[a:b]], int((sides[a:b] == 0).sum()))), labels[a:b]
+                    least = own.copy()
+                    np.minimum.at(least, root, own)
+                    least = least[root]
+                    at_ = np.flatnonzero(least != own)
+                    # a label is a member that its bearers are connected to, so both are hung on the least one
+                    left += [t.column("sid").to_numpy()[a:b][at_], own[at_]]
+                    right += [least[at_], least[at_]]
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    d = candidates.select(F.xxhash64("members").alias("group"), F.explode("members").alias("sid")).join(sets, "sid")
-    return d.repartition("group").sortWithinPartitions("group", "sid").mapInArrow(run, "a long, b long")
+    d = candidates.select(F.xxhash64("members", "sides").alias("group"), F.explode(F.arrays_zip("members", "labels", "sides")).alias("m"))
+    d = d.select("group", F.col("m.members").alias("sid"), F.col("m.labels").alias("label"), F.col("m.sides").alias("side")).join(sets.of(candidates), "sid")
+    return d.repartition("group").sortWithinPartitions("group", "side", "sid").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+class Sets:
+    """The full sets of members, made from their texts when they are first asked for."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, words: int, scratch: Scratch):
+        self.docs, self.members, self.words, self.scratch, self.made = docs, members, words, scratch, []
+
+    def of(self, candidates: DataFrame) -> DataFrame:
+        """sid, shingles (binary) of all members of the candidate sets at least."""
+        wanted = candidates.select(F.explode("members").alias("sid")).distinct()
+        for m in self.made:
+            wanted = wanted.join(m.select("sid"), "sid", "left_anti")
+        wanted = self.members.select("sid", "digest", "least").join(wanted, "sid", "left_semi")
+        ids = wanted.select(F.col("least").alias("_id")).distinct()
+        texts = corpus(self.docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        # several rows may have one doc_id
+        found = _sets(texts, self.words).join(wanted.select("sid", "digest"), "digest").dropDuplicates(["sid"]).select("sid", "shingles")
+        self.made.append(self.scratch.written(found, "sets"))
+        out = self.made[0]
+        for m in self.made[1:]:
+            out = out.unionByName(m)
+        return out
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """sid, shingles (binary) of every row that has words."""
+    """digest, shingles (binary) of every row that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                sets, at = shingle_sets(batch.column("text").slice(a, 500), words)
-                raw = sets.tobytes()
-                x = [raw[8 * u : 8 * v] for u, v in zip(at[:-1].tolist(), at[1:].tolist()) if v > u]
-                sid = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in x]
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(x, pa.binary())], ["sid", "shingles"])
+        for part in slices(batches):
+            sets, at = shingle_sets(part.column("text"), words)
+            raw = sets.tobytes()
+            x = [raw[8 * u : 8 * v] for u, v in zip(at[:-1].tolist(), at[1:].tolist()) if v > u]
+            digest = [hashlib.blake2b(s, digest_size=16).digest() for s in x]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(x, pa.binary())], ["digest", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "sid long, shingles binary")
+    return docs.select("text").mapInArrow(run, "digest binary, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -276,19 +357,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     table gives no row; null ids are greater than any other; other columns are left out.
     """
     signed = written(signatures(docs, words), "signed")
-    members = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("minima").alias("minima"))
-    members = written(members, "members")
-    candidates = written(_candidates(_blocks(members), members, similarity), "candidates")
-    wanted = candidates.select(F.explode("members").alias("sid")).distinct()
-    ids = members.join(wanted, "sid", "left_semi").select(F.col("least").alias("doc_id"))
-    texts = corpus(docs).join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = written(_sets(texts, words).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    hung = components(_links(candidates, sets, similarity))
-    groups = members.select("sid", "least").join(hung.withColumnRenamed("a", "sid"), "sid", "left").select("sid", "least", F.coalesce("b", "sid").alias("root"))
-    first = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = groups.join(first, "root").select("sid", "component_id")
-    d = signed.select("doc_id", "n_shingles", "sid").join(ids, "sid", "left")
-    d = d.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    first = [F.first(c).alias(c) for c in ("minima", "tokens")]
+    members = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), *first)
+    # the numbers hold from here on, as they are only ever read from the written table
+    members = written(members.withColumn("sid", F.monotonically_increasing_id()), "members")
+    scratch = Scratch(docs.sparkSession, "near")
+    hung = components(_search(members, Sets(docs, members, words, scratch), similarity, scratch))
+    scratch.remove()
+    groups = members.select("digest", "sid", "least", "size").join(hung.withColumnRenamed("a", "sid"), "sid", "left").select("digest", "size", "least", F.coalesce("b", "sid").alias("root"))
+    groups = written(groups, "groups")
+    roots = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    found = join_counted(groups, roots, "root", "members").select("digest", "size", "component_id")
+    have = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    d = join_counted(have, written(found, "found"), "digest").select("doc_id", "n_shingles", "component_id")
+    d = d.unionByName(signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return d.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

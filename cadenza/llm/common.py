@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _local: dict[str, str] = {}
@@ -40,12 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files that a table from written() reads."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+class Scratch:
+    """A folder of tables within the shared one, which are removed together when what they led to has been written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.path, self.n = scratch_path(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        store, root = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir(root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +89,24 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], salts: int = 32
     return out.drop(*[f"_b_{k}" for k in keys])
 
 
+def join_counted(df: DataFrame, counted: DataFrame, key: str, size: str = "size", share: int = 1000) -> DataFrame:
+    """Inner join of df, a written table, with one row per key; `size` says how many rows of df have the key. Keys of more
+    than 1 / share of df's rows, of which there are fewer than `share`, are broadcast, so that their rows stay where they
+    are; the others are joined by a shuffle in which no key is hot."""
+    hot = F.col(size) > max(1, df.count() // share)
+    large = F.broadcast(counted.where(hot))
+    rest = df.join(F.broadcast(large.select(key)), key, "left_anti")
+    return df.join(large, key).unionByName(rest.join(counted.where(~hot), key))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4_000_000, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `size` bytes of a column and `rows` rows at most; a longer value is a part by itself."""
+    for batch in batches:
+        weight = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)) + size / rows)
+        cuts = [0, *(np.flatnonzero(np.diff(weight // size)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def range_cells(df: DataFrame, column: str, rows: int, most: int = 65_536) -> tuple[Column, int]:
     """An expression that numbers ranges of an integer column from 0 in ascending order, about `rows` rows in each,
     and how many there are. Only quantiles reach the driver, `most` at most."""

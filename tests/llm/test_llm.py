@@ -305,40 +305,71 @@ def test_near_duplicates(docs, empty):
     assert chosen_path.filtered(docs).columns == docs.columns
 
 
-def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+def changed(rng, base, n):
+    w = list(base)
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"x{rng.random()}"
+    return " ".join(w)
+
+
+def components_of_changed(texts, base, words):
+    """The exact components of texts that differ from base in some places, by a word of their own each: two of them share
+    the windows that neither has changed."""
+    same = np.array([[x == y for x, y in zip(t.split(), base)] for _, t in texts])
+    windows = np.stack([same[:, i : i + words].all(1) for i in range(len(base) - words + 1)], 1).astype(np.float32)
+    n, label, before = windows.shape[1], np.arange(len(texts)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        for a in range(0, len(texts), 1000):
+            both = windows[a : a + 1000] @ windows.T
+            linked = 100 * both >= 80 * (2 * n - both)
+            label[a : a + 1000] = np.minimum(label[a : a + 1000], np.where(linked, label[None], len(texts)).min(1))
+        label = label[label]
+    return {k: texts[c][0] for (k, _), c in zip(texts, label.tolist())}
+
+
+@pytest.mark.parametrize("compared", [1 << 40, 64, 0])
+def test_near_duplicates_in_large_nodes(spark, monkeypatch, compared):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
-
-    def changed(n):
-        w = list(base)
-        for _ in range(n):
-            w[rng.randrange(150)] = f"x{rng.random()}"
-        return " ".join(w)
-
-    texts = [(i, changed(rng.choice([1, 2, 3, 4, 6, 9, 12]))) for i in range(160)] + [(500 + i, " ".join(f"y{rng.random()}" for _ in range(50))) for i in range(50)]
+    texts = [(i, changed(rng, base, rng.choice([1, 2, 3, 4, 6, 9, 12]))) for i in range(160)] + [(500 + i, " ".join(f"y{rng.random()}" for _ in range(50))) for i in range(50)]
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
-    monkeypatch.setattr(chosen_path, "COMPARED", 1 << 40)
+    monkeypatch.setattr(chosen_path, "COMPARED", compared)
+    monkeypatch.setattr(chosen_path, "DEPTH", 2)
     got = chosen_path.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(texts, 4)
 
 
-def test_near_duplicates_branch(spark, monkeypatch):
-    texts = [(i, " ".join(f"{i // 40}w{j}" if j else f"own{i}" for j in range(120))) for i in range(80)]
-    monkeypatch.setattr(chosen_path, "BLOCK", 8)
-    monkeypatch.setattr(chosen_path, "COMPARED", 16)
-    monkeypatch.setattr(chosen_path, "DEPTH", 1)
-    got = chosen_path.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=4)
-    assert {r.component_id for r in got.collect()} == {0, 40}
+def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
+    """20,000 near copies of one text, some with too many changes to be linked to most, and texts of other kinds."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(i, changed(rng, base, rng.choice([1, 1, 2, 2, 2, 3, 4, 4, 5, 7]))) for i in range(20_000)] + [(50_000 + i, " ".join(f"y{rng.randrange(3000)}" for _ in range(60))) for i in range(2000)]
+    seen, blocks = {}, chosen_path._candidates
+    monkeypatch.setattr(chosen_path, "_candidates", lambda b, *rest: [seen.setdefault(len(seen), b.count()), blocks(b, *rest)][1])
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), words=4).collect()}
+    want = components_of_changed(texts[:20_000], base, 4) | {k: k for k, _ in texts[20_000:]}
+    assert got == want and len({want[i] for i in range(20_000)}) > 1
+    assert sum(seen.values()) < 22_000 * chosen_path.TREES * 2 * chosen_path.COMPARED / chosen_path.WIDE
 
 
-def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch):
-    members = spark.createDataFrame([(i, b"") for i in range(10)], "sid long, minima binary")
-    monkeypatch.setattr(chosen_path, "BLOCK", 4)
-    monkeypatch.setattr(chosen_path, "_roots", lambda m: m.select(F.lit(1).cast("long").alias("key"), F.lit(9).alias("tree"), "sid"))
-    met = collections.defaultdict(set)
-    for r in chosen_path._blocks(members).collect():
-        met[r.block].add(r.sid)
-    assert all(any({i, j} <= s for s in met.values()) for i in range(10) for j in range(i))
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_recall_where_nodes_branch(spark, monkeypatch, similarity):
+    """Pairs just above the similarity, all in large nodes that branch, as every text has the same words at its start."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    n, pairs = 400, 60
+    texts = [(i, " ".join(common + [f"o{i}_{j}" for j in range(40)])) for i in range(n)]
+    for p in range(pairs):
+        own = [f"o{p}_{j}" for j in range(40)]
+        drop = 8 if similarity == 0.8 else 19
+        texts.append((1000 + p, " ".join(common + own[: 40 - drop] + [f"n{p}_{j}" for j in range(drop)])))
+    monkeypatch.setattr(chosen_path, "BLOCK", 32)
+    monkeypatch.setattr(chosen_path, "COMPARED", 32)
+    monkeypatch.setattr(chosen_path, "DEPTH", 4)
+    monkeypatch.setattr(chosen_path, "ROUNDS", 1)
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=1, similarity=similarity).collect()}
+    assert np.mean([got[1000 + p] == p for p in range(pairs)]) >= 0.9 and sum(got[k] != k for k in got) <= pairs
 
 
 def test_components(spark):
