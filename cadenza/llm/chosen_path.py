@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import Scratch, corpus, join_counted, runs, slices, written
+from cadenza.llm.common import BROADCAST_ROWS, Scratch, corpus, join_counted, runs, slices, written
 from cadenza.llm.components import components
 
 #: Trees, all alike: a pair of similarity 0.8 whose nodes don't branch is missed by all six with probability 6e-5, one of
@@ -322,8 +322,10 @@ class Sets:
         wanted = candidates.select(F.explode("members").alias("sid")).distinct()
         for m in self.made:
             wanted = wanted.join(m.select("sid"), "sid", "left_anti")
-        wanted = self.members.select("sid", "digest", "least").join(wanted, "sid", "left_semi")
+        wanted = self.scratch.written(self.members.select("sid", "digest", "least").join(wanted, "sid", "left_semi"), "wanted")
         ids = wanted.select(F.col("least").alias("_id")).distinct()
+        if wanted.count() <= BROADCAST_ROWS:  # else the texts move to their ids
+            ids = F.broadcast(ids)
         texts = corpus(self.docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         # several rows may have one doc_id
         found = _sets(texts, self.words).join(wanted.select("sid", "digest"), "digest").dropDuplicates(["sid"]).select("sid", "shingles")

@@ -2,9 +2,14 @@
 
 Measures of each whole text are whole numbers. A group's distribution of a measure is kept as a mergeable quantile
 sketch: counts of buckets that are a sixteenth of a power of two wide, so sketches of any parts add up to the sketch of
-the whole and a quantile is off by a sixteenth at most. A document is rejected if a measure lies far outside its group:
-above Q75 + 3 (Q75 - Q25) + slack, or for the mean word length also below Q25 - 3 (Q75 - Q25) - slack. A group of fewer
-than `least` documents takes the merged sketch of its language, and a language of fewer that of all documents.
+the whole and a quantile is off by a sixteenth at most. Three numbers of a sketch make its fence: the quartiles Q25 and
+Q75, and N25, the lower quartile of the values above 0 (most texts have no symbol and no repeated line at all):
+
+    above = Q75 + spread * (Q75 - Q25) + share * N25,    below = Q25 - spread * (Q75 - Q25) - share * N25
+
+A source's numbers are shrunk towards those of its language, and these towards those of all documents, by how many
+documents they come from; and a fence is at most four times the one of the level above, so that a source in which junk
+prevails doesn't widen its own fence at will.
 """
 
 from __future__ import annotations
@@ -15,9 +20,10 @@ from cadenza.llm.common import join_small, written
 
 WS = r"[\x20\x09-\x0D]"
 
-#: The measures and how far beyond the fence a value may lie, whatever the group: symbols, repeated lines, words in
-#: repeated windows, words like the one before and capitals per thousand, mean word length in hundredths of a character.
-SLACK = {"m_symbols": 150, "m_dup_lines": 400, "m_repeats": 300, "m_stutters": 150, "m_capitals": 250, "m_word_length": 300}
+#: For each measure spread and share, in tenths, and a value up to which no text is rejected (a few words in a thousand
+#: are no junk in any group): symbols, repeated lines, words in repeated windows, words like the one before and capitals
+#: per thousand; mean word length in hundredths of a character, the only one that has a lower fence.
+RULES = {"m_symbols": (30, 5, 50), "m_dup_lines": (30, 60, 100), "m_repeats": (30, 60, 100), "m_stutters": (30, 40, 30), "m_capitals": (30, 30, 60), "m_word_length": (60, 1, 0)}
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -73,34 +79,52 @@ def bucket_floor(b: Column) -> Column:
 
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, measure, bucket, n: the sketch of every measure in every group. Sketches merge by adding n."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in SLACK]))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in RULES]))
     return measured.select(*keys, each.alias("x")).groupBy(*keys, "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, n, q25, q75 from sketches."""
+    """keys, measure, n, some (values above 0), q25, q75, n25 from sketches."""
     by = [*keys, "measure"]
-    run = F.sum("n").over(W.partitionBy(*by).orderBy("bucket"))
-    d = sketch.withColumns({"run": run, "total": F.sum("n").over(W.partitionBy(*by))})
-    at = lambda p: F.min(F.when(F.col("run") * 100 >= F.col("total") * p, bucket_floor(F.col("bucket"))))
-    return d.groupBy(*by).agg(F.max("total").alias("n"), at(25).alias("q25"), at(75).alias("q75"))
+    every = W.partitionBy(*by)
+    d = sketch.withColumns({"run": F.sum("n").over(every.orderBy("bucket")), "total": F.sum("n").over(every), "none": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(every)})
+    low = bucket_floor(F.col("bucket"))
+    at = lambda p: F.min(F.when(F.col("run") * 100 >= F.col("total") * p, low))
+    n25 = F.min(F.when((F.col("bucket") > 0) & ((F.col("run") - F.col("none")) * 100 >= (F.col("total") - F.col("none")) * 25), low))
+    return d.groupBy(*by).agg(F.max("total").alias("n"), F.max(F.col("total") - F.col("none")).alias("some"), at(25).alias("q25"), at(75).alias("q75"), F.coalesce(n25, F.lit(0)).alias("n25"))
+
+
+def shrunk(d: DataFrame, above: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """d, the numbers of groups, each drawn towards the number that `above` has for its keys as if that had `least` more
+    documents to say so; and the fence that follows, at most four times the one above."""
+    u = above.select(*[F.col(c).alias(f"_{c}") for c in above.columns])
+    same = F.col("measure") == F.col("_measure")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    d = d.join(F.broadcast(u) if not keys else u, same)
+    mean = lambda q, n: F.expr(f"({n} * {q} + {least} * _{q}) div ({n} + {least})").alias(q)
+    d = d.select(*[c for c in d.columns if c not in ("q25", "q75", "n25", *u.columns)], mean("q25", "n"), mean("q75", "n"), mean("n25", "some"), "_above")
+    d = fenced(d)
+    return d.withColumn("above", F.least("above", 4 * F.col("_above"))).drop("_above")
+
+
+def fenced(d: DataFrame) -> DataFrame:
+    rule = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, r in RULES.items() for x in (m, r[i])]), F.col("measure"))
+    d = d.withColumns({"_spread": rule(0), "_share": rule(1), "_floor": rule(2)}).withColumn("_width", F.expr("(_spread * (q75 - q25) + _share * n25) div 10"))
+    return d.withColumns({"above": F.greatest(F.col("q75") + F.col("_width"), F.col("_floor")), "below": F.col("q25") - F.col("_width")}).drop("_spread", "_share", "_floor", "_width")
+
+
+def fences(own: DataFrame, least: int = 100) -> DataFrame:
+    """lang, source, measure and the fences above and below, from the sketches of languages and sources."""
+    lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = fenced(quantiles(own.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), []))  # a row for each measure
+    return shrunk(quantiles(own, ["lang", "source"]), shrunk(quantiles(lang, ["lang"]), whole, [], least), ["lang"], least)
 
 
 def thresholds(measured: DataFrame, least: int = 100) -> DataFrame:
     """lang, source and for each measure its upper and lower fence."""
-    own = written(sketches(measured, ["lang", "source"]), "sketches")
-    lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    whole = own.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    name = lambda d, p: d.select(*[F.col(c).alias(p + c if c in ("n", "q25", "q75") else c) for c in d.columns])
-    d = quantiles(own, ["lang", "source"])
-    l = name(quantiles(lang, ["lang"]), "l_").withColumnsRenamed({"lang": "_lang", "measure": "_measure"})
-    d = d.join(l, d["lang"].eqNullSafe(l["_lang"]) & (d["measure"] == l["_measure"]), "left").join(F.broadcast(name(quantiles(whole, []), "w_")), "measure", "left")
-    pick = lambda q: F.when(F.col("n") >= least, F.col(q)).when(F.col("l_n") >= least, F.col("l_" + q)).otherwise(F.col("w_" + q))
-    d = d.select("lang", "source", "measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    width = 3 * (F.col("q75") - F.col("q25")) + slack[F.col("measure")]
-    d = d.select("lang", "source", "measure", (F.col("q75") + width).alias("above"), (F.col("q25") - width).alias("below"))
-    pairs = [F.max(F.when(F.col("measure") == m, F.col(k))).alias(f"{k}_{m}") for m in SLACK for k in ("above", "below")]
+    d = fences(written(sketches(measured, ["lang", "source"]), "sketches"), least)
+    pairs = [F.max(F.when(F.col("measure") == m, F.col(k))).alias(f"{k}_{m}") for m in RULES for k in ("above", "below")]
     return d.groupBy("lang", "source").agg(*pairs)
 
 
@@ -110,7 +134,7 @@ def verdicts(docs: DataFrame, least: int = 100) -> DataFrame:
     measured = written(measures(docs), "measures")
     joined = join_small(measured, thresholds(measured, least), ["lang", "source"])
     outside = F.lit(False)
-    for m in SLACK:
+    for m in RULES:
         outside |= F.col(m) > F.col(f"above_{m}")
     outside |= F.col("m_word_length") < F.col("below_m_word_length")
     return joined.select(*measured.columns, (~F.col("base_failed") & ~outside).alias("kept"))

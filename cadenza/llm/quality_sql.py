@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from cadenza.llm.quality import SLACK
+from cadenza.llm.quality import RULES
 
 
 def _quantiles(keys: str, source: str) -> str:
     by = f"{keys}, measure" if keys else "measure"
-    return f"""SELECT {by}, max(total) AS n, min(CASE WHEN run * 100 >= total * 25 THEN low END) AS q25, min(CASE WHEN run * 100 >= total * 75 THEN low END) AS q75
-      FROM (SELECT {by}, low, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}) AS total
+    at = lambda p: f"min(CASE WHEN run * 100 >= total * {p} THEN low END) AS q{p}"
+    return f"""SELECT {by}, max(total) AS n, max(total - none) AS some, {at(25)}, {at(75)}, coalesce(min(CASE WHEN low > 0 AND (run - none) * 100 >= (total - none) * 25 THEN low END), 0) AS n25
+      FROM (SELECT {by}, low, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}) AS total, sum(CASE WHEN low = 0 THEN n ELSE 0 END) OVER (PARTITION BY {by}) AS none
             FROM (SELECT {by}, bucket, any_value(low) AS low, sum(n) AS n FROM {source} GROUP BY {by}, bucket)) GROUP BY {by}"""
 
 
+def _fenced(source: str, most: str) -> str:
+    rule = lambda i: "CASE measure " + " ".join(f"WHEN '{m}' THEN {r[i]}" for m, r in RULES.items()) + " END"
+    width = f"(({rule(0)}) * (q75 - q25) + ({rule(1)}) * n25) // 10"
+    above = f"greatest(q75 + {width}, {rule(2)})"
+    return f"SELECT *, {f'least({above}, 4 * {most})' if most else above} AS above, q25 - {width} AS below FROM ({source})"
+
+
+def _shrunk(source: str, up: str, keys: str, least: int) -> str:
+    same = "d.measure = u.measure" + "".join(f" AND d.{k} IS NOT DISTINCT FROM u.{k}" for k in keys.split() if k)
+    mean = lambda q, n: f"CAST(({n} * d.{q} + {least} * u.{q}) // ({n} + {least}) AS BIGINT) AS {q}"
+    own = ", ".join(f"d.{k}" for k in (["lang", "source"] if keys else ["lang"]))
+    return _fenced(f"SELECT {own}, d.measure, {mean('q25', 'd.n')}, {mean('q75', 'd.n')}, {mean('n25', 'd.some')}, u.above AS most FROM ({source}) d JOIN {up} u ON {same}", "most")
+
+
 def oracle(least: int = 100) -> str:
     ws = r"[\x20\x09-\x0D]"
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m" for m in SLACK)
-    slack = "CASE f.measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in SLACK.items()) + " END"
-    pick = lambda q: f"CASE WHEN o.n >= {least} THEN o.{q} WHEN l.n >= {least} THEN l.{q} ELSE a.{q} END"
-    outside = " OR ".join([*(f"m.{m} > t.above_{m}" for m in SLACK), "m.m_word_length < t.below_m_word_length"])
-    pivot = ", ".join(f"max(CASE WHEN measure = '{m}' THEN above END) AS above_{m}, max(CASE WHEN measure = '{m}' THEN below END) AS below_{m}" for m in SLACK)
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m" for m in RULES)
+    outside = " OR ".join([*(f"m.{m} > t.above_{m}" for m in RULES), "m.m_word_length < t.below_m_word_length"])
+    pivot = ", ".join(f"max(CASE WHEN measure = '{m}' THEN above END) AS above_{m}, max(CASE WHEN measure = '{m}' THEN below END) AS below_{m}" for m in RULES)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, list_filter(string_split_regex(text, '{ws}+'), lambda x: x <> '') AS w FROM t),
@@ -37,9 +50,7 @@ m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
         CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_capitals // word_chars END AS m_capitals, CASE WHEN n_words = 0 THEN 0 ELSE 100 * word_chars // n_words END AS m_word_length FROM b),
 v AS (SELECT lang, source, measure, CAST(v AS BIGINT) AS v, CASE WHEN v < 32 THEN 0 ELSE length(bin(CAST(v AS BIGINT))) - 5 END AS e FROM ({each})),
 k AS (SELECT lang, source, measure, 16 * e + (v >> CAST(e AS BIGINT)) AS bucket, (v >> CAST(e AS BIGINT)) << CAST(e AS BIGINT) AS low, count(*) AS n FROM v GROUP BY ALL),
-o AS ({_quantiles("lang, source", "k")}), l AS ({_quantiles("lang", "k")}), a AS ({_quantiles("", "k")}),
-f AS (SELECT o.lang, o.source, o.measure, {pick("q25")} AS q25, {pick("q75")} AS q75 FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN a ON a.measure = o.measure),
-h AS (SELECT lang, source, measure, q75 + 3 * (q75 - q25) + {slack} AS above, q25 - 3 * (q75 - q25) - {slack} AS below FROM f),
+a AS ({_fenced(_quantiles("", "k"), "")}), l AS ({_shrunk(_quantiles("lang", "k"), "a", "", least)}), h AS ({_shrunk(_quantiles("lang, source", "k"), "l", "lang", least)}),
 t2 AS (SELECT lang, source, {pivot} FROM h GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({outside}) AS kept
 FROM m JOIN t2 t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"""

@@ -225,11 +225,37 @@ def test_quality_measures(docs, empty):
     assert kept.columns == docs.columns
 
 
-def test_quality_thresholds_adapt(spark):
+def fences_of(spark, groups, least=100):
+    """(source, measure) -> fence above. groups: for each source its values of m_symbols, all other measures being 0."""
+    own = [("en", s, m, v, n) for s, values in groups.items() for m in quality.RULES for v, n in (collections.Counter(values) if m == "m_symbols" else {0: len(values)}).items()]
+    sketch = spark.createDataFrame(own, "lang string, source string, measure string, v long, n long").select("lang", "source", "measure", quality.bucket(F.col("v")).cast("long").alias("bucket"), "n")
+    return {(r.source, r.measure): r.above for r in quality.fences(sketch, least).collect()}
+
+
+def test_quality_fences_follow_the_sketches(spark):
+    groups = {"prose": [0] * 4900 + [200] * 100, "code": [0] * 4500 + [1024] * 500, "small": [0] * 9 + [3000], "junk": [3000] * 200}
+    f = fences_of(spark, groups)
+    above = {s: f[s, "m_symbols"] for s in groups}
+    assert above["prose"] < above["code"], "sources of one language with other values above 0 have other fences"
+    assert above["small"] < 1000, "a few documents hardly move a fence"
+    assert above["junk"] < 3000, "a source in which junk prevails doesn't set its own fence"
+    assert fences_of(spark, groups | {"code": [0] * 4500 + [2048] * 500})["code", "m_symbols"] > above["code"], "only the sketch has changed"
+    assert f["prose", "m_dup_lines"] == quality.RULES["m_dup_lines"][2]
+
+
+def test_quality_verdicts_reject_by_group(spark):
     clean, odd = "plain words of some ordinary prose that says little in {} and then {} ends here with nothing new at all {}", "#a $b %c &d |e <f> #g *h $i %j &k |l <m> #n *o $p %q &r |s <t> {} {} {}"
-    data = [(i, (clean if i % 20 else odd).format(i, i * 7, i * 13), "en", "prose") for i in range(200)] + [(1000 + i, odd.format(i, i * 7, i * 13), "en", "code") for i in range(200)]
-    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
-    assert not any(got[i] for i in range(0, 200, 20)) and all(got[i] for i in range(200) if i % 20) and all(got[1000 + i] for i in range(200))
+    data = [(i, (clean if i % 20 else odd).format(i, i * 7, i * 13), "en", "prose") for i in range(400)] + [(1000 + i, odd.format(i, i * 7, i * 13), "en", "code") for i in range(400)]
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), least=20).collect()}
+    assert not any(got[i] for i in range(0, 400, 20)) and all(got[i] for i in range(400) if i % 20) and all(got[1000 + i] for i in range(400))
+
+
+def test_sql_gives_the_same_rows(spark):
+    from cadenza.llm import queries
+    from tests_common import duckdb_of, rows_of
+
+    for name, sql in queries.ORACLES.items():
+        assert rows_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) == rows_of(duckdb_of("/root/testdata/sf0.001").execute(sql)), name
 
 
 # ---- 2, 3
