@@ -474,11 +474,24 @@ def test_automata_find_what_edit_distance_finds():
             k = rng.randrange(len(w) + 1)
             w[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é", rng.choice("orsid")])
         words.append("".join(w))
-    for w, got in zip(words, m.nearest(words).tolist()):
+    for w, got in zip(words, m.nearest(words)[0].tolist()):
         want = min((distance(w, t) for t in terms if distance(w, t) <= toxicity.edits(t)), default=None)
         assert (got - 1) % 4 == want if got else want is None, w
 
 
+def test_stems_are_found_by_the_automaton():
+    m = toxicity.Matcher(toxicity.Lexicon({"scumbag": 3.0, "abcde": 1.0}, {"scum": 2.0, "wret": 4.0, "abcd": 5.0}, set()))
+    weight, wrong = m.weigh(["scum", "scummy", "scumbag", "scumbeg", "wretched", "wrxtched", "wret", "abcdx", "clean", ""])
+    assert weight.tolist() == [0.0, 2.0, 3.0, 2.0, 4.0, 0.0, 0.0, 5.0, 0.0, 0.0] and not wrong.any()
+
+
+def test_a_match_counts_less_on_a_quoted_line():
+    m = toxicity.Matcher(toxicity.Lexicon({"idiot": 2.0}, {}, set()))
+    texts = ["you idiot", "> you idiot", "a\n > you idiot\nb", "> a\nyou idiot", "a > b, you idiot", "he said “you idiot” to me", "> " + "x " * 400 + "idiot", None or "", "\n\n"]
+    x = toxicity.features(pa.array(texts), m)
+    assert (x[:, 0] / 2).round(6).tolist() == [1, 0.3, 0.3, 1, 1, 0.3, 0.3, 0, 0]
+
+
 # ---- nulls in every column
 
 
