@@ -11,6 +11,7 @@ score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from cadenza.llm.common import Scratch, corpus, held_out, slices, written
 
 #: Training reads at most about this many labelled documents of each class, which bounds the lexicon as well; a term or
-#: stem has at least so many different pairs of neighbours in the toxic ones (copies of one text have the same).
-SAMPLE, CONTEXTS = 5000, 5
+#: stem comes in at least so many toxic ones that differ in the neighbours it has (copies of one text have the same, so
+#: that they count once; of each text that pair of neighbours counts whose hash is the least).
+SAMPLE, CONTEXTS, CHANCE = 5000, 3, 100
 #: Words around a match that are searched for quotation marks, and what a match between them counts.
 CONTEXT, QUOTED = 12, 0.3
 OPEN, CLOSE, BOTH = "“«„‹‘", "”»›’", "\""
@@ -154,20 +156,20 @@ class Matcher:
         return self.accept[state], self.begun[state]
 
     def weigh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the weight of what it matches (0: nothing), and whether it is misspelled."""
+        """For each word the weight of what it matches (0: nothing), and how: 0 as it is, 1 misspelled, 2 by a stem."""
         bare = [EDGES.sub("", w) if not w.isalpha() else w for w in words]
-        (found, begun), weight, wrong = self.nearest(bare), np.zeros(len(words)), np.zeros(len(words), bool)
+        (found, begun), weight, how = self.nearest(bare), np.zeros(len(words)), np.zeros(len(words), int)
         for i in np.flatnonzero(found).tolist():
             t, e = divmod(int(found[i]) - 1, 4)
             if not e:
                 weight[i] = self.lexicon.weights[self.terms[t]]
             elif bare[i] not in self.lexicon.benign:
-                weight[i], wrong[i] = self.lexicon.weights[self.terms[t]], True
+                weight[i], how[i] = self.lexicon.weights[self.terms[t]], 1
         for i in np.flatnonzero(begun >= 0).tolist():
             s = self.lexicon.stems[self.stems[begun[i]]]
-            if wrong[i] or s > weight[i]:
-                weight[i], wrong[i] = s, False
-        return weight, wrong
+            if how[i] or s > weight[i]:
+                weight[i], how[i] = s, 2
+        return weight, how
 
 
 def quoted(before: list[str], own: str, after: list[str]) -> bool:
@@ -177,8 +179,8 @@ def quoted(before: list[str], own: str, after: list[str]) -> bool:
     return depth > 0 and any(c in right for c in CLOSE) or sum(" ".join(before).count(c) for c in BOTH) % 2 == 1 and any(c in right for c in BOTH) or own[:1] in BOTH and own[-1:] in BOTH and len(own) > 1
 
 
-#: Of exact and of misspelled matches the sum of weights by context; of all: the share of words, distinct terms.
-FEATURES = 4
+#: Of exact matches, of misspelled ones and of stems the sum of weights by context; of all: the share of words, distinct ones.
+FEATURES = 5
 
 
 def features(texts: pa.Array, matcher: Matcher) -> np.ndarray:
@@ -187,7 +189,7 @@ def features(texts: pa.Array, matcher: Matcher) -> np.ndarray:
     at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     coded = parts.flatten().dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    weight, wrong = matcher.weigh(words)
+    weight, how = matcher.weigh(words)
     out = np.zeros((len(texts), FEATURES))
     hits = np.flatnonzero(weight[codes])
     if not len(hits):
@@ -208,16 +210,16 @@ def features(texts: pa.Array, matcher: Matcher) -> np.ndarray:
         near = lambda x, y: [words[c] for c in codes[max(a, x) : min(b, y)]]
         c = int(codes[h])
         s = QUOTED if words[codes[begin]].startswith(">") or quoted(near(h - CONTEXT, h), words[c], near(h + 1, h + 1 + CONTEXT)) else 1.0
-        out[d, int(wrong[c])] += s * weight[c]
-        out[d, 2] += s / n[d]
+        out[d, int(how[c])] += s * weight[c]
+        out[d, 3] += s / n[d]
         if c not in seen[d]:
             seen[d].add(c)
-            out[d, 3] += s
+            out[d, 4] += s
     return out
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), np.log1p(x[:, :2]), np.log1p(100 * x[:, 2]), np.log1p(x[:, 3])])
+    return np.column_stack([np.ones(len(x)), np.log1p(x[:, :3]), np.log1p(100 * x[:, 3]), np.log1p(x[:, 4])])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -247,20 +249,24 @@ def learn_lexicon(sampled: DataFrame, contexts: int = CONTEXTS) -> Lexicon:
     d = sampled.select("toxic", "doc_id", F.filter(bare, lambda w: w != "").alias("w")).select("toxic", "doc_id", "w", F.posexplode("w").alias("i", "word"))
     pair = F.when(F.col("toxic") == 1, F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))))
     d = d.select("toxic", "doc_id", "word", pair.alias("pair")).where("length(word) BETWEEN 2 AND 40")
-    per = [F.count_distinct(F.when(F.col("toxic") == k, F.col("doc_id"))).alias(n) for k, n in ((1, "bad"), (0, "good"))]
+    d = d.groupBy("word", "doc_id", "toxic").agg(F.min("pair").alias("pair"))
+    per = [F.count_if(F.col("toxic") == k).alias(n) for k, n in ((1, "bad"), (0, "good"))]
     scratch = Scratch(sampled.sparkSession, "lexicon")
     d = scratch.written(d.groupBy("word").agg(*per, F.count_distinct("pair").alias("contexts")), "words")
     bad, good = sampled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not bad or not good:
         scratch.remove()
         return Lexicon()
+    words, share = d.agg(F.count("*"), F.sum("bad") / F.sum(F.col("bad") + F.col("good"))).first()
+    n, k = F.col("contexts") + F.col("good"), F.col("contexts")
+    # a bound on -log of the probability that so many of n texts are toxic by chance; one term in CHANCE lexicons may be
+    chance = k * F.log(k / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    marked = lambda t: {r.word: float(r.w) for r in t.withColumn("w", odds).where((F.col("contexts") >= contexts) & (F.col("bad") >= 10 * F.col("good")) & (F.col("w") > 2)).select("word", "w").collect()}
-    weights = marked(d)
-    stems = d.select(F.explode(F.transform(F.array(F.lit(4), F.lit(5), F.lit(6)), lambda k: F.when(F.length("word") > k, F.substring("word", F.lit(1), k)))).alias("word"), "bad", "good", "contexts")
+    marked = lambda t, least: {r.word: float(r.w) for r in t.withColumn("w", odds).where((F.col("contexts") >= contexts) & (chance > math.log(CHANCE * words)) & (F.col("w") > least)).select("word", "w").collect()}
+    weights = marked(d, 2.0)
+    stems = d.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.when(F.length("word") > k, F.substring("word", F.lit(1), k)))).alias("word"), "bad", "good", "contexts")
     stems = stems.where("word IS NOT NULL").groupBy("word").agg(F.least(F.sum("bad"), F.lit(bad)).alias("bad"), F.sum("good").alias("good"), F.sum("contexts").alias("contexts"), F.count_if(F.col("contexts") >= contexts).alias("n")).where("n >= 6")
-    found = marked(stems)
-    stems = {s: w for s, w in found.items() if not any(s[:k] in found for k in range(4, len(s)))}
+    stems = marked(stems, 1.0)  # of several that a word begins with the one of the greatest weight counts
     sc = sampled.sparkSession.sparkContext.broadcast(Lexicon(weights, {}, set()))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +323,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Rows are independent, repeated ones are scored each; columns other than doc_id and text aren't read."""
     d = _featured(corpus(docs, held_out().alias("held_out")), model.lexicon, "held_out")
     w, x = model.coefficients.tolist(), lambda i: F.get("x", i)
-    z = F.lit(w[0]) + w[1] * F.log1p(x(0)) + w[2] * F.log1p(x(1)) + w[3] * F.log1p(100 * x(2)) + w[4] * F.log1p(x(3))
+    z = F.lit(w[0]) + w[1] * F.log1p(x(0)) + w[2] * F.log1p(x(1)) + w[3] * F.log1p(x(2)) + w[4] * F.log1p(100 * x(3)) + w[5] * F.log1p(x(4))
     s = 1 / (1 + F.exp(-z))
     return d.select("doc_id", "held_out", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
 
