@@ -8,6 +8,7 @@ probabilities are the mean of its windows', weighted by their letters.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import corpus, held_out
+from cadenza.llm.common import corpus, held_out, slices
 
 WINDOW, SYMBOLS, WIDTHS, FILTERS = 256, 64, (2, 3, 4, 5), 12
 LAST = max(WIDTHS)
@@ -120,11 +121,11 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, seed: int = 7) -> tuple[
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * 1e9))]), F.col("lang")) if counts else F.lit(0)
     d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < share)
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int"))
-    d = d.select("lang", F.transform(places, lambda p: F.substring(F.col("text"), p + 1, F.lit(WINDOW))).alias("parts"))
-    rng, texts, langs = np.random.RandomState(seed), [], []
-    for r in d.collect():
-        for p in dict.fromkeys(r.parts):
-            raw = p.encode()[:WINDOW]
+    d = d.select("doc_id", "lang", F.transform(places, lambda p: F.substring(F.col("text"), p + 1, F.lit(WINDOW))).alias("parts"))
+    texts, langs = [], []
+    for r in sorted(d.collect(), key=lambda r: (r.doc_id, r.lang, r.parts)):  # of a bounded sample, whatever its partitions
+        for i, p in enumerate(dict.fromkeys(r.parts)):
+            raw, rng = p.encode()[:WINDOW], np.random.RandomState(zlib.crc32(f"{seed} {r.doc_id} {i}".encode()))
             if rng.rand() < 0.5:  # short texts have to be told apart as well
                 a = rng.randint(0, max(1, len(raw) - 8))
                 raw = raw[a : a + rng.randint(8, 120)]
@@ -152,23 +153,23 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         tables = net.tables() if net else None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                known = pc.match_substring_regex(part.column("text"), r"\pL").to_numpy(zero_copy_only=False)
-                lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                if net and known.any():
-                    where = np.flatnonzero(known)
-                    x, k = windows([t.encode() for t in part.column("text").take(pa.array(where)).to_pylist()])
-                    letters = ((x > 0) & (x < 27) | (x > 29)).sum(1) + 1e-6
-                    at = np.cumsum(k) - k
-                    p = np.add.reduceat(net.probabilities(x, tables) * letters[:, None], at) / np.add.reduceat(letters, at)[:, None]
-                    for i, b, s in zip(where.tolist(), p.argmax(1).tolist(), p.max(1).tolist()):
-                        lang[i], score[i] = net.languages[b], min(1.0, s)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        for part in slices(batches, rows=500):
+            known = pc.match_substring_regex(part.column("text"), r"\pL").to_numpy(zero_copy_only=False)
+            lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
+            if net and known.any():
+                where = np.flatnonzero(known)
+                x, k = windows([t.encode() for t in part.column("text").take(pa.array(where)).to_pylist()])
+                letters = ((x > 0) & (x < 27) | (x > 29)).sum(1) + 1e-6
+                at = np.cumsum(k) - k
+                p = np.add.reduceat(net.probabilities(x, tables) * letters[:, None], at) / np.add.reduceat(letters, at)[:, None]
+                for i, b, s in zip(where.tolist(), p.argmax(1).tolist(), p.max(1).tolist()):
+                    lang[i], score[i] = net.languages[b], min(1.0, s)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return corpus(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """predict() by a network learned from the training documents of docs alone: those with a text, a language and an id
+    that isn't held out. Null ids, texts and languages are never learned from; repeated rows are predicted each."""
     return predict(docs, fit(docs))

@@ -168,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     count = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs = spark.sparkContext.broadcast(places(count, capacity))
     before = by_task.select("_task", "length", (F.sum("n").over(W.partitionBy("length").orderBy("_task")) - F.col("n")).alias("_before"))
-    ranked = cut.join(before, ["_task", "length"]).withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_before", "_nth", "_task")
+    # by a shuffle of narrow rows: `before` has a row for each task and length, so it grows with the corpus
+    ranked = cut.join(before.hint("merge"), ["_task", "length"]).withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_before", "_nth", "_task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = runs.value

@@ -67,8 +67,8 @@ def op3_warc(spark, sf_dir):
 
 @query()
 def op2_quotes(spark, sf_dir):
-    d = quotes.conversations(table(spark, sf_dir, "conversations"))
-    return d.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "n_quoted", "n_linked", "max_level", "reply_to")
+    d = quotes.threads(quotes.conversations(table(spark, sf_dir, "conversations")))
+    return d.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "n_quoted", "n_linked", "max_level", "reply_to", "thread", "depth")
 
 
 @query()

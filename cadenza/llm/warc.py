@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cadenza.llm.common import scratch_path, spread, written
+from cadenza.llm.common import join_counted, scratch_path, spread, written
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
@@ -33,7 +33,7 @@ def _uri(url: str | None, page_id) -> str:
 
 def record(page_id, url, payload: bytes, digest: str, refers_to, is_response: bool) -> bytes:
     """One record, before compression. A revisit keeps the HTTP head, with the length of the full payload, only."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}:{digest}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if is_response else http
     lines = [
@@ -69,9 +69,9 @@ def write(pages: DataFrame, file_bytes: int = 64_000_000, level: int = 5) -> Dat
     """
     folder = scratch_path(pages.sparkSession, "warc")
     d = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha1", F.sha1("payload"))
-    ids = d.select("page_id", "sha1")
-    kept = ids.groupBy("sha1").agg(F.max("page_id").alias("kept"))
-    roles = ids.distinct().join(kept, "sha1").withColumnsRenamed({"page_id": "_id", "sha1": "_sha1"})
+    ids = written(d.select("page_id", "sha1"), "digests")
+    kept = ids.groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("size"))
+    roles = join_counted(ids, kept, "sha1").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "kept").distinct()
     d = d.join(roles, d["page_id"].eqNullSafe(roles["_id"]) & (d["sha1"] == roles["_sha1"])).drop("_id", "_sha1")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def ranges(selected: DataFrame, gap: int = 64_000, most: int = 8_000_000) -> Dat
 
 
 def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
-    """page_id, url, record_type, payload_digest, payload_bytes, refers_to (and payload, null for revisits) of the selected
+    """page_id, url (as it stands in the record: percent-encoded, urn:page:N for null), record_type, payload_digest, payload_bytes, refers_to (and payload, null for revisits) of the selected
     rows of an index. The payload of a response is held against its digest."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -269,8 +269,55 @@ def test_quotes(spark):
     assert [(got[1, t].text, got[1, t].n_quoted, got[1, t].n_linked, got[1, t].reply_to) for t in range(4)] == [("Hello there.\nHow are you?\nBye", 0, 0, None), ("Fine.", 2, 1, 0), ("Great", 2, 2, 1), ("", 0, 0, 2)]
     assert quotes.conversations(m).count() == 7 and (got[2, 0].n_quoted, got[2, 0].n_linked) == (1, 0)
     p = {(r.conv_id, r.turn, r.passage): r for r in quotes.passages(m).collect()}
-    assert p[1, 2, 1].origin == 0 and p[1, 2, 1].hash == p[1, 1, 1].hash and p[1, 2, 2].origin == 1
-    assert quotes.conversations(m.limit(0)).count() == 0
+    assert p[1, 2, 1].origin == 0 and p[1, 2, 1].hash == p[1, 1, 1].hash and p[1, 2, 1].whole and p[1, 2, 2].origin == 1
+    assert quotes.threads(quotes.conversations(m.limit(0))).count() == 0
+
+
+def test_quotes_like_brute_force(spark):
+    rng = random.Random(2)
+    data = []
+    for conv in range(12):
+        said: list[list[str]] = []
+        for turn in range(rng.randint(1, 14)):
+            out = []
+            for _ in range(rng.randint(0, 2)):
+                if said and rng.random() < 0.9:
+                    own = [x for x in rng.choice(said) if not x.startswith(">")]
+                    a = rng.randrange(len(own) + 1)
+                    out += ["> " * rng.randint(1, 2) + x.upper() for x in own[a : a + rng.randint(1, 3)]]
+                out += [rng.choice("abcde") + rng.choice(" xy") for _ in range(rng.randint(0, 3))] + rng.choice([[], [""], ["> zz"]])
+            said.append(out)
+            data.append((conv, turn, "u", "\n".join(out)))
+    got = {(r.conv_id, r.turn): r for r in quotes.threads(quotes.conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in range(12):
+        msgs, chain = [t.split("\n") for c, _, _, t in data if c == conv], {}
+        parsed = []
+        for text in msgs:
+            rows_ = []
+            for raw in text:
+                mark = re.match(r"\s*((?:>\s?)+)", raw)
+                line = " ".join((raw[mark.end() :] if mark else raw).split()).lower()
+                if line:
+                    rows_.append((mark.group(1).count(">") if mark else 0, line))
+            parsed.append(rows_)
+        for turn, rows_ in enumerate(parsed):
+            own = [[x for k, x in p if k == 0] for p in parsed[:turn]]
+            quotes_ = [(k, list(g)) for k, g in ((k, [x for _, x in g]) for k, g in __import__("itertools").groupby((r for r in rows_ if r[0]), key=lambda r: r[0]))]
+            votes, linked = collections.defaultdict(lambda: [9, 0]), 0
+            for k, p in quotes_:
+                origin = max((t for t, o in enumerate(own) if any(o[i : i + len(p)] == p for i in range(len(o)))), default=None)
+                if origin is None:
+                    each = [max((t for t, o in enumerate(own) if x in o), default=None) for x in p]
+                    n = collections.Counter(t for t in each if t is not None)
+                    origin, linked = max(n, key=lambda t: (n[t], t), default=None), linked + sum(n.values())
+                else:
+                    linked += len(p)
+                if origin is not None:
+                    votes[origin] = [min(votes[origin][0], k), votes[origin][1] + len(p)]
+            reply = max(votes, key=lambda t: (-votes[t][0], votes[t][1], t)) if votes else turn - 1 if turn else None
+            chain[turn] = (chain[reply][0], chain[reply][1] + 1) if reply is not None else (turn, 0)
+            r = got[conv, turn]
+            assert (r.n_quoted, r.n_linked, r.reply_to, r.thread, r.depth) == (sum(len(p) for _, p in quotes_), linked, reply, *chain[turn]), (conv, turn)
 
 
 def test_quotes_take_the_latest_earlier_message(spark):
@@ -438,6 +485,20 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_does_not_depend_on_partitions(spark):
+    d, _ = corpus_of(spark, 100)
+    (x, a), (y, b) = langid.sample(d.repartition(1)), langid.sample(d.repartition(7))
+    assert a == b and (x == y).all()
+
+
+def test_the_network_s_tables_give_its_filters():
+    net, rng = langid.Network(["a", "b"]), np.random.RandomState(1)
+    x = rng.randint(0, langid.SYMBOLS, (5, langid.WINDOW)).astype(np.uint8)
+    n = langid.WINDOW - langid.LAST + 1
+    want = np.stack([np.max([sum(net.filters[o][row[i + o]] for o in range(langid.LAST)) for i in range(n)], 0) for row in x])
+    assert np.allclose(net.pooled(x), np.maximum(want + net.bias, 0), atol=1e-4)
+
+
 def test_toxicity(spark, empty):
     d, labels = corpus_of(spark)
     model = toxicity.fit(d, labels)
