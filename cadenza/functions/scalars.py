@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Note names from C.
 NOTES_EN = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+NOTES_JP = ["ド", "ド#", "レ", "レ#", "ミ", "ファ", "ファ#", "ソ", "ソ#", "ラ", "ラ#", "シ"]
 # Least accuracy of the ratings perfect (3), great (2) and good (1); full and no credit, in semitones.
 RATINGS = ((0.82, 3), (0.55, 2), (0.28, 1))
 FULL, NONE = 0.75, 1.6
@@ -28,6 +29,10 @@ def note_name(midi: Column) -> Column:
     return F.concat(name, (F.floor(midi / 12) - 1).cast("string"))
 
 
+def note_name_jp(midi: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, NOTES_JP)), F.pmod(midi, F.lit(12)).cast("int") + 1)
+
+
 def midi_of(frequency: Column) -> Column:
     return 69 + 12 * F.log2(frequency / 440)
 
@@ -183,3 +188,36 @@ def sweep_place(t: Column, t0: Column, rate: Column) -> Column:
 def tail(log: Column, more: Column, most: int = 40_000) -> Column:
     """A log with more text, its last characters."""
     return F.right(F.concat(F.coalesce(log, F.lit("")), F.coalesce(more, F.lit(""))), F.lit(most))
+
+
+def lattice_place(row: Column, spacing: Column, phase: Column) -> Column:
+    """Where a row of a lattice lies: the inverse of its row number, which counts upwards."""
+    return phase - row * spacing
+
+
+def shown_at(t_start: Column, begins: Column, ahead: float = 2.2) -> Column:
+    """When a note comes into view: so many seconds ahead, but not before its page."""
+    return F.greatest(t_start - ahead, begins)
+
+
+def escaped(text: Column) -> Column:
+    """A text as it may stand in HTML."""
+    out = F.coalesce(text, F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def stale(seen: Column, now: Column) -> Column:
+    """Whether something was last seen in another hour than now."""
+    return seen.isNull() | (F.date_trunc("hour", seen) != F.date_trunc("hour", now))
+
+
+def overlaid(old: Column, new: Column) -> Column:
+    """A map with the entries of another one put over its own."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def thinned(values: Column, step: int, most: int) -> Column:
+    """Every step-th element of an array from the first on, so many at most."""
+    return F.slice(F.filter(values, lambda x, i: i % step == 0), 1, most)

@@ -5,27 +5,33 @@ last_wins is declarative. The greedy folds depend on the order of their rows and
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators.folds import fold_groups
+from cadenza.operators.joins import stab
 from cadenza.operators.sequence import by, islands
 
 
-def last_wins(df: DataFrame, keys: list[str], ident: str, start: str = "t_start", end: str = "t_end", least: float = 0.02) -> DataFrame:
-    """keys, ident, start, end: no two overlap. Every moment belongs to the interval that started last (of equal starts
-    the greatest ident); pieces shorter than `least` go, and pieces of one interval that then adjoin are one again."""
+#: Fixed values, in seconds: pieces shorter than SLIVER own nothing, notes shorter than SHORTEST go, a note lies within
+#: another one up to WITHIN at either end.
+SLIVER, SHORTEST, WITHIN = 0.02, 0.035, 0.02
+
+
+def last_wins(df: DataFrame, keys: list[str], ident: str, start: str = "t_start", end: str = "t_end", sliver: float = SLIVER, least: float = SHORTEST, width: float = 4.0) -> DataFrame:
+    """keys, ident, start, end: no two overlap. Every moment between two neighbouring bounds belongs to the interval that
+    started last (of equal starts the one that ends first, then the least ident); pieces shorter than `sliver` belong to
+    nobody, pieces of one interval at most `least` apart are one again, and what is shorter than `least` goes."""
     d = df.where(F.col(end) > F.col(start)).select(*keys, ident, F.col(start).alias("_a"), F.col(end).alias("_b"))
-    cuts = d.select(*keys, F.explode(F.array("_a", "_b")).alias("_t")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("_t")).alias("_cuts"))
-    pieces = d.join(cuts, keys).withColumn("_own", F.filter("_cuts", lambda t: (t >= F.col("_a")) & (t < F.col("_b"))))
-    pieces = pieces.select(*keys, ident, "_a", "_b", F.posexplode("_own").alias("_i", "_s"), "_own")
-    pieces = pieces.withColumn("_e", F.coalesce(F.get("_own", F.col("_i") + 1), F.col("_b")))
-    owned = pieces.groupBy(*keys, "_s", "_e").agg(F.max(F.struct("_a", ident)).alias("_o")).select(*keys, F.col(f"_o.{ident}").alias(ident), "_s", "_e")
-    for slack in (0.0, least):  # join what adjoins, drop slivers, then join across what they left
-        w = by(keys, ["_s"])
-        new = ~F.col(ident).eqNullSafe(F.lag(ident).over(w)) | (F.col("_s") - F.lag("_e").over(w) > slack + 1e-9)
-        owned = islands(owned, keys, ["_s"], new).groupBy(*keys, ident, "island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("island")
-        owned = owned.where(F.col("_e") - F.col("_s") >= least)
-    return owned.select(*keys, ident, F.col("_s").alias(start), F.col("_e").alias(end))
+    d = d.withColumn("_rank", -F.row_number().over(by(keys, ["_a", "_b", ident])))
+    cuts = d.select(*keys, F.explode(F.array("_a", "_b")).alias("_s")).distinct()
+    pieces = cuts.withColumn("_e", F.lead("_s").over(by(keys, ["_s"]))).where(F.col("_e") - F.col("_s") >= sliver - 1e-9).withColumn("_m", (F.col("_s") + F.col("_e")) / 2)
+    owned = stab(pieces, d, keys, "_m", ("_a", "_b"), ["_rank", ident], width, [*keys, "_m"]).where(F.col(ident).isNotNull())
+    w = by(keys, ["_s"])
+    new = ~F.col(ident).eqNullSafe(F.lag(ident).over(w)) | (F.col("_s") - F.lag("_e").over(w) > least + 1e-6)
+    owned = islands(owned, keys, ["_s"], new).groupBy(*keys, ident, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("island")
+    return owned.where(F.col(end) - F.col(start) >= least)
 
 
 def shadowed(df: DataFrame, keys: list[str], ident: str, kept: DataFrame) -> DataFrame:
@@ -38,17 +44,18 @@ def undo_splits(df: DataFrame, keys: list[str], exact: list[str], start: str, en
     return df.groupBy(*keys, *exact).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"))
 
 
-def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start: str, end: str, slack: float = 0.02) -> DataFrame:
-    """keys, ident of what isn't contained in a longer kept interval of one pitch, up to slack at either end."""
+def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start: str, end: str, slack: float = WITHIN) -> DataFrame:
+    """keys, pitch, ident of what isn't contained, up to slack at either end, in a kept interval of one pitch that comes
+    before it in the order of start, end and ident. All that a pitch needs to remember is the last end that it kept."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
-        kept: dict = {}
-        for r in sorted(rows, key=lambda r: (r[start] - r[end], r[start], r[ident])):
-            if not any(k[start] - slack <= r[start] and r[end] <= k[end] + slack for k in kept.get(r[pitch], ())):
-                kept.setdefault(r[pitch], []).append(r)
-        return [(r[ident],) for rs in kept.values() for r in rs]
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        reached = float("-inf")
+        for r in rows:
+            if r[end] - slack > reached:
+                reached = max(reached, r[end])
+                yield (r[ident],)
 
-    return fold_groups(df, keys, [ident, pitch, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold)
+    return fold_groups(df, [*keys, pitch], [ident, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold, order=[start, end, ident])
 
 
 def suppress_overlaps(df: DataFrame, keys: list[str], ident: str, prefer: list[tuple[str, bool]], start: str, end: str, share: float = 0.3) -> DataFrame:
@@ -66,24 +73,103 @@ def suppress_overlaps(df: DataFrame, keys: list[str], ident: str, prefer: list[t
 
 
 def cluster_bars(df: DataFrame, keys: list[str], order: list[str], dy: float = 4.0, d0: float = 6.0, d1: float = 8.0) -> DataFrame:
-    """keys, cluster, x0, x1, cy, seen: every bar (x0, x1, cy), in order, joins the first cluster whose box is near enough;
-    the box then drifts towards it as the mean of its bars."""
+    """keys, cluster, x0, x1, cy, seen: every bar (x0, x1, cy), in order, joins the first cluster that it is near enough:
+    to its leftmost x0, its rightmost x1 and the cy that it began with."""
 
     def fold(rows: list[dict]) -> list[tuple]:
         found: list[list] = []
         for r in sorted(rows, key=lambda r: [r[c] for c in order]):
-            for c in found:
-                if abs(r["cy"] - c[2]) < dy and abs(r["x0"] - c[0]) <= d0 and abs(r["x1"] - c[1]) <= d1:
-                    n = c[3]
-                    c[:] = [(c[0] * n + r["x0"]) / (n + 1), (c[1] * n + r["x1"]) / (n + 1), (c[2] * n + r["cy"]) / (n + 1), n + 1]
-                    break
-            else:
+            box = next((c for c in found if abs(r["cy"] - c[2]) < dy and abs(r["x0"] - c[0]) <= d0 and abs(r["x1"] - c[1]) <= d1), None)
+            if box is None:
                 found.append([float(r["x0"]), float(r["x1"]), float(r["cy"]), 1])
+            else:
+                box[0], box[1], box[3] = min(box[0], r["x0"]), max(box[1], r["x1"]), box[3] + 1
         return [(i, *c) for i, c in enumerate(found)]
 
     return fold_groups(df, keys, [*order, "x0", "x1", "cy"], "cluster int, x0 double, x1 double, cy double, seen long", fold)
 
 
+def grow_tracks(df: DataFrame, keys: list[str], frame: str, step: int = 1, dy: float = 5.0, dx: float = 7.0, back: float = 8.0) -> DataFrame:
+    """keys, track, first_f, last_f, x0, x1, cy, h, first_w, hits: detections (x0, x1, cy, h), in the order of frames,
+    continue the oldest open track at their place, last seen at most 4 steps ago, unless they end more than `back` left of
+    it (the bar is being drawn anew); a track closes when it hasn't been seen for more than 5 steps. Rows stream: open
+    tracks alone are in memory."""
+
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        live: list[dict] = []
+        begun = 0
+        for r in rows:
+            f = r[frame]
+            yield from (shown(t) for t in live if f - t["last"] > 5 * step)
+            live = [t for t in live if f - t["last"] <= 5 * step]
+            same = next((t for t in live if abs(t["cy"] - r["cy"]) <= dy and abs(t["x0"] - r["x0"]) <= dx and f - t["last"] <= 4 * step and r["x1"] >= t["x1"] - back), None)
+            if same is None:
+                live.append({"n": begun, "first": f, "last": f, "x0": r["x0"], "x1": r["x1"], "cy": float(r["cy"]), "h": r["h"], "w": r["x1"] - r["x0"], "hits": 1})
+                begun += 1
+            else:
+                same |= {"last": f, "x0": min(same["x0"], r["x0"]), "x1": max(same["x1"], r["x1"]), "cy": 0.7 * same["cy"] + 0.3 * r["cy"], "h": max(same["h"], r["h"]), "hits": same["hits"] + 1}
+        yield from map(shown, live)
+
+    def shown(t: dict) -> tuple:
+        return t["n"], t["first"], t["last"], float(t["x0"]), float(t["x1"]), t["cy"], float(t["h"]), float(t["w"]), t["hits"]
+
+    return fold_groups(df, keys, [frame, "x0", "x1", "cy", "h"], "track int, first_f long, last_f long, x0 double, x1 double, cy double, h double, first_w double, hits long", fold, order=[frame, "cy", "x0", "x1", "h"])
+
+
+#: The share of the lesser width from which bars of a sweep collide; seconds off the sweep's line from which
+#: a bar is an outlier, and below which it is an inlier; the shortest time that a retimed note sounds.
+COLLIDE, OUTLIER, INLIER, SOUNDS = 0.6, 0.5, 0.3, SHORTEST + 0.005
+
+
+def dedupe_sweep(df: DataFrame, keys: list[str], ident: str, pitch: str, slope: str, rest: str) -> DataFrame:
+    """keys, ident, action, other, x0, x1, t_start, t_end: of the notes of a sweep (x0, x1, t_start, t_end), from left to
+    right, what becomes of each: kept (widened by its duplicates), dup-union (into `other`), ghost-coexist or
+    ghost-offsweep (for `other`). Colliding notes that sound at once are one note if of one pitch, else the one further
+    off the sweep's line goes; colliding notes apart in time are both kept unless one alone is off the line. `slope` is the
+    sweep's seconds per pixel and `rest` how far a note is off its line; both null where no line was found."""
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        notes, out = [], []
+        for r in sorted(rows, key=lambda r: (r["x0"], r["x1"], r[ident])):
+            n, gone = dict(r), None
+            for m in list(notes):
+                shared, lesser = min(m["x1"], n["x1"]) - max(m["x0"], n["x0"]), min(m["x1"] - m["x0"], n["x1"] - n["x0"])
+                if lesser <= 0 or shared < COLLIDE * lesser:
+                    continue
+                at_once = min(m["t_end"], n["t_end"]) > max(m["t_start"], n["t_start"])
+                if at_once and m[pitch] == n[pitch]:
+                    m.update(x0=min(m["x0"], n["x0"]), x1=max(m["x1"], n["x1"]), t_start=min(m["t_start"], n["t_start"]))
+                    m["t_end"] = max(m["t_end"], n["t_end"]) if n[slope] is None else m["t_start"] + max((m["x1"] - m["x0"]) * n[slope], SOUNDS)
+                    gone = ("dup-union", m[ident])
+                else:
+                    worse = off_line(n, m, at_once)
+                    if worse is m:
+                        notes.remove(m)
+                        out.append((m, "ghost-coexist" if at_once else "ghost-offsweep", n[ident]))
+                    elif worse is n:
+                        gone = ("ghost-coexist" if at_once else "ghost-offsweep", m[ident])
+                if gone:
+                    break
+            if gone:
+                out.append((n, *gone))
+            else:
+                notes.append(n)
+        out += [(n, "kept", None) for n in notes]
+        return [(n[ident], action, other, float(n["x0"]), float(n["x1"]), float(n["t_start"]), float(n["t_end"])) for n, action, other in out]
+
+    def off_line(n: dict, m: dict, at_once: bool) -> dict | None:
+        """The one of two colliding notes that goes, if any."""
+        if at_once:
+            score = lambda x: x["x0"] - x["x1"] if x[rest] is None else x[rest]
+            return n if score(n) >= score(m) else m
+        if n[rest] is None or m[rest] is None:
+            return None
+        return n if n[rest] > OUTLIER and m[rest] < INLIER else m if m[rest] > OUTLIER and n[rest] < INLIER else None
+
+    kind = dict(df.dtypes)[ident]
+    return fold_groups(df, keys, [ident, pitch, "x0", "x1", "t_start", "t_end", slope, rest], f"{ident} {kind}, action string, other {kind}, x0 double, x1 double, t_start double, t_end double", fold)
+
+
 def track(df: DataFrame, keys: list[str], frame: str, dy: float = 12.0, gap: int = 20, overlap: float = 0.5) -> DataFrame:
     """keys, track, first_f, last_f, x0, x1, cy, hits: detections in the order of frames join the live track of nearly
     their height that they overlap most (more than `overlap` of the lesser width); a track closes after `gap` frames."""

@@ -62,8 +62,32 @@ def merge(old: DataFrame, new: DataFrame, key: str, overwrite: list[str], fill:
     return j.select(F.coalesce(key, "_key").alias(key), *[pick(c).alias(c) for c in old.columns if c != key])
 
 
-def delete_cascade(parent: DataFrame, key: str, gone: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
-    """Snapshots without the parents in `gone` (one column: keys) and without the children that refer to them."""
+def delete_cascade(parent: DataFrame, key: str, gone: DataFrame, children: dict[str, tuple[DataFrame, str]], detached: dict[str, tuple[DataFrame, str]] | None = None) -> dict[str, DataFrame]:
+    """Snapshots without the parents in `gone` (one column: keys) and without the children that refer to them; those in
+    `detached` stay and refer to nothing."""
     ids = gone.toDF("_gone").distinct()
     drop = lambda d, c: d.join(ids, d[c] == ids["_gone"], "left_anti")
-    return {"parent": drop(parent, key)} | {name: drop(d, c) for name, (d, c) in children.items()}
+    free = lambda d, c: d.join(ids, d[c] == ids["_gone"], "left").withColumn(c, F.when(F.col("_gone").isNull(), F.col(c))).drop("_gone")
+    return {"parent": drop(parent, key)} | {name: drop(d, c) for name, (d, c) in children.items()} | {name: free(d, c) for name, (d, c) in (detached or {}).items()}
+
+
+def counted_up(counters: DataFrame, key: str, counter: str, events: DataFrame) -> DataFrame:
+    """The counters with one more for every event of their key; keys without a counter begin at 0."""
+    n = events.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    d = counters.join(n, F.col(key) == F.col("_key"), "full_outer")
+    return d.select(F.coalesce(key, "_key").alias(key), (F.coalesce(counter, F.lit(0)) + F.coalesce("_n", F.lit(0))).alias(counter), *[c for c in counters.columns if c not in (key, counter)])
+
+
+def assigned(df: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """A snapshot in which rows of the keys in `changes` have its values, null ones too; other rows and columns stay."""
+    c = changes.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(x).alias(f"_{x}") for x in changes.columns if x != key])
+    d = df.join(c, F.col(key) == F.col("_key"), "left")
+    return d.select(*[F.when(F.col("_hit"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in changes.columns and x != key else F.col(x) for x in df.columns])
+
+
+def plausible(new: DataFrame, old: DataFrame, share: float) -> DataFrame:
+    """The new rows if there are at least `share` as many as old ones, else the old: one count of each side decides, within
+    the plan."""
+    n = new.agg(F.count("*").alias("_new")).crossJoin(old.agg(F.count("*").alias("_old"))).select((F.col("_new") >= share * F.col("_old")).alias("_ok"))  # a row each
+    pick = lambda d, c: d.crossJoin(F.broadcast(n)).where(c).drop("_ok")
+    return pick(new, F.col("_ok")).unionByName(pick(old, ~F.col("_ok")))

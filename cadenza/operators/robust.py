@@ -52,29 +52,33 @@ def theil_sen_pairs(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame
     return df.join(slope, keys).groupBy(*keys, "slope").agg(F.median(F.col(x) - F.col("slope") * F.col(t)).alias("intercept"), F.count("*").alias("n"))
 
 
-def ransac_lines(df: DataFrame, keys: list[str], t: str, x: str, tolerance: float, most: int = 2, least: int = 4) -> DataFrame:
-    """keys, line, slope, intercept, inliers: up to `most` lines, each through the pair of points that most of the points
-    not yet used lie near; lines of fewer than `least` points are left."""
+def ransac_lines(df: DataFrame, keys: list[str], t: str, x: str, tolerance: float = 0.08, rates: tuple[float, float] = (60.0, 1200.0), span: float = 100.0, most: int = 2, least: int = 4) -> DataFrame:
+    """keys, line, rate, t0, inliers: up to `most` lines t = t0 + x / rate, each through the pair of points, at least `span`
+    apart in x, that most of the points not yet used lie within `tolerance` of in time; lines of other rates or of fewer
+    than `least` points are left. A line is then fitted to its inliers."""
 
     def fit(rows: list[dict]) -> list[tuple]:
         (ts, xs), out = _points(rows, t, x), []
         while len(out) < most and len(ts) >= least:
             i, j = np.triu_indices(len(ts), 1)
-            use = np.abs(ts[j] - ts[i]) > 1e-9
-            i, j = i[use], j[use]
-            if not len(i):
+            dt, dx = ts[j] - ts[i], xs[j] - xs[i]
+            use = (dt > 0) & (np.abs(dx) >= span)
+            use[use] = (dx[use] / dt[use] > rates[0]) & (dx[use] / dt[use] < rates[1])
+            if not use.any():
                 break
-            s = (xs[j] - xs[i]) / (ts[j] - ts[i])
-            near = np.abs(xs[None] - (xs[i] - s * ts[i])[:, None] - s[:, None] * ts[None]) <= tolerance
+            i, rate = i[use], dx[use] / dt[use]
+            near = np.abs(ts[None] - (ts[i] - xs[i] / rate)[:, None] - xs[None] / rate[:, None]) < tolerance
             best = int(near.sum(1).argmax())
-            if near[best].sum() < least:
+            own = near[best]
+            if own.sum() < least:
                 break
-            line = theil_sen_line(ts[near[best]], xs[near[best]])
-            out.append((len(out), *line, int(near[best].sum())))
-            ts, xs = ts[~near[best]], xs[~near[best]]
+            line = theil_sen_line(ts[own], xs[own])
+            r = line[0] if line and rates[0] < line[0] < rates[1] else float(rate[best])
+            out.append((len(out), r, float(np.median(ts[own] - xs[own] / r)), int(own.sum())))
+            ts, xs = ts[~own], xs[~own]
         return out
 
-    return fold_groups(df, keys, [t, x], "line int, slope double, intercept double, inliers long", fit)
+    return fold_groups(df, keys, [t, x], "line int, rate double, t0 double, inliers long", fit)
 
 
 def circular_mode(df: DataFrame, keys: list[str], value: str, size: int = 180, half: int = 6) -> DataFrame:
@@ -85,8 +89,8 @@ def circular_mode(df: DataFrame, keys: list[str], value: str, size: int = 180, h
     return w.groupBy(*keys).agg(F.min(F.struct(-F.col("weight"), F.col("mode").alias("m"))).alias("_b")).select(*keys, F.col("_b.m").alias("mode"), (-F.col("_b.col1")).alias("weight"))
 
 
-def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high: float = 13.0, step: float = 0.02, tolerance: float = 2.0) -> DataFrame:
-    """keys, spacing, phase, score: the row spacing for which most values lie within `tolerance` of a lattice whose phase
+def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high: float = 13.0, step: float = 0.02, tolerance: float = 1.6) -> DataFrame:
+    """keys, spacing, phase, score: the row spacing for which most values lie less than `tolerance` from a lattice whose phase
     is their circular mean; score adds a quarter of the mean resultant to the share of inliers. Equal values are counted
     before they are dealt: few rows, many bars."""
 
@@ -98,7 +102,7 @@ def lattice_fit(df: DataFrame, keys: list[str], y: str, low: float = 6.5, high:
         c, s = np.cos(angle) @ n, np.sin(angle) @ n
         phase = np.mod(np.arctan2(s, c) / (2 * np.pi), 1) * a
         rest = np.abs(np.mod(ys[None] - phase[:, None] + a[:, None] / 2, a[:, None]) - a[:, None] / 2)
-        score = (rest <= tolerance) @ n + 0.25 * np.hypot(c, s)
+        score = (rest < tolerance) @ n + 0.25 * np.hypot(c, s)
         i = int(score.argmax())
         return [(float(a[i]), float(phase[i]), float(score[i]))]
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.functions.scalars import credit, folded, rating, stamp, total_score
+from cadenza.operators.folds import fold_groups
 from cadenza.operators.joins import asof, stab
 from cadenza.operators.sequence import by, combos
 
@@ -59,3 +63,35 @@ def section_stamps(results: DataFrame, flips: DataFrame) -> DataFrame:
     d = results.where("rating IS NOT NULL").join(flips, "song_id").where("t_end > t0 AND t_end <= t1 + 0.2")
     d = d.groupBy("session_id", "section").agg(F.avg("acc").alias("acc"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
     return d.withColumn("stamp", stamp(F.col("acc")))
+
+
+def shown_pitches(credits: DataFrame) -> DataFrame:
+    """session_id, t, shown of the frames of frame_credits() that have a pitch: the pitch in the octave nearest to the note
+    that sounds; without one, to what was shown last, so that a line of song doesn't jump. One number of state a session;
+    rows stream in order."""
+
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        last = None
+        for r in rows:
+            target = r["note_midi"] if r["note_midi"] is not None else last or r["midi"]
+            last = r["midi"] + 12 * math.floor((target - r["midi"]) / 12 + 0.5)
+            yield r["t"], last
+
+    d = credits.where("midi IS NOT NULL").select("session_id", F.col("t").cast("double").alias("t"), F.col("midi").cast("double").alias("midi"), F.col("note_midi").cast("double").alias("note_midi"))
+    return fold_groups(d, ["session_id"], ["t", "midi", "note_midi"], "t double, shown double", fold, order=["t"])
+
+
+def finished(results: DataFrame, notes: DataFrame) -> DataFrame:
+    """The row that each session's end leaves: session_id, song_id, score (0 if too little was sung), the counts,
+    max_combo, completed (all notes of the song were passed) and results, a triple for every note of the song: its
+    rating, accuracy and cents, or null, 0, null. A session in which no note was attempted leaves none."""
+    song = results.select("session_id", "song_id").distinct().join(notes.select("song_id", "pos"), "song_id")
+    d = song.join(results.select("session_id", "pos", "rating", "acc", "cents"), ["session_id", "pos"], "left")
+    done = F.col("rating").isNotNull()
+    text = lambda c, none: F.coalesce(c.cast("string"), F.lit(none))
+    triple = F.concat(F.lit("["), text(F.col("rating"), "null"), F.lit(","), F.when(done, text(F.round("acc", 3), "0")).otherwise("0"), F.lit(","), F.when(done, text(F.round("cents").cast("long"), "null")).otherwise("null"), F.lit("]"))
+    d = d.select("session_id", "song_id", "pos", done.alias("_done"), triple.alias("_t"))
+    ends = d.groupBy("session_id", "song_id").agg(F.max("_done").alias("_any"), F.concat(F.lit('{"notes":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), ","), F.lit("]}")).alias("results"), F.count("*").alias("_n"))
+    passed = results.groupBy("session_id").agg(F.count("*").alias("_passed"))
+    d = ends.where("_any").join(passed, "session_id").join(session_scores(results), "session_id")
+    return d.withColumns({"completed": F.col("_passed") == F.col("_n"), "score": F.round(F.coalesce("score", F.lit(0.0)), 3)}).drop("_any", "_n", "_passed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -54,15 +55,14 @@ def gap_sessions(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFra
 
 
 def anchored_sessions(df: DataFrame, keys: list[str], at: str, width: float, least: int = 1, apart: float = 0.0) -> DataFrame:
-    """keys, at, n: windows that hold what lies within `width` of their first row; those of `least` rows stay, at their
-    last row's place, and of two less than `apart` from each other the later one. A window begins at a row, not at a gap,
-    so this goes row by row, but only between gaps that no window and no comparison reaches over, with two windows in
-    memory."""
+    """keys, at, n: the first window of `width` from a row's place that holds `least` rows, at its last row's place; then
+    the first one after it, and so on. Where a window holds fewer, the next begins at the next place. Of two less than
+    `apart` from each other the later one stays. This goes row by row, but only between gaps that no window and no
+    comparison reaches over, with one window in memory."""
+
     def fold(rows: Iterable[dict]) -> Iterator[tuple]:
         kept: tuple | None = None
         for end, n in windows(rows):
-            if n < least:
-                continue
             if kept and end - kept[0] >= apart:
                 yield kept
             kept = (end, n)
@@ -70,17 +70,25 @@ def anchored_sessions(df: DataFrame, keys: list[str], at: str, width: float, lea
             yield kept
 
     def windows(rows: Iterable[dict]) -> Iterator[tuple]:
-        first = None
+        held: deque[list] = deque()  # places, each with its rows
+
+        def settle(upto: float | None) -> Iterator[tuple]:
+            """What the windows say that end before the place `upto` (None: all)."""
+            while held and (upto is None or upto - held[0][0] > width):
+                if sum(n for _, n in held) >= least:
+                    yield held[-1][0], sum(n for _, n in held)
+                    held.clear()
+                else:
+                    held.popleft()
+
         for r in rows:
             x = r[at]
-            if first is not None and x - first <= width:
-                end, n = x, n + 1
+            if held and held[-1][0] == x:
+                held[-1][1] += 1
                 continue
-            if first is not None:
-                yield end, n
-            first, end, n = x, x, 1
-        if first is not None:
-            yield end, n
+            yield from settle(x)
+            held.append([x, 1])
+        yield from settle(None)
 
     d = df.where(F.col(at).isNotNull()).select(*keys, at)
     d = islands(d, keys, [at], F.col(at) - F.lag(at).over(by(keys, [at])) > max(width, apart), "_island")
@@ -171,3 +179,48 @@ def spine(df: DataFrame, keys: list[str], day: str, n: str, first: Column, last:
     days = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(first, last)).alias(day))
     d = days.join(df.select(*keys, day, n), [*keys, day], "left").withColumn(n, F.coalesce(n, F.lit(0)))
     return d.withColumn("level", F.when(F.col(n) >= 6, 3).when(F.col(n) >= 3, 2).when(F.col(n) >= 1, 1).otherwise(0))
+
+
+def _micro(at: str) -> Column:
+    """A time in millionths, as ranges of windows need whole numbers."""
+    return F.round(F.col(at) * 1e6).cast("long")
+
+
+def page_splits(df: DataFrame, keys: list[str], at: str, x: str, gap: float, back: float, stay: float, hold: float, marks: DataFrame | None = None, name: str = "page") -> DataFrame:
+    """Number the pages of a trace: a new one after a gap, where x falls by more than `back` and what follows within `hold`
+    stays more than `stay` below, and at the first row after a known time (marks: keys and `mark`)."""
+    w = by(keys, [at])
+    ahead = W.partitionBy(*keys).orderBy(_micro(at)).rangeBetween(0, round(1e6 * hold))
+    before = F.lag(x).over(w)
+    new = (F.col(at) - F.lag(at).over(w) > gap) | ((before - F.col(x) > back) & (F.max(x).over(ahead) < before - stay))
+    if marks is not None:
+        rows = df.select(*keys, F.col(at).alias("_t"), F.lit(False).alias("_mark")).unionByName(marks.select(*keys, F.col("mark").alias("_t"), F.lit(True).alias("_mark")))
+        # a mark comes before a row of its time
+        seen = F.lag("_mark").over(W.partitionBy(*keys).orderBy("_t", F.desc("_mark")))
+        first = rows.withColumn("_after", F.coalesce(seen, F.lit(False))).where("NOT _mark AND _after").select(*keys, F.col("_t").alias(at), F.lit(True).alias("_after")).distinct()
+        df = df.join(first, [*keys, at], "left")
+        new = new | F.coalesce("_after", F.lit(False))
+    return islands(df, keys, [at], new, name).drop("_after")
+
+
+def reject_outliers(df: DataFrame, keys: list[str], at: str, x: str, half: float, within: float, name: str = "cleaned") -> DataFrame:
+    """x where it lies within `within` of the robust line through the rows up to `half` away in time (the median slope of
+    their pairs, then the median rest), else null; where two rows or fewer are near, as it is."""
+    near = F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(x).cast("double").alias("x"))).over(W.partitionBy(*keys).orderBy(_micro(at)).rangeBetween(-round(1e6 * half), round(1e6 * half)))
+    mid = lambda a: (F.get(a, ((F.size(a) - 1) / 2).cast("int")) + F.get(a, (F.size(a) / 2).cast("int"))) / 2
+    d = df.withColumn("_p", F.when(F.col(x).isNotNull(), F.filter(near, lambda p: p["x"].isNotNull())))
+    pairs = F.flatten(F.transform("_p", lambda p: F.transform(F.filter(F.col("_p"), lambda q: q["t"] > p["t"]), lambda q: (q["x"] - p["x"]) / (q["t"] - p["t"]))))
+    d = d.withColumn("_s", F.sort_array(pairs)).withColumn("_slope", mid(F.col("_s")))
+    d = d.withColumn("_r", F.sort_array(F.transform("_p", lambda p: p["x"] - F.col("_slope") * p["t"])))
+    far = F.abs(F.col(x) - F.col("_slope") * F.col(at) - mid(F.col("_r"))) > within
+    return d.withColumn(name, F.when((F.size("_p") > 2) & far, None).otherwise(F.col(x))).drop("_p", "_s", "_slope", "_r")
+
+
+def arrivals(df: DataFrame, keys: list[str], order: str, value: str, level: Column, step: float = 60.0, fall: float = 200.0, born: float = 45.0) -> DataFrame:
+    """Rows at which the value reaches the level: it rises over it by less than `step`, or, after a gap or a fall of more
+    than `fall`, begins within `born` above it."""
+    before = F.lag(value).over(by(keys, [order]))
+    d = df.withColumn("_before", before)
+    up = (F.col("_before") < level) & (F.col(value) >= level) & (F.col(value) - F.col("_before") < step)
+    anew = (F.col("_before").isNull() | (F.col("_before") - F.col(value) > fall)) & (F.col(value) >= level) & (F.col(value) <= level + born)
+    return d.where(up | anew).drop("_before")

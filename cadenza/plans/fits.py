@@ -29,8 +29,8 @@ def sweep_lines_by_join(spark, sf_dir):
 
 @query()
 def page_lines(spark, sf_dir):
-    """Up to two lines that four or more notes of a song lie near."""
-    return R.ransac_lines(notes(spark, sf_dir), ["song_id"], "t_start", "x0", 60.0)
+    """Up to two sweeps that four or more notes of a song start on."""
+    return R.ransac_lines(notes(spark, sf_dir), ["song_id"], "t_start", "x0", 2.0, (2.0, 1200.0), 20.0)
 
 
 @query(f"""
@@ -110,14 +110,19 @@ def page_report(spark, sf_dir):
     return notes(spark, sf_dir).rollup("song_id", "page").agg(n(F.col("pos") % 3 != 0).alias("mapped"), F.count("*").alias("detected"), n(F.col("pos") % 3 == 0).alias("missed"))
 
 
+CONTAINED = "SELECT * FROM notes QUALIFY coalesce(max(t_end) OVER (PARTITION BY song_id, {pitch} ORDER BY t_start, t_end, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < t_end - 0.02, true)"
+
+
 @query(f"""
-WITH {NOTES}, cut AS (SELECT DISTINCT song_id, unnest([t_start, t_end]) AS s FROM notes), seg AS (SELECT song_id, s, lead(s) OVER (PARTITION BY song_id ORDER BY s) AS e FROM cut),
-own AS (SELECT g.song_id, s, e, pos FROM seg g JOIN notes n ON n.song_id = g.song_id AND n.t_start <= s AND n.t_end >= e QUALIFY row_number() OVER (PARTITION BY g.song_id, s ORDER BY t_start DESC, pos DESC) = 1),
-r AS (SELECT *, sum(new) OVER (PARTITION BY song_id ORDER BY s) AS island FROM (SELECT *, CASE WHEN pos = lag(pos) OVER w AND s = lag(e) OVER w THEN 0 ELSE 1 END AS new FROM own WINDOW w AS (PARTITION BY song_id ORDER BY s)))
-SELECT song_id, pos, min(s) AS t_start, max(e) AS t_end FROM r GROUP BY song_id, pos, island""")
+WITH {NOTES}, d AS ({CONTAINED.format(pitch="midi")}), cut AS (SELECT DISTINCT song_id, unnest([t_start, t_end]) AS s FROM d), seg AS (SELECT * FROM (SELECT song_id, s, lead(s) OVER (PARTITION BY song_id ORDER BY s) AS e FROM cut) WHERE e - s >= 0.02),
+own AS (SELECT g.song_id, s, e, pos FROM seg g JOIN d n ON n.song_id = g.song_id AND n.t_start <= s AND n.t_end >= e QUALIFY row_number() OVER (PARTITION BY g.song_id, s ORDER BY t_start DESC, t_end, pos) = 1),
+r AS (SELECT *, sum(new) OVER (PARTITION BY song_id ORDER BY s) AS island FROM (SELECT *, CASE WHEN pos = lag(pos) OVER w AND s - lag(e) OVER w <= 0.035001 THEN 0 ELSE 1 END AS new FROM own WINDOW w AS (PARTITION BY song_id ORDER BY s)))
+SELECT song_id, pos, min(s) AS t_start, max(e) AS t_end FROM r GROUP BY song_id, pos, island HAVING max(e) - min(s) >= 0.035""")
 def monophonic_notes(spark, sf_dir):
-    """Notes cut so that no two sound together: the one that started last wins."""
-    return I.last_wins(notes(spark, sf_dir), ["song_id"], "pos")
+    """Notes without contained duplicates of one pitch, cut so that no two sound together: the one that started last wins."""
+    n = notes(spark, sf_dir)
+    kept = I.drop_contained(n, ["song_id"], "pos", "midi", "t_start", "t_end").select("song_id", "pos")
+    return I.last_wins(n.join(kept, ["song_id", "pos"], "left_semi"), ["song_id"], "pos")
 
 
 @query(f"""
@@ -127,17 +132,20 @@ def merged_splits(spark, sf_dir):
     return I.undo_splits(notes(spark, sf_dir), ["song_id"], ["page", "midi"], "t_start", "t_end")
 
 
-@query()
+@query(f"WITH {NOTES} SELECT song_id, midi % 4 AS pc, pos FROM ({CONTAINED.format(pitch='midi % 4')})")
 def uncontained_notes(spark, sf_dir):
-    """Notes that no longer kept note of their pitch class contains."""
+    """Notes that no earlier note of their pitch class contains."""
     d = notes(spark, sf_dir).withColumn("pc", F.col("midi") % 4)
     return I.drop_contained(d, ["song_id"], "pos", "pc", "t_start", "t_end")
 
 
 @query()
 def preferred_bars(spark, sf_dir):
-    """Bars that overlap no bar of greater preference by much."""
-    return I.suppress_overlaps(notes(spark, sf_dir), ["song_id"], "pos", [("midi", True)], "x0", "x1")
+    """Bars of a row of a page that overlap none of greater preference: those seen three times or more first, the narrower
+    first; then the others, the more often seen first."""
+    seen, width = F.col("pos") % 5, F.col("x1") - F.col("x0")
+    d = notes(spark, sf_dir).withColumns({"k": R.lattice_row(F.col("cy"), 40.0, 0.0), "rare": (seen < 3).cast("int"), "second": F.when(seen >= 3, width).otherwise(-seen.cast("double"))})
+    return I.suppress_overlaps(d, ["song_id", "page", "k"], "pos", [("rare", False), ("second", False)], "x0", "x1")
 
 
 @query()
@@ -150,3 +158,22 @@ def bar_clusters(spark, sf_dir):
 def bar_tracks(spark, sf_dir):
     """Detections of a song joined into tracks over frames."""
     return I.track(notes(spark, sf_dir).withColumn("frame", F.col("t_start").cast("long")), ["song_id"], "frame")
+
+
+@query()
+def drawn_tracks(spark, sf_dir):
+    """Detections of a song's page joined into the bars that they draw."""
+    d = notes(spark, sf_dir).select("song_id", "page", F.col("t_start").cast("long").alias("frame"), F.floor(F.col("x0") / 60).alias("x0"), "x1", "cy", F.lit(9.0).alias("h"))
+    return I.grow_tracks(d, ["song_id", "page"], "frame", 5, 40.0, 7.0, 100.0)
+
+
+@query()
+def deduped_notes(spark, sf_dir):
+    """What becomes of colliding notes of each sweep: the audit log's reasons and the notes kept."""
+    from cadenza.operators.sweeps import confirmed_sweeps
+
+    n = notes(spark, sf_dir).withColumn("pitch", F.col("midi") % 2)
+    d = n.join(confirmed_sweeps(n, ["song_id"], "pos", 300.0), ["song_id", "pos"])
+    line = R.theil_sen(d, ["song_id", "sweep"], "x0", "t_start").select("song_id", "sweep", "slope", "intercept")
+    d = d.join(line, ["song_id", "sweep"], "left").withColumn("rest", F.abs(F.col("t_start") - F.col("slope") * F.col("x0") - F.col("intercept")) / 10)
+    return I.dedupe_sweep(d, ["song_id", "sweep"], "pos", "pitch", "slope", "rest")

@@ -13,21 +13,21 @@ from cadenza.plans.views import NOTES, notes, table
 
 @query()
 def smoothed_traces(spark, sf_dir):
-    """Points of a song's trace that follow its heading."""
+    """The trace of a song that follows its heading, one place at each time."""
     return P.smoothed_track(notes(spark, sf_dir), ["song_id"], "t_start", "x0", gate=200.0, lost=10.0)
 
 
 @query()
 def confirmed_sweeps(spark, sf_dir):
-    """Sweeps of a song, a new one where the trace stays back."""
-    return P.confirmed_resets(notes(spark, sf_dir), ["song_id"], "t_start", "x0", confirm=1)
+    """Sweeps of a song, a new one where the next note stays back as well."""
+    return P.confirmed_sweeps(notes(spark, sf_dir), ["song_id"], "pos")
 
 
 @query()
 def merged_pages(spark, sf_dir):
     """Sweeps on one line taken as one page."""
     d = S.segments(notes(spark, sf_dir), ["song_id"], "t_start", "x0", 200.0, 20.0)
-    return P.merged_lines(d, ["song_id"], "segment", "t_start", "x0", 120.0)
+    return P.swept_pages(d, ["song_id"], "segment", "t_start", "x0", points=2, lasts=1.0, rates=(1.0, 1200.0), off=200.0, same=150.0, apart=40.0)
 
 
 @query()
@@ -60,12 +60,14 @@ def worst_deficits(spark, sf_dir):
 
 
 @query(f"""
-WITH {NOTES}, m AS (SELECT *, (midi % 10) / 20.0 AS b, (pos % 5) / 5.0 AS a, CASE WHEN page % 2 = 0 THEN (midi % 7) / 7.0 END AS c FROM notes)
-SELECT CASE WHEN b > 0.3 THEN 'coloured before' WHEN a < 0.3 THEN 'never coloured' WHEN c < 0.2 THEN 'fails the check' ELSE 'accepted' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
+WITH {NOTES}, m AS (SELECT *, (midi % 10) / 20.0 AS b, (pos % 6) / 5.0 AS a, CASE WHEN page % 2 = 0 THEN (midi % 7) / 7.0 END AS c, (midi % 9) / 8.0 AS w FROM notes)
+SELECT CASE WHEN a < 0.4 THEN 'flip' WHEN c < 0.4 THEN 'unstable' WHEN page < 2 AND pos % 2 = 0 AND (a < 0.6 OR b > 0.15) THEN 'seen1' WHEN b <= 0.3 OR (t_start < 9 AND page >= 3) THEN 'accepted'
+  WHEN w > 0.5 AND b / 2 <= 0.2 AND a >= 0.6 THEN 'accepted washed' ELSE 'flip' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
 def evidence_verdicts(spark, sf_dir):
     """How many bars the evidence accepts, and how many each reason rejects."""
-    none = F.lit(None).cast("double")
-    v = P.evidence((F.col("midi") % 10) / 20.0, (F.col("pos") % 5) / 5.0, F.when(F.col("page") % 2 == 0, (F.col("midi") % 7) / 7.0), none)
+    c = F.col
+    before, after = (c("midi") % 10) / 20.0, (c("pos") % 6) / 5.0
+    v = P.evidence(before, after, F.when(c("page") % 2 == 0, (c("midi") % 7) / 7.0), c("page"), c("pos") % 2 == 0, c("t_start") < 9, (c("midi") % 9) / 8.0, before / 2 + 0.1, after - 0.2)
     return notes(spark, sf_dir).select(v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 

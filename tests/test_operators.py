@@ -32,8 +32,8 @@ def test_last_wins(spark):
     rows = [("s", 0, 0.0, 1.0), ("s", 1, 0.5, 0.51), ("s", 2, 2.0, 3.0), ("s", 3, 2.0, 3.0)]
     d = spark.createDataFrame(rows, "song string, pos int, t_start double, t_end double")
     kept = I.last_wins(d, ["song"], "pos")
-    assert sorted((r.pos, r.t_start, r.t_end) for r in kept.collect()) == [(0, 0.0, 1.0), (3, 2.0, 3.0)]
-    assert sorted(r.pos for r in I.shadowed(d, ["song"], "pos", kept).collect()) == [1, 2]
+    assert sorted((r.pos, r.t_start, r.t_end) for r in kept.collect()) == [(0, 0.0, 1.0), (2, 2.0, 3.0)]  # of equal intervals the first
+    assert sorted(r.pos for r in I.shadowed(d, ["song"], "pos", kept).collect()) == [1, 3]
 
 
 def test_last_wins_is_monophonic_and_idempotent(spark):
@@ -78,6 +78,8 @@ def test_greedy_match_uses_each_once(spark):
 def test_anchored_sessions(spark):
     d = spark.createDataFrame([(1, f) for f in (10, 11, 13, 40, 41)], "s int, f long")
     assert [(r.f, r.n) for r in S.anchored_sessions(d, ["s"], "f", 3, least=3).collect()] == [(13, 3)]
+    d = spark.createDataFrame([(1, f) for f in (10, 12, 14, 14)], "s int, f long")
+    assert [(r.f, r.n) for r in S.anchored_sessions(d, ["s"], "f", 3, least=3).collect()] == [(14, 3)]  # the window moves on
 
 
 def test_circular_mode(spark):
@@ -92,8 +94,9 @@ def test_robust_lines(spark):
     d = spark.createDataFrame(rows, "k int, t double, x double")
     r = B.theil_sen(d, ["k"], "t", "x").first()
     assert abs(r.slope - 5) < 0.6
-    best = B.ransac_lines(d, ["k"], "t", "x", 1.0, most=1).first()
-    assert (round(best.slope, 6), round(best.intercept, 6), best.inliers) == (5.0, 2.0, 20)
+    best = B.ransac_lines(d, ["k"], "t", "x", 0.2, (1.0, 50.0), 10.0, most=1).first()
+    assert (round(best.rate, 6), round(best.t0, 6), best.inliers) == (5.0, -0.4, 20)
+    assert B.ransac_lines(d, ["k"], "t", "x", 0.2, (60.0, 1200.0), 100.0, most=1).where("inliers > 5").count() == 0  # too slow a line
     same = B.theil_sen_pairs(d.where("x < 150"), ["k"], "t", "x").first()
     assert (same.slope, same.intercept) == (5.0, 2.0)
 
@@ -206,17 +209,16 @@ def test_anchored_sessions_fold_islands(spark, monkeypatch):
     for width, least, apart in ((3.0, 1, 0.0), (7.0, 2, 20.0), (5.0, 3, 9.0)):
         want = []
         for u in range(3):
-            found, kept = [], []
-            for x in sorted(t for v, t in rows if v == u):
-                if found and x - found[-1][0] <= width:
-                    found[-1][1:] = [x, found[-1][2] + 1]
-                else:
-                    found.append([x, x, 1])
-            for _, end, n in found:
-                if n >= least:
-                    if kept and end - kept[-1][1] < apart:
-                        kept.pop()
-                    kept.append((u, end, n))
+            places, kept = sorted(t for v, t in rows if v == u), []
+            while places:
+                near = [t for t in places if t - places[0] <= width]
+                if len(near) < least:
+                    places = [t for t in places if t > places[0]]
+                    continue
+                if kept and near[-1] - kept[-1][1] < apart:
+                    kept.pop()
+                kept.append((u, near[-1], len(near)))
+                places = [t for t in places if t > near[-1]]
             want += kept
         assert sorted((r.u, r.t, r.n) for r in S.anchored_sessions(d, ["u"], "t", width, least, apart).collect()) == want
     assert max(sizes) <= 20  # a user has some 1800 rows
