@@ -26,13 +26,25 @@ def argmax_first(value: str, what: str, *ties: str) -> Column:
     return F.min_by(what, F.struct(-F.col(value), *ties, what))
 
 
-def competition_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """1 + how many rows have a greater value. Values are counted before they are ranked, so that the window sees a row
-    per distinct value."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1))
-    ranks = counts.select(F.col(value).alias("_v"), (F.coalesce(above, F.lit(0)) + 1).alias(name))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+def ranked(df: DataFrame, keys: list[str], value: str, name: str = "rank", descending: bool = True, each: int = 50_000, most: int = 256) -> DataFrame:
+    """df with 1 + how many rows of its keys (all rows, without keys) have a better value. A key may be hot: rows are
+    dealt by keys and ranges of values, of about `each` rows and `most` at most, ranked within a range, and the counts of
+    the better ranges, a row for each key and range, are added. Nulls come last. The driver sees the ranges' bounds only."""
+    n = df.count()
+    ranges = int(max(1, min(most, n // each)))
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{dict(df.dtypes)[value]}>")
+    at = F.size(F.filter(bounds, lambda c: c <= F.col(value)))
+    cell = F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(len(cuts) - at if descending else at)
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+    d = df.withColumn("_cell", cell).withColumn(name, F.rank().over(W.partitionBy(*keys, "_cell").orderBy(order)))
+    sizes = df.withColumn("_cell", cell).groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    better = F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_c"), F.coalesce(better, F.lit(0)).alias("_better"))
+    same = F.col("_cell") == F.col("_c")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return d.join(sizes, same).withColumn(name, F.col(name) + F.col("_better")).drop("_cell", "_c", "_better", *[f"_k_{k}" for k in keys])
 
 
 def top_ranked(df: DataFrame, n: int, *order: Column, name: str = "rank") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from cadenza.operators.relational import argmax_first, clamp, competition_rank, first_by, last_n, search, top_ranked
+from cadenza.operators.relational import argmax_first, clamp, first_by, last_n, ranked, search, top_ranked
 from cadenza.plans.registry import query
 from cadenza.plans.views import PLAYS, USERS, plays, table, users
 
@@ -68,12 +68,12 @@ def recent_feed(spark, sf_dir):
 
 @query(f"""
 WITH {PLAYS}, b AS (SELECT song_id, user_id, max(round(score, 3)) AS best FROM plays WHERE {DONE} GROUP BY 1, 2)
-SELECT song_id, user_id, best, CAST(rank() OVER (PARTITION BY song_id ORDER BY best DESC) AS INT) AS rank, count(*) OVER (PARTITION BY song_id) AS n_players FROM b""")
+SELECT song_id, user_id, best, rank() OVER (PARTITION BY song_id ORDER BY best DESC) AS rank, count(*) OVER (PARTITION BY song_id) AS n_players FROM b""")
 def submit_ranks(spark, sf_dir):
     """The rank that a submitted best has on its song: 1 + players with a better one, rounded against rounded."""
     best = plays(spark, sf_dir).where(DONE).groupBy("song_id", "user_id").agg(F.max(F.round("score", 3)).alias("best"))
     n = best.groupBy("song_id").agg(F.count("*").alias("n_players"))
-    return best.withColumn("rank", F.rank().over(W.partitionBy("song_id").orderBy(F.desc("best")))).join(n, "song_id").select("song_id", "user_id", "best", "rank", "n_players")
+    return ranked(best, ["song_id"], "best").join(n, "song_id").select("song_id", "user_id", "best", "rank", "n_players")
 
 
 @query(f"""
@@ -81,7 +81,7 @@ WITH {PLAYS}, b AS (SELECT user_id, max(score) AS best FROM plays WHERE {DONE} G
 def global_competition_rank(spark, sf_dir):
     """Rank of every user's best over all songs, without ordering the users in one task."""
     best = plays(spark, sf_dir).where(DONE).groupBy("user_id").agg(F.max("score").alias("best"))
-    return competition_rank(best, "best").select("user_id", "best", "rank")
+    return ranked(best, [], "best").select("user_id", "best", "rank")
 
 
 @query(f"""
@@ -114,9 +114,8 @@ SELECT user_id, display_name, best, coalesce(n_plays, 0) AS n_plays, CAST((row_n
 def party_members(spark, sf_dir):
     """Members (of a nation's party) with their best of all plays, unfinished ones too, and a seat colour by join order."""
     agg = plays(spark, sf_dir).groupBy("user_id").agg(F.max("score").alias("best"), F.count("*").alias("n_plays"))
-    seat = F.row_number().over(W.partitionBy("avatar_ver").orderBy("user_id")) - 1
-    m = users(spark, sf_dir).join(agg, "user_id", "left").withColumn("color", F.pmod(seat, F.lit(8)).cast("int"))
-    return m.select("user_id", "display_name", "best", F.coalesce("n_plays", F.lit(0)).alias("n_plays"), "color")
+    m = ranked(users(spark, sf_dir), ["avatar_ver"], "user_id", "seat", descending=False).join(agg, "user_id", "left")
+    return m.select("user_id", "display_name", "best", F.coalesce("n_plays", F.lit(0)).alias("n_plays"), F.pmod(F.col("seat") - 1, F.lit(8)).cast("int").alias("color"))
 
 
 @query(f"""
@@ -140,23 +139,23 @@ def latest_jobs(spark, sf_dir):
 
 
 @query(f"""
-WITH {PLAYS}, m AS (SELECT song_id, max(score) AS best, count(*) AS n, max(played_at) AS last_play FROM plays WHERE completed = 1 AND user_id = 7 GROUP BY 1)
-SELECT s.song_id, best, coalesce(n, 0) AS n, last_play FROM (SELECT DISTINCT song_id FROM plays) s LEFT JOIN m USING (song_id)""")
-def song_list_for_user(spark, sf_dir):
-    """Every song with one user's aggregates, where there are any."""
-    p = plays(spark, sf_dir)
-    mine = p.where("completed = 1 AND user_id = 7").groupBy("song_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.max("played_at").alias("last_play"))
-    return p.select("song_id").distinct().join(mine, "song_id", "left").select("song_id", "best", F.coalesce("n", F.lit(0)).alias("n"), "last_play")
+WITH {PLAYS}, m AS (SELECT CAST(props->>'k' AS BIGINT) + 1 AS part, user_id, max(score) AS best, count(*) AS n, max(played_at) AS last_play FROM plays WHERE completed = 1 GROUP BY 1, 2)
+SELECT p_partkey AS part, user_id, best, coalesce(n, 0) AS n, last_play FROM part LEFT JOIN m ON part = p_partkey""")
+def song_list_for_users(spark, sf_dir):
+    """Every song with the aggregates of each user, where there are any."""
+    p = plays(spark, sf_dir).where("completed = 1").withColumn("part", F.get_json_object("props", "$.k").cast("long") + 1)
+    mine = p.groupBy("part", "user_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.max("played_at").alias("last_play"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")).join(mine, "part", "left").select("part", "user_id", "best", F.coalesce("n", F.lit(0)).alias("n"), "last_play")
 
 
 @query(f"""
-WITH {PLAYS} SELECT id, song_id, score, played_at FROM plays WHERE user_id = 3 AND song_id = 'click' ORDER BY played_at DESC, id DESC LIMIT 500""")
-def my_plays(spark, sf_dir, song="click", limit=9999):
-    """One user's plays, of one song if it is given, the newest first; the limit is clamped."""
-    p = plays(spark, sf_dir).where("user_id = 3")
+WITH {PLAYS} SELECT user_id, id, song_id, score, played_at FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY played_at DESC, id DESC) <= 500""")
+def my_plays(spark, sf_dir, song=None, limit=9999):
+    """Every user's plays, of one song if it is given, the newest first; the limit for each user is clamped."""
+    p = plays(spark, sf_dir)
     if song:
         p = p.where(F.col("song_id") == song)
-    return p.orderBy(F.desc("played_at"), F.desc("id")).limit(clamp(limit)).select("id", "song_id", "score", "played_at")
+    return last_n(p, ["user_id"], clamp(limit), F.desc("played_at"), F.desc("id")).select("user_id", "id", "song_id", "score", "played_at")
 
 
 @query(f"""
@@ -208,8 +207,8 @@ def hourly_rate_limit(spark, sf_dir):
 
 
 @query("""
-SELECT c_nationkey, c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS INT) AS queue_pos FROM customer WHERE c_acctbal IS NOT NULL""")
+SELECT c_nationkey, c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS queue_pos FROM customer WHERE c_acctbal IS NOT NULL""")
 def queue_positions(spark, sf_dir):
     """Place in each party's queue: how many wait with a position up to one's own."""
     c = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL")
-    return c.select("c_nationkey", "c_custkey", F.rank().over(W.partitionBy("c_nationkey").orderBy("c_acctbal")).alias("queue_pos"))
+    return ranked(c, ["c_nationkey"], "c_acctbal", "queue_pos", descending=False).select("c_nationkey", "c_custkey", "queue_pos")

@@ -178,12 +178,12 @@ def note_frames(spark, sf_dir):
 
 
 @query(f"""
-WITH {NOTES}, {PLAYS}, r AS (SELECT id, user_id, CAST(id % 1000 AS BIGINT) AS song_id, CAST(props->>'k' AS INT) AS k FROM plays),
+WITH {NOTES}, {PLAYS}, r AS (SELECT id, user_id, id * 3 // 2 AS song_id, CAST(props->>'k' AS INT) AS k FROM plays),
 x AS (SELECT id, user_id, song_id, k, CAST(unnest(range(0, k % 6)) AS INT) AS pos FROM r)
 SELECT x.id, x.song_id, x.pos, (x.k + x.pos) % 4 AS rating, n.midi FROM x JOIN notes n ON n.song_id = x.song_id AND n.pos = x.pos""")
 def results_by_position(spark, sf_dir):
     """A play's positional results with the notes that they are of; results beyond the song are dropped."""
-    p = plays(spark, sf_dir).select("id", (F.col("id") % 1000).alias("song_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    p = plays(spark, sf_dir).select("id", F.expr("id * 3 div 2").alias("song_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     array = F.transform(F.slice(F.sequence(F.lit(0), F.lit(5)), F.lit(1), F.pmod("k", F.lit(6))), lambda i: F.pmod(F.col("k") + i, F.lit(4)))
     return positional(p, array, notes(spark, sf_dir).select("song_id", "pos", "midi"), ["song_id"], "pos").select("id", "song_id", "pos", F.col("item").alias("rating"), "midi")
 

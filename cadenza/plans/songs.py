@@ -149,7 +149,7 @@ def pitch_class_bests(spark, sf_dir):
 
 
 @query(f"""WITH {NOTES}, n AS (SELECT song_id, t_start AS t, min(x0) AS x FROM notes GROUP BY 1, 2), l AS (SELECT *, t - lag(t) OVER w AS gap, lag(x) OVER w AS px, max(x) OVER (PARTITION BY song_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING) AS top FROM n WINDOW w AS (PARTITION BY song_id ORDER BY t)),
-m AS (SELECT DISTINCT ON (song_id) l.song_id, t FROM l WHERE t > 20 ORDER BY song_id, t)
+m AS (SELECT DISTINCT ON (song_id) l.song_id, t FROM l WHERE t >= 20 ORDER BY song_id, t)
 SELECT l.song_id, l.t, CAST(sum(CASE WHEN gap IS NULL OR gap > 12 OR (px - x > 150 AND top < px - 100) OR m.t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY l.song_id ORDER BY l.t) AS BIGINT) AS page FROM l LEFT JOIN m ON m.song_id = l.song_id AND m.t = l.t""")
 def page_splits(spark, sf_dir):
     """Pages of a song's trace, by gaps, falls that last and a known flip at 20 s."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.operators.relational import falsy_coalesce
@@ -43,6 +45,9 @@ def catalogue(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFr
     return d.select(F.regexp_extract("path", r"([^/]+?)\.[^./]*$", 1).alias("song_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def write_maps(maps: DataFrame, path: str) -> None:
-    """Maps as JSON lines, by Spark's committer: a reader sees all files of a write or none."""
-    maps.select("song_id", F.to_json(F.struct(*[c for c in maps.columns if c != "song_id"])).alias("map")).write.mode("overwrite").parquet(path)
+def write_maps(maps: DataFrame, path: str) -> str:
+    """Maps as text files of a JSON document a line, with song_id, in a new folder of `path`, whose name is given back:
+    Spark's committer lets a reader see all files of a write or none, and what was written before stays as it is."""
+    out = f"{path.rstrip('/')}/maps-{uuid.uuid4().hex[:12]}"
+    maps.select(F.to_json(F.struct(*maps.columns)).alias("value")).write.text(out)
+    return out
