@@ -414,16 +414,16 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch, compared):
 
 
 def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
-    """20,000 near copies of one text, some with too many changes to be linked to most, and texts of other kinds."""
+    """10,000 near copies of one text, some with too many changes to be linked to most, and texts of other kinds."""
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
-    texts = [(i, changed(rng, base, rng.choice([1, 1, 2, 2, 2, 3, 4, 4, 5, 7]))) for i in range(20_000)] + [(50_000 + i, " ".join(f"y{rng.randrange(3000)}" for _ in range(60))) for i in range(2000)]
+    texts = [(i, changed(rng, base, rng.choice([1, 1, 2, 2, 2, 3, 4, 4, 5, 7]))) for i in range(10_000)] + [(50_000 + i, " ".join(f"y{rng.randrange(3000)}" for _ in range(60))) for i in range(2000)]
     seen, blocks = {}, chosen_path._candidates
     monkeypatch.setattr(chosen_path, "_candidates", lambda b, *rest: [seen.setdefault(len(seen), b.count()), blocks(b, *rest)][1])
     got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), words=4).collect()}
-    want = components_of_changed(texts[:20_000], base, 4) | {k: k for k, _ in texts[20_000:]}
-    assert got == want and len({want[i] for i in range(20_000)}) > 1
-    assert sum(seen.values()) < 22_000 * chosen_path.TREES * 2 * chosen_path.COMPARED / chosen_path.WIDE
+    want = components_of_changed(texts[:10_000], base, 4) | {k: k for k, _ in texts[10_000:]}
+    assert got == want and len({want[i] for i in range(10_000)}) > 1
+    assert sum(seen.values()) < 12_000 * chosen_path.TREES * 2 * chosen_path.COMPARED / chosen_path.WIDE
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.6])
