@@ -16,6 +16,10 @@ from cadenza.operators.scoring import LATE, LONGEST_FRAME
 RESULT = "session_id long, pos int, rating int, acc double, cents double, combo long, max_combo long, score double"
 
 
+def total(s: dict) -> float | None:
+    return 100 * (s["hit"] / s["dur"]) ** 0.7 if s["dur"] >= 0.5 else None
+
+
 def _close(n: dict, t: float, s: dict) -> tuple:
     late = t - n["b"] > LATE
     dur = n["b"] - n["a"]
@@ -26,8 +30,7 @@ def _close(n: dict, t: float, s: dict) -> tuple:
         s["max"] = max(s["max"], s["combo"])
         s["hit"] += min(n["hit"], dur)
         s["dur"] += dur
-    score = 100 * (s["hit"] / s["dur"]) ** 0.7 if s["dur"] >= 0.5 else None
-    return n["pos"], rate, acc, n["cents"] / n["w"] if n["w"] else None, s["combo"], s["max"], score
+    return n["pos"], rate, acc, n["cents"] / n["w"] if n["w"] else None, s["combo"], s["max"], total(s)
 
 
 def advance(s: dict, t: float, midi: float | None) -> list[tuple]:
@@ -51,28 +54,44 @@ def advance(s: dict, t: float, midi: float | None) -> list[tuple]:
     return [_close(n, t, s) for n in due]
 
 
-def score_stream(frames: DataFrame, notes: DataFrame) -> DataFrame:
-    """frames: a stream of session_id, song_id, t, midi, in the order of t within a session's batches; notes: a table of
-    song_id, pos, t_start, t_end, midi, joined once as an array per song. A session's state holds the notes not yet
-    closed and four sums, whatever its length."""
-    struct = F.struct("t_start", "pos", "t_end", "midi")
-    songs = notes.groupBy("song_id").agg(F.sort_array(F.collect_list(struct)).alias("_notes"))
-    d = frames.join(songs, "song_id").select("session_id", "t", F.col("midi").cast("double").alias("midi"), F.to_json("_notes").alias("_notes"))
+def score_stream(frames: DataFrame, starts: DataFrame, notes: DataFrame, late: str = "10 seconds", idle: float = 600.0) -> DataFrame:
+    """A row for each note of a session as it is closed. frames: a stream of session_id, t, midi, at (when it came; t rises
+    within a session's batches); starts: a stream of session_id, song_id, at, a row for each session; notes: a table of
+    song_id, pos, t_start, t_end, midi. A song's notes travel once for each start. A session's state holds the notes not yet
+    closed, four sums, and frames that came before their start. When nothing has come for `idle` seconds of the watermark,
+    its open notes are given out as not attempted (rating null, acc 0) and the state goes. A second start of a live session
+    changes nothing; frames older than the watermark, by `late`, are dropped, which Spark counts in its progress."""
+    at = F.col("at").cast("timestamp").alias("at")
+    n = notes.select("song_id", "pos", F.col("t_start").cast("double").alias("a"), F.col("t_end").cast("double").alias("b"), F.col("midi").cast("double").alias("midi"))
+    songs = starts.select("session_id", "song_id", at).join(n, "song_id").select("session_id", at, F.lit(None).cast("double").alias("t"), "midi", "pos", "a", "b")
+    sung = frames.select("session_id", at, F.col("t").cast("double").alias("t"), F.col("midi").cast("double").alias("midi"))
+    # one watermark for both, so that a stream in which nothing starts doesn't hold it back
+    d = songs.unionByName(sung, allowMissingColumns=True).withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("t")
-        if state.exists:
-            s = json.loads(state.get[0])
+        s = json.loads(state.get[0]) if state.exists else {"t": None, "notes": None, "wait": [], "last": 0, "combo": 0, "max": 0, "hit": 0.0, "dur": 0.0}
+        if state.hasTimedOut:
+            state.remove()
+            out = [(x["pos"], None, 0.0, None, s["combo"], s["max"], total(s)) for x in s["notes"] or []]
         else:
-            own = [{"pos": n["pos"], "a": n["t_start"], "b": n["t_end"], "midi": n["midi"], "hit": 0.0, "cents": 0.0, "w": 0.0} for n in json.loads(pdf["_notes"].iloc[0])]
-            s = {"t": None, "notes": own, "combo": 0, "max": 0, "hit": 0.0, "dur": 0.0}
-        out = [r for t, m in zip(pdf["t"], pdf["midi"]) for r in advance(s, float(t), None if pd.isna(m) else float(m))]
-        state.update((json.dumps(s),))
+            pdf = pd.concat(list(batches))
+            song, own = pdf[pdf["t"].isna()], pdf[pdf["t"].notna()].sort_values(["t", "midi"])
+            if s["notes"] is None and len(song):
+                song = song.drop_duplicates("pos").sort_values(["a", "pos"])
+                s["notes"] = [{"pos": int(p), "a": a, "b": b, "midi": m, "hit": 0.0, "cents": 0.0, "w": 0.0} for p, a, b, m in zip(song["pos"], song["a"], song["b"], song["midi"])]
+            s["wait"] += [(t, None if pd.isna(m) else m) for t, m in zip(own["t"], own["midi"])]
+            out = []
+            if s["notes"] is not None:
+                out = [r for t, m in sorted(s["wait"], key=lambda x: x[0]) for r in advance(s, t, m)]
+                s["wait"] = []
+            s["last"] = max(s["last"], int(pdf["ms"].max()))
+            state.update((json.dumps(s),))
+            state.setTimeoutTimestamp(max(s["last"] + int(1000 * idle), state.getCurrentWatermarkMs() + 1))
         got = pd.DataFrame(out, columns=["pos", "rating", "acc", "cents", "combo", "max_combo", "score"])
         got.insert(0, "session_id", key[0])
         yield got.astype({"rating": "Int32", "cents": "Float64", "score": "Float64"})
 
-    return d.groupBy("session_id").applyInPandasWithState(step, RESULT, "s string", "append", "NoTimeout")
+    return d.groupBy("session_id").applyInPandasWithState(step, RESULT, "s string", "append", "EventTimeTimeout")
 
 
 def daily_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -8,33 +8,49 @@ from cadenza.operators import scoring as S
 from cadenza.streaming import scoring as live
 
 
+#: The session of song 2 that ends in the middle, and one an hour later.
+QUIT, LATER = 6, 7
+
+
 def tables(spark, tmp_path):
+    """frames and notes; in {tmp_path}/in the frames, in three files, then one of LATER; in {tmp_path}/starts the starts,
+    those of odd sessions only in the second file."""
     rng = random.Random(4)
     notes = [(s, i, i * 1.0, i * 1.0 + rng.choice([0.5, 1.0, 1.75]), 60 + rng.randint(-6, 6)) for s in (1, 2) for i in range(12)]
     frames = []
-    for session in range(6):
+    for session in range(7):
         t = 0.0
-        while t < 16:
+        while t < (6.3 if session == QUIT else 16):
             t = round(t + (2.5 if rng.random() < 0.02 else 0.125), 6)
             frames.append((session, 1 + session % 2, t, None if rng.random() < 0.1 else 60 + rng.randint(-20, 20) + rng.random()))
     n = spark.createDataFrame(notes, "song_id long, pos int, t_start double, t_end double, midi int").cache()
-    f = spark.createDataFrame(frames, "session_id long, song_id long, t double, midi double")
-    for i, (a, b) in enumerate([(0, 5), (5, 11), (11, 99)]):
-        f.where((F.col("t") > a) & (F.col("t") <= b)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    return f.cache(), n
+    f = spark.createDataFrame(frames, "session_id long, song_id long, t double, midi double").cache()
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t"))
+    later = f.where("session_id = 0 AND t < 1").withColumn("session_id", F.lit(LATER).cast("long"))
+    for part in [*(f.where((F.col("t") > a) & (F.col("t") <= b)).withColumn("at", at) for a, b in [(0, 5), (5, 11), (11, 99)]), later.withColumn("at", at + F.expr("INTERVAL 1 HOUR"))]:
+        part.drop("song_id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = f.select("session_id", "song_id").distinct().withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    for odd in (0, 1):
+        s.where(F.col("session_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{tmp_path}/starts")
+    return f, n
 
 
 def test_stream_equals_batch(spark, tmp_path):
     frames, notes = tables(spark, tmp_path)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
-    q = live.score_stream(stream, notes).writeStream.format("memory").queryName("scored").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/{name}")
+    scored = live.score_stream(read("in", "session_id long, t double, midi double, at timestamp"), read("starts", "session_id long, song_id long, at timestamp"), notes)
+    q = scored.writeStream.format("memory").queryName("scored").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
     q.processAllAvailable()
     q.stop()
     r = lambda x: None if x is None else round(x, 6)
-    got = {(x.session_id, x.pos): (x.rating, r(x.acc), r(x.cents)) for x in spark.table("scored").collect()}
+    rows = spark.table("scored").collect()
+    got = {(x.session_id, x.pos): (x.rating, r(x.acc), r(x.cents)) for x in rows}
+    assert len(got) == len(rows)
     batch = S.note_results(frames, notes)
     want = {(x.session_id, x.pos): (x.rating, r(x.acc), r(x.cents)) for x in batch.collect()}
-    assert got == want and any(v[0] is None for v in want.values()) and len({v[0] for v in want.values()}) > 2
+    # what a session that went away left open is given out when it has been idle
+    left = {(QUIT, p): (None, 0.0, None) for p in range(12) if (QUIT, p) not in want}
+    assert 3 < len(left) < 12 and got == want | left and any(v[0] is None for v in want.values()) and len({v[0] for v in want.values()}) > 2
     last = {x.session_id: x for x in sorted(spark.table("scored").collect(), key=lambda x: (x.max_combo, x.pos))}
     scores = {x.session_id: x for x in S.session_scores(batch).collect()}
     assert all(last[s].max_combo == scores[s].max_combo for s in scores)
