@@ -47,6 +47,28 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str, least: in
     return d.where(F.col("n") >= least).drop("island")
 
 
+def settled_states(df: DataFrame, keys: list[str], order: list[str], cells: str, least: int = 3, changed: int = 3) -> DataFrame:
+    """keys, cells, first_ and last_ of `order`'s first: states of a grid of cells (bits of a whole number, or bytes) that
+    hold for `least` rows or more and differ in `changed` cells at least from the state taken before; the first one is
+    taken. Runs are islands; of these alone each key's are folded in order, with one state in memory. A null is a state of
+    no run, which ends the run before it."""
+    o = order[0]
+    held = runs(df, keys, order, cells, least).where(F.col(cells).isNotNull())
+    number = lambda x: int.from_bytes(x, "big") if isinstance(x, (bytes, bytearray)) else x & (1 << 64) - 1
+
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        taken = None
+        for r in rows:
+            now = number(r[cells])
+            if taken is None or (now ^ taken).bit_count() >= changed:
+                taken = now
+                yield r[cells], r[f"first_{o}"], r[f"last_{o}"]
+
+    kinds = dict(held.dtypes)
+    columns = [cells, f"first_{o}", f"last_{o}"]
+    return fold_groups(held, keys, columns, ", ".join(f"{c} {kinds[c]}" for c in columns), fold, order=[f"first_{o}"])
+
+
 def gap_sessions(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
     """keys, start, end, n: rows chained while each is at most `gap` after the one before."""
     w = by(keys, [at])

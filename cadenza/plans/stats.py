@@ -158,6 +158,22 @@ def state_runs(spark, sf_dir):
     return S.runs(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "event_type", 2)
 
 
+CELLS = "CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 1 WHEN 'error' THEN 60 WHEN 'signup' THEN 28 ELSE 255 END"
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT user_id, {CELLS} AS cells, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, {CELLS} ORDER BY event_id) AS run FROM events),
+r AS (SELECT user_id, cells, min(event_id) AS first_event_id, max(event_id) AS last_event_id FROM o GROUP BY user_id, cells, run HAVING count(*) >= 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_event_id) AS i FROM r),
+t AS (SELECT n.*, cells AS state, true AS taken FROM n WHERE i = 1
+  UNION ALL SELECT n.*, CASE WHEN bit_count(xor(n.cells, t.state)) >= 3 THEN n.cells ELSE t.state END, bit_count(xor(n.cells, t.state)) >= 3 FROM t JOIN n ON n.user_id IS NOT DISTINCT FROM t.user_id AND n.i = t.i + 1)
+SELECT user_id, cells, first_event_id, last_event_id FROM t WHERE taken""")
+def settled_states(spark, sf_dir):
+    """Kinds of event, as cells, that come twice in a row or more and differ in three cells from the kind taken before."""
+    d = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(CELLS).alias("cells"))
+    return S.settled_states(d, ["user_id"], ["event_id"], "cells", least=2)
+
+
 @query("""
 WITH h AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE value > 100) SELECT user_id, event_id FROM h WHERE before IS NULL OR event_id - before > 200""")
 def rising_edges(spark, sf_dir):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.functions.audio import pitch, pitch_of
+from cadenza.functions.audio import pitch, pitch_classes, pitch_of, semitone_energies
 from cadenza.operators import intervals as I, scoring as C, sequence as S, sweeps as P
 
 
@@ -131,3 +131,47 @@ def test_pitch(spark):
     d = spark.createDataFrame([(wave.tolist(),), (None,)], "x array<double>")
     got = [r.p for r in d.select(pitch(d.x, 22050.0).alias("p")).collect()]
     assert abs(got[0] - 57) < 0.05 and got[1] is None
+
+
+def test_settled_states_like_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows, want = [], []
+    for key in range(4):
+        state, taken, run, before = 0, None, 0, object()
+        for i in range(300):
+            state = state if rng.random() < 0.7 else rng.choice([None, state, (state or 0) ^ 1, rng.getrandbits(12), 0])
+            rows.append((key, i, state))
+            run = run + 1 if state == before else 1
+            start = i if run == 1 else start
+            before = state
+            if run == 3 and state is not None and (taken is None or bin(taken ^ state).count("1") >= 3):
+                taken = state
+                want.append((key, state, start))
+    d = spark.createDataFrame(rows, "key int, i int, cells long")
+    assert sorted(tuple(r)[:3] for r in S.settled_states(d, ["key"], ["i"], "cells").collect()) == sorted(want)
+    b = d.withColumn("cells", F.unhex(F.lpad(F.hex("cells"), 4, "0")))
+    assert sorted((r.key, int.from_bytes(r.cells, "big"), r.first_i) for r in S.settled_states(b, ["key"], ["i"], "cells").collect()) == sorted(want)
+    assert S.settled_states(d.limit(0), ["key"], ["i"], "cells").count() == 0
+
+
+def test_energies_of_sound_files(spark, tmp_path):
+    t = np.arange(22050 * 14) / 22050
+    sound = {"a": np.sin(2 * np.pi * 440 * t), "c": np.sin(2 * np.pi * 261.6256 * t[:20000]), "short": t[:100]}
+    (tmp_path / "sound").mkdir()
+    for name, x in sound.items():
+        (tmp_path / "sound" / f"{name}.f32").write_bytes(x.astype("<f4").tobytes() + b"\x00")
+    d = semitone_energies(spark.read.format("binaryFile").load(f"{tmp_path}/sound"))
+    rows = d.withColumn("classes", pitch_classes(F.col("energy"))).collect()
+    frames = {n: sorted(r.frame for r in rows if r.path.endswith(f"/{n}.f32")) for n in sound}
+    assert frames == {"a": list(range(1 + (len(t) - 8192) // 1024)), "c": list(range(1 + (20000 - 8192) // 1024)), "short": []} and len(frames["a"]) > 256
+    for r in rows:
+        a = r.path.endswith("/a.f32")
+        assert len(r.energy) == 67 and 30 + int(np.argmax(r.energy)) == (69 if a else 60) and r.classes[0]["class"] == (9 if a else 0)
+        assert abs(r.t - r.frame * 1024 / 22050) < 1e-9 and [c.energy for c in r.classes] == sorted((c.energy for c in r.classes), reverse=True)
+    one = next(r for r in rows if r.path.endswith("/a.f32") and r.frame == 200)
+    part = np.abs(np.fft.rfft(sound["a"][200 * 1024 :][:8192] * np.hanning(8192)))
+    f = np.fft.rfftfreq(8192, 1 / 22050)
+    for j in range(67):
+        hz = 440 * 2 ** ((30 + j - 69) / 12)
+        inside = part[(f >= hz * 0.971) & (f < hz * 1.03)]
+        assert abs(one.energy[j] - (inside.max() if len(inside) else 0.0)) < 1e-2
