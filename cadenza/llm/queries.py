@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, chosen_path, dac, fingerprints, langid, packing, quality, quality_sql, quotes, toxicity, warc
+from cadenza.llm import bpe, chosen_path, dac, fingerprints, langid, merkle, negatives, packing, quality, quality_sql, quotes, rank_bpe, toxicity, warc
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -85,3 +86,20 @@ def op6_langid(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query(merkle.ORACLE)
+def op11_merkle(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"), tamper=merkle.every_seventh())
+
+
+@query()
+def op12_segment_tree_bpe(spark, sf_dir):
+    return rank_bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query(negatives.ORACLE)
+def op13_hard_negatives(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(v.withColumn("label", relabelled), anchor=F.col("vec_id") % 100 == 0)
