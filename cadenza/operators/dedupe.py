@@ -1,0 +1,116 @@
+"""Notes of a sweep on its line: fits, late notes moved onto it, collisions settled.
+
+Fits, retiming and the stretches in which notes can touch are columns and windows. Only the notes of a stretch that holds
+several are folded, some tens at most, since what two of them come to depends on what was settled before.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from cadenza.operators.folds import fold_groups
+
+#: Fixed values. Of a sweep's line: pixels apart from which two notes give a slope, seconds a pixel that a slope may have,
+#: slopes needed, median seconds off the line. Seconds off the line from which a note is late, is out of place alone (in a
+#: sweep of so many notes, seen over so many frames), is an outlier against an inlier. The shortest time that a retimed note
+#: sounds. The share of the lesser width from which bars collide.
+APART, SLOPES, ENOUGH, OFF = 30.0, (0.002, 0.05), 3, 0.25
+LATE, ALONE, MEMBERS, FRAMES, OUTLIER, INLIER = 0.25, 0.7, 5, 2, 0.5, 0.3
+SOUNDS, COLLIDE = 0.04, 0.6
+
+
+def sweep_lines(df: DataFrame, keys: list[str], sweep: str) -> DataFrame:
+    """keys, sweep, slope (seconds a pixel), intercept, own of every sweep: a robust line of t_start by x0 where there is one
+    (own), else the median slope of the other sweeps of its keys, without an intercept; null where no sweep has a line."""
+
+    def fit(rows: list[dict]) -> list[tuple]:
+        x, t = np.array([(r["x0"], r["t_start"]) for r in rows if None not in (r["x0"], r["t_start"])], float).reshape(-1, 2).T
+        i, j = np.triu_indices(len(x), 1)
+        far = np.abs(x[j] - x[i]) > APART
+        slopes = (t[j] - t[i])[far] / (x[j] - x[i])[far]
+        slopes = slopes[(slopes > SLOPES[0]) & (slopes < SLOPES[1])]
+        if len(slopes) < ENOUGH:
+            return [(None, None)]
+        slope = np.median(slopes)
+        rest = t - slope * x
+        middle = np.median(rest)
+        return [(float(slope), float(middle)) if np.median(np.abs(rest - middle)) <= OFF else (None, None)]
+
+    d = fold_groups(df, [*keys, sweep], ["x0", "t_start"], "slope double, intercept double", fit)
+    common = F.percentile("slope", 0.5).over(W.partitionBy(*keys))
+    return d.select(*keys, sweep, F.coalesce("slope", common).alias("slope"), "intercept", F.col("slope").isNotNull().alias("own"))
+
+
+def retimed(df: DataFrame, keys: list[str], sweep: str, lines: DataFrame, life: Column | None = None) -> DataFrame:
+    """df with slope, rest (seconds off its sweep's own line, null without one), t_start moved onto the line where the note
+    was more than LATE off, t_end by the note's width, and alone: the note is so far off that it goes without a collision,
+    where `life`, the frames that it was seen for, is given."""
+    d = df.join(lines, [*keys, sweep], "left").withColumn("rest", F.when(F.col("own"), F.abs(F.col("t_start") - (F.col("intercept") + F.col("slope") * F.col("x0")))))
+    members = F.count("*").over(W.partitionBy(*keys, sweep))
+    alone = F.lit(False) if life is None else F.coalesce((F.col("rest") > ALONE) & (life >= FRAMES) & (members >= MEMBERS), F.lit(False))
+    d = d.withColumn("alone", alone)
+    d = d.withColumn("t_start", F.when(F.col("rest") > LATE, F.round(F.col("intercept") + F.col("slope") * F.col("x0"), 3)).otherwise(F.col("t_start")))
+    sounds = F.round(F.col("t_start") + F.greatest((F.col("x1") - F.col("x0")) * F.col("slope"), F.lit(SOUNDS)), 3)
+    return d.withColumn("t_end", F.coalesce(sounds, F.col("t_end"))).drop("intercept", "own")
+
+
+ABSORBED, GOES, YIELDS = 1, 2, 3
+
+
+def _settled(rows: list[dict], ident: str, pitch: str) -> list[tuple]:
+    """What becomes of the notes of one stretch. Notes come from the left and meet all that are still there at once."""
+    rows = sorted(rows, key=lambda r: (r["x0"], r["x1"], r[ident]))
+    column = lambda c: np.array([np.nan if r[c] is None else r[c] for r in rows], float)
+    a, b, t, u, rest = map(column, ("x0", "x1", "t_start", "t_end", "rest"))
+    slope, pitches, names = rows[0]["slope"], np.array([r[pitch] for r in rows]), [r[ident] for r in rows]
+    fate: list[tuple] = [("kept", None)] * len(rows)
+    there = np.zeros(len(rows), bool)
+    for n in range(len(rows)):
+        m = np.flatnonzero(there)
+        lesser = np.minimum(b[m] - a[m], b[n] - a[n])
+        m = m[(lesser > 0) & (np.minimum(b[m], b[n]) - np.maximum(a[m], a[n]) >= COLLIDE * lesser)]
+        at_once = np.minimum(u[m], u[n]) > np.maximum(t[m], t[n])
+        worse = rest if not np.isnan(rest[n]) else a - b  # without a line the narrower one is worse
+        out = np.where(at_once, np.where(pitches[m] == pitches[n], ABSORBED, np.where(worse[n] >= worse[m], GOES, YIELDS)),
+                       np.where((rest[n] > OUTLIER) & (rest[m] < INLIER), GOES, np.where((rest[m] > OUTLIER) & (rest[n] < INLIER), YIELDS, 0)))
+        ends = np.flatnonzero((out == ABSORBED) | (out == GOES))
+        last = ends[0] if len(ends) else len(out)
+        for k in np.flatnonzero(out[:last] == YIELDS):
+            fate[m[k]] = ("ghost-coexist" if at_once[k] else "ghost-offsweep", names[n])
+            there[m[k]] = False
+        if last == len(out):
+            there[n] = True
+            continue
+        into = m[last]
+        if out[last] == GOES:
+            fate[n] = ("ghost-coexist" if at_once[last] else "ghost-offsweep", names[into])
+            continue
+        fate[n] = ("dup-union", names[into])
+        a[into], b[into], t[into] = min(a[into], a[n]), max(b[into], b[n]), min(t[into], t[n])
+        u[into] = max(u[into], u[n]) if slope is None else round(t[into] + max((b[into] - a[into]) * slope, SOUNDS), 3)
+    return [(names[n], *fate[n], float(a[n]), float(b[n]), float(t[n]), float(u[n])) for n in range(len(rows))]
+
+
+def dedupe_sweep(df: DataFrame, keys: list[str], sweep: str, ident: str, pitch: str, life: Column | None = None) -> DataFrame:
+    """keys, sweep, ident, action, other, x0, x1, t_start, t_end of the notes of every sweep: kept (widened by what it
+    absorbed), dup-union (of `other`, which has its pitch and sounds at once), ghost-coexist or ghost-offsweep (`other`
+    stays) or, where `life` is given, offsweep-solo. Notes that a line foretells are moved onto it first, see retimed().
+
+    Two notes can collide only where their stretches of x, with all between them, are one: such stretches are found by a
+    running end and are folded alone; a note by itself, or without a place or a time, is kept as it is, without leaving the JVM.
+    """
+    d = retimed(df, keys, sweep, sweep_lines(df, keys, sweep), life)
+    d = d.select(*keys, sweep, ident, pitch, *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "t_start", "t_end")], "slope", "rest", "alone")
+    d = d.withColumn("_apart", F.col("alone") | (F.col("x0") + F.col("x1") + F.col("t_start") + F.col("t_end")).isNull())
+    w = W.partitionBy(*keys, sweep, "_apart").orderBy("x0", "x1", ident)
+    before = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("_new", F.when(F.col("x0") <= before, 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(w))
+    d = d.withColumn("_several", F.count("*").over(W.partitionBy(*keys, sweep, "_apart", "_stretch")) > 1)
+    kind = dict(df.dtypes)[ident]
+    meet = F.col("_several") & ~F.col("_apart")
+    shown = [*keys, sweep, ident, "action", "other", "x0", "x1", "t_start", "t_end"]
+    single = d.where(~meet).withColumn("action", F.when(F.col("alone"), "offsweep-solo").otherwise("kept")).withColumn("other", F.lit(None).cast(kind))
+    met = fold_groups(d.where(meet), [*keys, sweep, "_stretch"], [ident, pitch, "x0", "x1", "t_start", "t_end", "slope", "rest"],
+                      f"{ident} {kind}, action string, other {kind}, x0 double, x1 double, t_start double, t_end double", lambda rows: _settled(rows, ident, pitch))
+    return single.select(*shown).unionByName(met.select(*shown))

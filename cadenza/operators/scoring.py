@@ -73,7 +73,7 @@ def shown_pitches(credits: DataFrame) -> DataFrame:
     def fold(rows: Iterable[dict]) -> Iterator[tuple]:
         last = None
         for r in rows:
-            target = r["note_midi"] if r["note_midi"] is not None else last or r["midi"]
+            target = next(x for x in (r["note_midi"], last, r["midi"]) if x is not None)
             last = r["midi"] + 12 * math.floor((target - r["midi"]) / 12 + 0.5)
             yield r["t"], last
 

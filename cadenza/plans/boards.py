@@ -54,7 +54,7 @@ def songs_with_top_singer(spark, sf_dir):
     """Every song with its best singer, if any: one window in place of a lookup per song."""
     p = plays(spark, sf_dir)
     best = p.where(DONE).groupBy("song_id", "user_id").agg(F.max("score").alias("best"))
-    top = first_by(best, ["song_id"], F.desc("best"), F.col("user_id")).join(users(spark, sf_dir), "user_id")
+    top = first_by(best.join(users(spark, sf_dir), "user_id"), ["song_id"], F.desc("best"), F.col("user_id"))
     return p.select("song_id").distinct().join(top, "song_id", "left").select("song_id", "user_id", "display_name", "best")
 
 
@@ -62,8 +62,8 @@ def songs_with_top_singer(spark, sf_dir):
 WITH {PLAYS}, {USERS} SELECT id, user_id, display_name, song_id, score, played_at FROM plays JOIN users USING (user_id) WHERE completed = 1 ORDER BY played_at DESC, id DESC LIMIT 20""")
 def recent_feed(spark, sf_dir):
     """The last 20 finished plays with their singers."""
-    p = plays(spark, sf_dir).where("completed = 1").orderBy(F.desc("played_at"), F.desc("id")).limit(20)
-    return p.join(users(spark, sf_dir), "user_id").select("id", "user_id", "display_name", "song_id", "score", "played_at")
+    p = plays(spark, sf_dir).where("completed = 1").join(users(spark, sf_dir), "user_id")
+    return p.select("id", "user_id", "display_name", "song_id", "score", "played_at").orderBy(F.desc("played_at"), F.desc("id")).limit(20)
 
 
 @query(f"""

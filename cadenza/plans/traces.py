@@ -62,12 +62,12 @@ def worst_deficits(spark, sf_dir):
 @query(f"""
 WITH {NOTES}, m AS (SELECT *, (midi % 10) / 20.0 AS b, (pos % 6) / 5.0 AS a, CASE WHEN page % 2 = 0 THEN (midi % 7) / 7.0 END AS c, (midi % 9) / 8.0 AS w FROM notes)
 SELECT CASE WHEN a < 0.4 THEN 'flip' WHEN c < 0.4 THEN 'unstable' WHEN page < 2 AND pos % 2 = 0 AND (a < 0.6 OR b > 0.15) THEN 'seen1' WHEN b <= 0.3 OR (t_start < 9 AND page >= 3) THEN 'accepted'
-  WHEN w > 0.5 AND b / 2 <= 0.2 AND a >= 0.6 THEN 'accepted washed' ELSE 'flip' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
+  WHEN w > 0.5 AND (midi % 5) / 4.0 <= 0.3 AND (pos % 4) / 4.0 >= 0.4 THEN 'accepted washed' ELSE 'flip' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
 def evidence_verdicts(spark, sf_dir):
     """How many bars the evidence accepts, and how many each reason rejects."""
     c = F.col
     before, after = (c("midi") % 10) / 20.0, (c("pos") % 6) / 5.0
-    v = P.evidence(before, after, F.when(c("page") % 2 == 0, (c("midi") % 7) / 7.0), c("page"), c("pos") % 2 == 0, c("t_start") < 9, (c("midi") % 9) / 8.0, before / 2 + 0.1, after - 0.2)
+    v = P.evidence(before, after, F.when(c("page") % 2 == 0, (c("midi") % 7) / 7.0), c("page"), c("pos") % 2 == 0, c("t_start") < 9, (c("midi") % 9) / 8.0, (c("midi") % 5) / 4.0, (c("pos") % 4) / 4.0)
     return notes(spark, sf_dir).select(v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 

@@ -116,9 +116,9 @@ def test_credit_and_ratings(spark):
 
 
 def test_titles_and_addresses(spark):
-    t = "【カラオケ練習用】マリーゴールド／あいみょん｜[Videoke] Mary Gold - Aimyon - カラオケ@DIVA"
+    t = "【カラオケ練習用】みどりの丘／山田うた｜[Videoke] Green Hill - Uta Yamada - カラオケ@DIVA"
     r = spark.createDataFrame([(t,), ("x",)], "t string").select(X.title_parts(F.col("t")).alias("p")).collect()
-    assert tuple(r[0].p) == ("マリーゴールド", "あいみょん", "[Videoke] Mary Gold - Aimyon - カラオケ@DIVA", "Mary Gold", "Aimyon") and set(r[1].p) == {None}
+    assert tuple(r[0].p) == ("みどりの丘", "山田うた", "[Videoke] Green Hill - Uta Yamada - カラオケ@DIVA", "Green Hill", "Uta Yamada") and set(r[1].p) == {None}
     v = "dQw4w9WgXcQ"
     urls = [v, f"https://www.youtube.com/watch?v={v}&t=1", f"youtu.be/{v}?si=1", f"https://youtube.com/shorts/{v}", f"https://evil.com/watch?v={v}", "", None, f"https://www.youtube-nocookie.com/embed/{v}", "https://youtu.be/short"]
     got = [r.v for r in spark.createDataFrame([(u,) for u in urls], "u string").select(X.video_id(F.col("u")).alias("v")).collect()]

@@ -74,20 +74,6 @@ def test_clusters_and_tracks_like_plain_loops(spark):
     assert sorted((r.k, r.first_f, r.last_f, r.x0, r.x1, round(r.cy, 9), r.hits) for r in I.grow_tracks(d, ["k"], "f", 4).collect()) == sorted(tracks)
 
 
-def test_colliding_notes_of_a_sweep(spark):
-    n = [  # i, pitch, x0, x1, t_start, t_end, rest
-        (0, 60, 0.0, 100.0, 0.0, 1.0, 0.0), (1, 60, 10.0, 120.0, 0.2, 1.1, 0.1), (2, 64, 20.0, 90.0, 0.3, 0.9, 0.4), (3, 60, 30.0, 100.0, 5.0, 6.0, 0.9),
-        (4, 60, 300.0, 400.0, 3.0, 4.0, 0.1), (5, 62, 310.0, 390.0, 3.1, 3.9, 0.05), (6, 62, 320.0, 390.0, 9.0, 9.5, 0.2), (7, 60, 500.0, 500.0, 5.0, 5.1, 0.0),
-    ]
-    d = spark.createDataFrame([(1, *x[:6], 0.01, x[6]) for x in n], "k int, i int, p int, x0 double, x1 double, t_start double, t_end double, slope double, rest double")
-    got = {r.i: (r.action, r.other, r.x0, r.x1, r.t_end) for r in I.dedupe_sweep(d, ["k"], "i", "p", "slope", "rest").collect()}
-    assert got[0] == ("kept", None, 0.0, 120.0, 1.2) and got[1][:2] == ("dup-union", 0) and got[2][:2] == ("ghost-coexist", 0) and got[3][:2] == ("ghost-offsweep", 0)
-    assert got[4][:2] == ("ghost-coexist", 5) and got[5][0] == got[6][0] == got[7][0] == "kept"
-    none = d.withColumns({"slope": F.lit(None).cast("double"), "rest": F.lit(None).cast("double")})
-    got = {r.i: (r.action, r.t_end) for r in I.dedupe_sweep(none, ["k"], "i", "p", "slope", "rest").collect()}
-    assert got[0] == ("kept", 1.1) and got[2][0] == "ghost-coexist" and got[3][0] == "kept" and got[4][0] == "kept" and got[5][0] == "ghost-coexist"
-
-
 def test_outliers_of_a_trace(spark):
     rng = random.Random(9)
     rows = [(1, i / 4, None if rng.random() < 0.1 else 30.0 * i + (300.0 if rng.random() < 0.15 else rng.random())) for i in range(60)] + [(2, 0.0, 5.0), (2, 0.5, 900.0)]
