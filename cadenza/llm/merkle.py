@@ -86,7 +86,7 @@ def proofs(nodes: DataFrame, above, scratch: Scratch, arity: int, depth: int) ->
     return one.drop("block", "top", "n", "pos")
 
 
-def manifest(docs: DataFrame, found: Column | None = None, arity: int = 2, depth: int = 10, rows: int = 50_000) -> DataFrame:
+def manifest(docs: DataFrame, found: Column | None = None, arity: int = 2, depth: int = 10, rows: int = 5000) -> DataFrame:
     """Per row of docs: doc_id, leaf, found, path (siblings before and after, from the leaf up), subroot, root.
 
     found: a digest to carry along, of what was found in the row's place, say (default: the leaf). Leaves ascend within a language by doc_id,
