@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,17 +57,31 @@ def pitch(frame: Column, rate: float) -> Column:
 RATE, WINDOW, HOP, SEMITONES, BAND = 22050, 8192, 1024, (30, 96), (0.971, 1.03)
 
 
+def semitones(window: int, rate: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Of windows of samples, a row each, the strongest bin of each of SEMITONES; 0 where no bin is in its band."""
+    hz = 440 * 2 ** ((np.arange(SEMITONES[0], SEMITONES[1] + 1) - 69) / 12)
+    bins = np.searchsorted(np.fft.rfftfreq(window, 1 / rate), [hz * BAND[0], hz * BAND[1]]).T.tolist()
+    shape = np.hanning(window).astype(np.float32)
+
+    def energies(x: np.ndarray) -> np.ndarray:
+        power = np.abs(np.fft.rfft(x * shape, axis=1)).astype(np.float32)
+        return np.column_stack([power[:, u:v].max(1) if v > u else np.zeros(len(x), np.float32) for u, v in bins])
+
+    return energies
+
+
+def loudness(window: int, rate: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The root of the mean square of each window."""
+    return lambda x: np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64) / window).astype(np.float32)[:, None]
+
+
 def semitone_energies(files: DataFrame, rate: float = RATE) -> DataFrame:
-    """path, frame, t and energy (the strongest bin of each of SEMITONES, 0 where no bin is in its band) of every window of
-    files of 32-bit little-endian samples of one channel (path, content, as the binaryFile source reads them). A file that
-    is null or shorter than a window gives no row; samples beyond the last whole one are left out. Windows are transformed
-    256 at a time, so that a long file's spectrum is never in memory as a whole."""
-    low, high = SEMITONES
+    """path, frame, t and energy of every window of small files of samples, a file a row (path, content, as the binaryFile
+    source reads them; files of any size: sources.sound). A file that is null or shorter than a window gives no row; samples
+    beyond the last whole one are left out. Windows are transformed 256 at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hz = 440 * 2 ** ((np.arange(low, high + 1) - 69) / 12)
-        bins = np.searchsorted(np.fft.rfftfreq(WINDOW, 1 / rate), [hz * BAND[0], hz * BAND[1]]).T.tolist()
-        shape = np.hanning(WINDOW).astype(np.float32)
+        energies = semitones(WINDOW, rate)
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 raw = content.as_buffer() if content.is_valid else pa.py_buffer(b"")
@@ -75,10 +89,9 @@ def semitone_energies(files: DataFrame, rate: float = RATE) -> DataFrame:
                 n = max(0, 1 + (len(x) - WINDOW) // HOP)
                 for first in range(0, n, 256):
                     at = np.arange(first, min(n, first + 256))
-                    power = np.abs(np.fft.rfft(x[at[:, None] * HOP + np.arange(WINDOW)] * shape, axis=1)).astype(np.float32)
-                    energy = np.column_stack([power[:, u:v].max(1) if v > u else np.zeros(len(at), np.float32) for u, v in bins])
+                    own = np.lib.stride_tricks.sliding_window_view(x[first * HOP : (at[-1] * HOP) + WINDOW], WINDOW)[::HOP]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(at), pa.string()), pa.array(at), pa.array(at * HOP / rate), pa.array(list(energy), pa.list_(pa.float32()))], ["path", "frame", "t", "energy"])
+                        [pa.array([path] * len(at), pa.string()), pa.array(at), pa.array(at * HOP / rate), pa.array(list(energies(own)), pa.list_(pa.float32()))], ["path", "frame", "t", "energy"])
 
     return files.select("path", "content").mapInArrow(run, "path string, frame long, t double, energy array<float>")
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from cadenza.plans import boards, fits, live, matches, snapshots, songs, stats, texts, traces  # noqa: E402, F401  registers their queries
+from cadenza.plans import boards, fits, live, matches, snapshots, songs, sound, stats, texts, traces  # noqa: E402, F401  registers their queries
