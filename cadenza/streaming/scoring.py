@@ -1,97 +1,200 @@
-"""The scorer as a stream: frames of many sessions, state per session, a row for each note as it is closed."""
+"""The scorer as a stream: frames of many sessions, state per session, rows as notes are closed and pages turned."""
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from cadenza.functions.scalars import FULL, NONE, RATINGS
+from cadenza.functions.scalars import FULL, LOWEST_STAMP, NONE, RATINGS, STAMPS
 from cadenza.operators.scoring import LATE, LONGEST_FRAME
 
-RESULT = "session_id long, pos int, rating int, acc double, cents double, combo long, max_combo long, score double"
-
-
-def total(s: dict) -> float | None:
-    return 100 * (s["hit"] / s["dur"]) ** 0.7 if s["dur"] >= 0.5 else None
-
-
-def _close(n: dict, t: float, s: dict) -> tuple:
-    late = t - n["b"] > LATE
-    dur = n["b"] - n["a"]
-    acc = 0.0 if late else min(1.0, n["hit"] / dur)
-    rate = None if late else next((r for least, r in RATINGS if acc >= least), 0)
-    if rate is not None:
-        s["combo"] = s["combo"] + 1 if rate else 0
-        s["max"] = max(s["max"], s["combo"])
-        s["hit"] += min(n["hit"], dur)
-        s["dur"] += dur
-    return n["pos"], rate, acc, n["cents"] / n["w"] if n["w"] else None, s["combo"], s["max"], total(s)
-
-
-def advance(s: dict, t: float, midi: float | None) -> list[tuple]:
-    """One frame: its credit goes to the note that sounds, and notes whose end has passed are closed."""
-    dt = 0.0 if s["t"] is None else t - s["t"]
-    if s["t"] is not None and dt <= 0:
-        return []  # a frame out of order
-    s["t"] = t
-    if not 0 < dt < LONGEST_FRAME:
-        return []
-    active = next((n for n in reversed(s["notes"]) if n["a"] <= t <= n["b"]), None)
-    if active and midi is not None and not math.isnan(midi):
-        off = midi + 12 * math.floor((active["midi"] - midi) / 12 + 0.5) - active["midi"]
-        d = abs(off)
-        active["hit"] += dt * (1.0 if d <= FULL else (NONE - d) / (NONE - FULL) if d <= NONE else 0.0)
-        if d <= NONE:
-            active["cents"] += off * 100 * dt
-            active["w"] += dt
-    due = [n for n in s["notes"] if t > n["b"]]
-    s["notes"] = [n for n in s["notes"] if t <= n["b"]]
-    return [_close(n, t, s) for n in due]
-
-
-def score_stream(frames: DataFrame, starts: DataFrame, notes: DataFrame, late: str = "10 seconds", idle: float = 600.0) -> DataFrame:
-    """A row for each note of a session as it is closed. frames: a stream of session_id, t, midi, at (when it came; t rises
-    within a session's batches); starts: a stream of session_id, song_id, at, a row for each session; notes: a table of
-    song_id, pos, t_start, t_end, midi. A song's notes travel once for each start. A session's state holds the notes not yet
-    closed, four sums, and frames that came before their start. When nothing has come for `idle` seconds of the watermark,
-    its open notes are given out as not attempted (rating null, acc 0) and the state goes. A second start of a live session
-    changes nothing; frames older than the watermark, by `late`, are dropped, which Spark counts in its progress."""
+RESULT = """session_id long, kind string, pos int, rating int, acc double, cents double, combo long, max_combo long, score double, stamp string,
+trace array<struct<t:double,shown:double,credit:double>>"""
+#: Fixed values, in seconds: how much of the trace is shown, how far beyond a page's end its last notes may reach.
+SHOWN, BEYOND = 4.5, 0.2
+#: Seconds for which frames wait for their session's start.
+PATIENCE = 120.0
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Scorer(StatefulProcessor):
+    """State of a session, each a variable of its own in the store: its open notes by position, its pages by number, the
+    accuracy of rated notes that a page still waits for, frames that the watermark hasn't reached by time, the trace's last
+    seconds, and one row of sums. A timer stands at the end of each note, LATE after it, and of each page.
+
+    Frames are taken in the order of the song's clock once the watermark has passed them, so that the order in which they
+    came doesn't show. A timer looks at where the song's clock is by then: a session that was held waits on.
+    """
+
+    def __init__(self, trace: bool):
+        self.with_trace = trace
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.notes = handle.getMapState("notes", "pos int", "a double, b double, midi double, hit double, cents double, w double")
+        self.pages = handle.getMapState("pages", "section int", "t0 double, t1 double")
+        self.rated = handle.getMapState("rated", "pos int", "b double, acc double")
+        self.frames = handle.getMapState("frames", "t double", "ms long, midi double")
+        self.trace = handle.getListState("trace", "t double, shown double, credit double")
+        self.sums = handle.getValueState("sums", "origin double, t double, shown double, combo long, best long, hit double, dur double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        begun, started, notes, pages, frames = self.sums.exists(), None, [], [], {}
+        for r in rows:
+            if r.kind == "frame":
+                if r.t is not None and r.ms is not None and not math.isnan(r.t):
+                    midi = None if r.midi is None or math.isnan(r.midi) else r.midi
+                    frames[r.t] = min(frames.get(r.t, (r.ms, midi)), (r.ms, midi), key=lambda x: (x[1] is not None, x[1] or 0.0))
+            elif not begun:
+                started = r.ms / 1000 if started is None else min(started, r.ms / 1000)
+                (notes if r.kind == "note" else pages).append(r)
+        for t, x in frames.items():
+            held = self.frames.getValue((t,))
+            if held is None or (x[1] is not None, x[1] or 0.0) < (held[1] is not None, held[1] or 0.0):
+                self.frames.updateValue((t,), x)
+        if started is not None:
+            self.sums.update((started, None, None, 0, 0, 0.0, 0.0))
+            for n in notes:
+                if None not in (n.pos, n.a, n.b, n.midi):
+                    self.notes.updateValue((n.pos,), (n.a, n.b, n.midi, 0.0, 0.0, 0.0))
+                    self.handle.registerTimer(self.due(started, n.b + LATE))
+            for p in pages:
+                if None not in (p.pos, p.a, p.b):
+                    self.pages.updateValue((p.pos,), (p.a, p.b))
+                    self.handle.registerTimer(self.due(started, p.b + BEYOND + LATE))
+        elif not begun and frames:
+            self.handle.registerTimer(max(ms for ms, _ in frames.values()) + int(1000 * PATIENCE))
+        if begun or started is not None:
+            yield from self.taken(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if not self.sums.exists():
+            for (t,), (ms, _) in list(self.frames.iterator()):
+                if ms + 1000 * PATIENCE <= now:
+                    self.frames.removeKey((t,))
+            return
+        yield from self.taken(key, now)
+
+    @staticmethod
+    def due(origin: float, t: float) -> int:
+        """When the song's clock will be at t, in whole milliseconds, if it runs on."""
+        return math.ceil(1000 * (origin + t)) + 1
+
+    def taken(self, key, now: int) -> Iterator[Row]:
+        """What frames up to the watermark, and the watermark itself, settle."""
+        notes, trace, out, waits = {k[0]: list(v) for k, v in self.notes.iterator()}, [], [], []
+        changed: set[int] = set()
+        origin, last, shown, *totals = self.sums.get()
+        s = dict(zip(("combo", "best", "hit", "dur"), totals))
+        reached = sorted((t, *x) for (t,), x in self.frames.iterator() if x[0] <= now)
+        for t, ms, midi in reached:
+            self.frames.removeKey((t,))
+            dt, last = (0.0 if last is None else t - last), (t if last is None else max(last, t))
+            origin = ms / 1000 - t
+            if not 0 < dt < LONGEST_FRAME:
+                continue
+            on = max(((n[0], pos) for pos, n in notes.items() if n[0] <= t <= n[1]), default=None)
+            if midi is not None:
+                n = notes[on[1]] if on else None
+                target = n[2] if n else midi if shown is None else shown
+                shown, credit = midi + 12 * math.floor((target - midi) / 12 + 0.5), 0.0
+                if n:
+                    off = shown - n[2]
+                    credit = 1.0 if abs(off) <= FULL else (NONE - abs(off)) / (NONE - FULL) if abs(off) <= NONE else 0.0
+                    n[3] += dt * credit
+                    if abs(off) <= NONE:
+                        n[4] += off * 100 * dt
+                        n[5] += dt
+                    changed.add(on[1])
+                trace.append((t, shown, credit))
+            for a, pos in sorted((n[0], pos) for pos, n in notes.items() if t > n[1]):
+                out.append(self.closed(key, pos, notes.pop(pos), t, s))
+        for pos, n in sorted(notes.items()):
+            at = self.due(origin, n[1] + LATE)
+            if at <= now:  # no frame can rate it any more
+                out.append(self.closed(key, pos, notes.pop(pos), math.inf, s))
+            else:
+                waits.append(at)
+        for r in out:
+            self.notes.removeKey((r.pos,))
+        for pos in changed & notes.keys():
+            self.notes.updateValue((pos,), tuple(notes[pos]))
+        yield from out
+        pages = {k[0]: v for k, v in self.pages.iterator()}
+        for section, (t0, t1) in sorted(pages.items(), key=lambda x: (x[1][1], x[0])):
+            at = self.due(origin, t1 + BEYOND + LATE)
+            if at > now:
+                waits.append(at)
+                continue
+            self.pages.removeKey((section,))
+            del pages[section]
+            own = [acc for b, acc in self.rated.values() if t0 < b <= t1 + BEYOND]
+            if len(own) >= 2:
+                acc = sum(own) / len(own)
+                yield self.row(key, "stamp", s, pos=section, acc=acc, stamp=next((x for least, x in STAMPS if acc >= least), LOWEST_STAMP))
+        if trace:
+            trace = [x for x in [*map(tuple, self.trace.get()), *trace] if x[0] >= last - SHOWN]
+            self.trace.put(trace)
+            if self.with_trace:
+                yield self.row(key, "trace", s, trace=[Row(t=t, shown=x, credit=c) for t, x, c in trace])
+        if not notes and not pages:
+            for state in (self.notes, self.pages, self.rated, self.frames, self.trace, self.sums):
+                state.clear()
+            return
+        self.sums.update((origin, last, shown, s["combo"], s["best"], s["hit"], s["dur"]))
+        later = [at for at in waits if at > now]
+        if later:  # the song's clock may have been held since the timers were set
+            self.handle.registerTimer(min(later))
+
+    def closed(self, key, pos: int, n: list, t: float, s: dict) -> Row:
+        late, dur = t - n[1] > LATE, n[1] - n[0]
+        acc = 0.0 if late else min(1.0, n[3] / dur) if dur > 0 else 0.0
+        rate = None if late else next((r for least, r in RATINGS if acc >= least), 0)
+        if rate is not None:
+            s["combo"] = s["combo"] + 1 if rate else 0
+            s["best"] = max(s["best"], s["combo"])
+            s["hit"] += min(n[3], dur)
+            s["dur"] += dur
+            self.rated.updateValue((pos,), (n[1], acc))
+        return self.row(key, "note", s, pos=pos, rating=rate, acc=acc, cents=n[4] / n[5] if n[5] else None)
+
+    @staticmethod
+    def row(key, kind: str, s: dict, pos=None, rating=None, acc=None, cents=None, stamp=None, trace=None) -> Row:
+        score = 100 * (s["hit"] / s["dur"]) ** 0.7 if s["dur"] >= 0.5 else None
+        return Row(session_id=key[0], kind=kind, pos=pos, rating=rating, acc=acc, cents=cents, combo=s["combo"], max_combo=s["best"], score=score, stamp=stamp, trace=trace)
+
+    def close(self) -> None:
+        pass
+
+
+def score_stream(frames: DataFrame, starts: DataFrame, notes: DataFrame, flips: DataFrame | None = None, late: str = "10 seconds", trace: bool = False) -> DataFrame:
+    """RESULT rows: of kind note for each note as it is closed, of kind stamp for each page of flips as it turns (pos is its
+    section), with trace those of kind trace: the last SHOWN seconds, as often as frames are taken.
+
+    frames: a stream of session_id, t (the song's clock), midi, at (when it came); starts: a stream of session_id, song_id,
+    at (when the clock was at 0), a row for each session; notes: a table of song_id, pos, t_start, t_end, midi; flips: a
+    table of song_id, section, t0, t1. A song's notes travel once for each start. Rows are those of operators.scoring's
+    note_results and section_stamps, in whatever order frames come within the watermark, `late`; older ones are dropped,
+    which Spark counts in its progress. A note that no frame passes is given out LATE after its end as not attempted
+    (rating null, acc 0), so the state of a session that breaks off goes as well. A second start of a live session changes
+    nothing; frames without a start go after PATIENCE. It sets the session's state store to RocksDB.
+    """
+    frames.sparkSession.conf.set(*STORE)
     at = F.col("at").cast("timestamp").alias("at")
-    n = notes.select("song_id", "pos", F.col("t_start").cast("double").alias("a"), F.col("t_end").cast("double").alias("b"), F.col("midi").cast("double").alias("midi"))
-    songs = starts.select("session_id", "song_id", at).join(n, "song_id").select("session_id", at, F.lit(None).cast("double").alias("t"), "midi", "pos", "a", "b")
-    sung = frames.select("session_id", at, F.col("t").cast("double").alias("t"), F.col("midi").cast("double").alias("midi"))
+    number = lambda c: F.col(c).cast("double")
+    own = notes.select("song_id", F.lit("note").alias("kind"), F.col("pos").cast("int").alias("pos"), number("t_start").alias("a"), number("t_end").alias("b"), number("midi").alias("midi"))
+    if flips is not None:
+        pages = flips.select("song_id", F.lit("page").alias("kind"), F.col("section").cast("int").alias("pos"), number("t0").alias("a"), number("t1").alias("b"))
+        own = own.unionByName(pages, allowMissingColumns=True)
+    songs = starts.select(F.col("session_id").cast("long").alias("session_id"), "song_id", at).join(own, "song_id").drop("song_id")
+    sung = frames.select(F.col("session_id").cast("long").alias("session_id"), F.lit("frame").alias("kind"), at, number("t").alias("t"), number("midi").alias("midi"))
     # one watermark for both, so that a stream in which nothing starts doesn't hold it back
     d = songs.unionByName(sung, allowMissingColumns=True).withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else {"t": None, "notes": None, "wait": [], "last": 0, "combo": 0, "max": 0, "hit": 0.0, "dur": 0.0}
-        if state.hasTimedOut:
-            state.remove()
-            out = [(x["pos"], None, 0.0, None, s["combo"], s["max"], total(s)) for x in s["notes"] or []]
-        else:
-            pdf = pd.concat(list(batches))
-            song, own = pdf[pdf["t"].isna()], pdf[pdf["t"].notna()].sort_values(["t", "midi"])
-            if s["notes"] is None and len(song):
-                song = song.drop_duplicates("pos").sort_values(["a", "pos"])
-                s["notes"] = [{"pos": int(p), "a": a, "b": b, "midi": m, "hit": 0.0, "cents": 0.0, "w": 0.0} for p, a, b, m in zip(song["pos"], song["a"], song["b"], song["midi"])]
-            s["wait"] += [(t, None if pd.isna(m) else m) for t, m in zip(own["t"], own["midi"])]
-            out = []
-            if s["notes"] is not None:
-                out = [r for t, m in sorted(s["wait"], key=lambda x: x[0]) for r in advance(s, t, m)]
-                s["wait"] = []
-            s["last"] = max(s["last"], int(pdf["ms"].max()))
-            state.update((json.dumps(s),))
-            state.setTimeoutTimestamp(max(s["last"] + int(1000 * idle), state.getCurrentWatermarkMs() + 1))
-        got = pd.DataFrame(out, columns=["pos", "rating", "acc", "cents", "combo", "max_combo", "score"])
-        got.insert(0, "session_id", key[0])
-        yield got.astype({"rating": "Int32", "cents": "Float64", "score": "Float64"})
-
-    return d.groupBy("session_id").applyInPandasWithState(step, RESULT, "s string", "append", "EventTimeTimeout")
+    return d.groupBy("session_id").transformWithState(Scorer(trace), RESULT, "Append", "eventTime")
 
 
 def daily_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
