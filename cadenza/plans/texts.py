@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as X
+from cadenza.functions.annotate import annotated
 from cadenza.operators.relational import falsy_coalesce
 from cadenza.plans.registry import query
 from cadenza.plans.views import PLAYS, plays, table
@@ -89,3 +90,12 @@ def flip_times(spark, sf_dir):
     d = table(spark, sf_dir, "events")
     low = d.groupBy("user_id").agg(F.max(F.when(F.col("value") < 20, F.col("event_id"))).alias("last_low"))
     return d.join(low, "user_id").groupBy("user_id").agg(F.min(F.when((F.col("value") >= 300) & (F.col("last_low").isNull() | (F.col("event_id") > F.col("last_low"))), F.col("event_id"))).alias("flip"))
+
+
+@query()
+def annotated_words(spark, sf_dir):
+    """How much of every document is words of the benchmark: matches, characters, different words."""
+    b = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word")).where("length(word) > 3").distinct()
+    d = annotated(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", b.withColumn("reading", F.reverse("word")))
+    covered = F.aggregate("spans", F.lit(0), lambda n, x: n + F.length(x["reading"]))
+    return d.select("doc_id", F.size("spans").alias("n_spans"), covered.alias("n_chars"), F.size(F.array_distinct(F.transform("spans", lambda x: x["reading"]))).alias("n_read"))
