@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.folds import fold_groups
+from cadenza.operators.selection import join_few, quantiles
 
 
 def theil_sen_line(t: np.ndarray, x: np.ndarray, most: int = 60) -> tuple[float, float] | None:
@@ -128,8 +129,8 @@ def hue_distance(a: Column, b: Column | int, size: int = 180) -> Column:
 
 def near_median(df: DataFrame, keys: list[str], value: str, within: float) -> DataFrame:
     """Rows whose value is at most `within` from the median of their keys."""
-    m = df.groupBy(*keys).agg(F.median(value).alias("_m"))
-    return df.join(m, keys).where(F.abs(F.col(value) - F.col("_m")) <= within).drop("_m")
+    m = quantiles(df, keys, value, {"_m": 0.5})
+    return join_few(df, m, keys).where(F.abs(F.col(value) - F.col("_m")) <= within).drop("_m")
 
 
 def mad_threshold(df: DataFrame, keys: list[str], value: str, times: float = 6.0, least: float = 0.8) -> DataFrame:
@@ -142,7 +143,7 @@ def extremes_consistent(df: DataFrame, keys: list[str], kind: str, row: str, hal
     """df with consistent: whether a row lies within `half` of the commonest row of its kind (ties: the least row)."""
     counts = df.groupBy(*keys, kind, row).agg(F.count("*").alias("_n"))
     mode = counts.groupBy(*keys, kind).agg(F.min(F.struct(-F.col("_n"), F.col(row).alias("r"))).alias("_b")).select(*keys, kind, F.col("_b.r").alias("_mode"))
-    return df.join(mode, [*keys, kind]).withColumn("consistent", F.abs(F.col(row) - F.col("_mode")) <= half).drop("_mode")
+    return join_few(df, mode, [*keys, kind]).withColumn("consistent", F.abs(F.col(row) - F.col("_mode")) <= half).drop("_mode")
 
 
 def best_hypothesis(scores: DataFrame, keys: list[str], hypothesis: str, score: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import intervals as I, robust as R
 from cadenza.operators.dedupe import dedupe_sweep
+from cadenza.operators.selection import quantiles
 from cadenza.operators.sweeps import confirmed_sweeps
 from cadenza.plans.registry import query
 from cadenza.plans.views import NOTES, notes, table
@@ -76,8 +77,10 @@ def event_thresholds(spark, sf_dir):
 WITH {NOTES} SELECT page, round(quantile_cont(x0, 0.05), 3) AS p05, round(quantile_cont(x0, 0.5), 3) AS p50, round(quantile_cont(x0, 0.9), 3) AS p90, round(avg(CASE WHEN x0 < 100 THEN 1.0 ELSE 0.0 END), 6) AS below FROM notes GROUP BY 1""")
 def place_percentiles(spark, sf_dir):
     """Percentiles of the places by page number, and the share below 100."""
-    p = lambda q: F.round(F.percentile("x0", F.lit(q)), 3)
-    return notes(spark, sf_dir).groupBy("page").agg(p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.avg((F.col("x0") < 100).cast("double")), 6).alias("below"))
+    n = notes(spark, sf_dir)
+    below = n.groupBy("page").agg(F.round(F.avg((F.col("x0") < 100).cast("double")), 6).alias("below"))
+    q = quantiles(n, ["page"], "x0", {"p05": 0.05, "p50": 0.5, "p90": 0.9})
+    return q.select("page", *[F.round(c, 3).alias(c) for c in ("p05", "p50", "p90")]).join(below, "page")
 
 
 @query(f"""
