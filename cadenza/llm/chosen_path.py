@@ -358,14 +358,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     intersection is at least `similarity` of their union. Rows with one doc_id are kept or not by it alike. An empty
     table gives no row; null ids are greater than any other; other columns are left out.
     """
-    signed = written(signatures(docs, words), "signed")
+    early = Scratch(docs.sparkSession, "signed")
+    signed = early.written(signatures(docs, words), "signed")
     first = [F.first(c).alias(c) for c in ("minima", "tokens")]
     members = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), *first)
     # the numbers hold from here on, as they are only ever read from the written table
     members = written(members.withColumn("sid", F.monotonically_increasing_id()), "members")
+    signed = written(signed.select("doc_id", "n_shingles", "digest"), "digests")
+    early.remove()  # the minima are the members' from here on
     scratch = Scratch(docs.sparkSession, "near")
-    hung = components(_search(members, Sets(docs, members, words, scratch), similarity, scratch))
-    scratch.remove()
+    try:
+        hung = components(_search(members, Sets(docs, members, words, scratch), similarity, scratch))
+    finally:
+        scratch.remove()
     groups = members.select("digest", "sid", "least", "size").join(hung.withColumnRenamed("a", "sid"), "sid", "left").select("digest", "size", "least", F.coalesce("b", "sid").alias("root"))
     groups = written(groups, "groups")
     roots = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
