@@ -15,10 +15,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[Iterable[dict]], Iterable[tuple]], batch: int = 20_000, order: list[str] | None = None) -> DataFrame:
-    """keys and schema: what `fold` makes of each group's rows: a list in no particular order or, with `order`, an iterator
-    in that order, of which no more than a batch is in memory."""
+def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[Iterable[dict]], Iterable[tuple]], batch: int = 20_000, order: list | None = None) -> DataFrame:
+    """keys and schema: what `fold` makes of each group's rows: a list in no particular order or, with `order` (names or
+    columns), an iterator in that order, of which no more than a batch is in memory."""
     d = df.select(*dict.fromkeys([*keys, *columns]))
+    ordered = order is not None
     full = StructType([d.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +31,7 @@ def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str,
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
 
         for key, group in groupby(rows, lambda r: tuple(r[k] for k in keys)):
-            for r in fold(group if order else list(group)):
+            for r in fold(group if ordered else list(group)):
                 out.append((*key, *r))
                 if len(out) >= batch:
                     yield made()

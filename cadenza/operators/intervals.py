@@ -5,6 +5,7 @@ last_wins is declarative. The greedy folds depend on the order of their rows and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -58,35 +59,78 @@ def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start
     return fold_groups(df, [*keys, pitch], [ident, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold, order=[start, end, ident])
 
 
+class Spans:
+    """Intervals found by where they lie: each stands in the one or two cells, as wide as a power of two, that it touches."""
+
+    def __init__(self):
+        self.levels: dict[int, dict[int, list[tuple[float, float]]]] = {}
+
+    def add(self, a: float, b: float) -> None:
+        level = max(-40, math.frexp(b - a)[1])
+        cells = self.levels.setdefault(level, {})
+        for c in {math.floor(math.ldexp(a, -level)), math.floor(math.ldexp(b, -level))}:
+            cells.setdefault(c, []).append((a, b))
+
+    def near(self, a: float, b: float) -> Iterator[tuple[float, float]]:
+        """Those that may meet a..b, some of them twice."""
+        for level, cells in self.levels.items():
+            first, last = math.floor(math.ldexp(a, -level)), math.floor(math.ldexp(b, -level))
+            if last - first < len(cells):
+                for c in range(first, last + 1):
+                    yield from cells.get(c, ())
+            else:
+                for c, own in cells.items():
+                    if first <= c <= last:
+                        yield from own
+
+
 def suppress_overlaps(df: DataFrame, keys: list[str], ident: str, prefer: list[tuple[str, bool]], start: str, end: str, share: float = 0.3) -> DataFrame:
-    """keys, ident of the rows that, taken in order of preference (column, descending), overlap none taken before by more
-    than `share` of the lesser width."""
+    """keys, ident of the rows that, taken in order of preference (column, descending; then ident), overlap none taken before
+    by more than `share` of the lesser width. Rows stream in that order; in memory are the ends of those taken, which a row
+    finds by where they lie. Rows without ends are left out."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
-        kept: list[dict] = []
-        for r in sorted(rows, key=lambda r: ([-r[c] if down else r[c] for c, down in prefer], r[ident])):
-            if all(min(r[end], k[end]) - max(r[start], k[start]) <= share * min(r[end] - r[start], k[end] - k[start]) for k in kept):
-                kept.append(r)
-        return [(r[ident],) for r in kept]
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        taken = Spans()
+        for r in rows:
+            a, b = float(r[start]), float(r[end])
+            if all(min(b, v) - max(a, u) <= share * min(b - a, v - u) for u, v in taken.near(a, b)):
+                taken.add(a, b)
+                yield (r[ident],)
 
-    return fold_groups(df, keys, [ident, start, end, *(c for c, _ in prefer)], f"{ident} {dict(df.dtypes)[ident]}", fold)
+    order = [F.desc(c) if down else F.asc(c) for c, down in prefer]
+    d = df.where(F.col(end) >= F.col(start))
+    return fold_groups(d, keys, [ident, start, end, *(c for c, _ in prefer)], f"{ident} {dict(df.dtypes)[ident]}", fold, order=[*order, F.asc(ident)])
 
 
 def cluster_bars(df: DataFrame, keys: list[str], order: list[str], dy: float = 4.0, d0: float = 6.0, d1: float = 8.0) -> DataFrame:
     """keys, cluster, x0, x1, cy, seen: every bar (x0, x1, cy), in order, joins the first cluster that it is near enough:
-    to its leftmost x0, its rightmost x1 and the cy that it began with."""
+    to its leftmost x0, its rightmost x1 and the cy that it began with. Bars stream; in memory are the clusters, which a bar
+    finds by a grid of cells dy high and d0 wide. Bars without a place are left out."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
         found: list[list] = []
-        for r in sorted(rows, key=lambda r: [r[c] for c in order]):
-            box = next((c for c in found if abs(r["cy"] - c[2]) < dy and abs(r["x0"] - c[0]) <= d0 and abs(r["x1"] - c[1]) <= d1), None)
-            if box is None:
-                found.append([float(r["x0"]), float(r["x1"]), float(r["cy"]), 1])
-            else:
-                box[0], box[1], box[3] = min(box[0], r["x0"]), max(box[1], r["x1"]), box[3] + 1
-        return [(i, *c) for i, c in enumerate(found)]
-
-    return fold_groups(df, keys, [*order, "x0", "x1", "cy"], "cluster int, x0 double, x1 double, cy double, seen long", fold)
+        grid: dict[tuple[int, int], set[int]] = {}
+        cell = lambda y, x: (math.floor(y / dy), math.floor(x / d0))
+        for r in rows:
+            x0, x1, cy = float(r["x0"]), float(r["x1"]), float(r["cy"])
+            v, u = cell(cy, x0)
+            near = [i for a in (v - 1, v, v + 1) for b in (u - 1, u, u + 1) for i in grid.get((a, b), ())]
+            near = [i for i in near if abs(cy - found[i][2]) < dy and abs(x0 - found[i][0]) <= d0 and abs(x1 - found[i][1]) <= d1]
+            if not near:
+                grid.setdefault((v, u), set()).add(len(found))
+                found.append([x0, x1, cy, 1])
+                continue
+            i = min(near)
+            box = found[i]
+            if x0 < box[0] and cell(box[2], box[0]) != cell(box[2], x0):
+                grid[cell(box[2], box[0])].discard(i)
+                grid.setdefault(cell(box[2], x0), set()).add(i)
+            box[0], box[1], box[3] = min(box[0], x0), max(box[1], x1), box[3] + 1
+        for i, c in enumerate(found):
+            yield i, *c
+
+    d = df.dropna(subset=["x0", "x1", "cy"])
+    return fold_groups(d, keys, [*order, "x0", "x1", "cy"], "cluster int, x0 double, x1 double, cy double, seen long", fold, order=order)
 
 
 def grow_tracks(df: DataFrame, keys: list[str], frame: str, step: int = 1, dy: float = 5.0, dx: float = 7.0, back: float = 8.0) -> DataFrame:

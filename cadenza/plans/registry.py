@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from cadenza.plans import anchors, boards, fits, live, matches, snapshots, songs, sound, stats, streams, texts, traces  # noqa: E402, F401  registers their queries
+from cadenza.plans import anchors, boards, fits, live, matches, shapes, snapshots, songs, sound, stats, streams, texts, traces  # noqa: E402, F401  registers their queries

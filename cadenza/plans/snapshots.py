@@ -70,3 +70,14 @@ def track_reasons(spark, sf_dir):
         F.lit(0).alias("x0"), (F.col("l_partkey") % 60).alias("x1"), F.lit(0).alias("first_f"), (F.col("l_suppkey") % 30).alias("last_f"),
         (F.col("l_linenumber") * 8).alias("first_w"), F.col("l_quantity").alias("hits"), F.col("l_quantity").alias("h"))
     return d.withColumn("reason", ingest.track_reason()).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT l_returnflag AS skin, l_partkey % 60 AS w, l_suppkey % 30 AS life, l_partkey % 60 - l_linenumber * 8 AS grew, l_quantity / (l_suppkey % 30 + 1) AS rate, l_quantity AS h FROM lineitem),
+m AS (SELECT skin, greatest(8.0::DOUBLE, 0.6::DOUBLE * median(CASE WHEN w >= 7 THEN h END)) AS thin FROM d GROUP BY 1)
+SELECT skin, CASE WHEN w < 7 THEN 'tiny' WHEN life < 2 THEN 'tiny' WHEN grew < 3 AND w > 26 THEN 'static' WHEN rate < 0.55 THEN 'flicker' WHEN h < thin THEN 'thin' WHEN life < 6 AND grew < 3 THEN 'remnant' END AS reason, count(*) AS n FROM d JOIN m USING (skin) GROUP BY 1, 2""")
+def adaptive_track_reasons(spark, sf_dir):
+    """How many tracks each rule rejects where the least height follows from a skin's own bars."""
+    d = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("skin"), F.lit(0).alias("x0"), (F.col("l_partkey") % 60).alias("x1"), F.lit(0).alias("first_f"), (F.col("l_suppkey") % 30).alias("last_f"),
+        (F.col("l_linenumber") * 8).alias("first_w"), F.col("l_quantity").alias("hits"), F.col("l_quantity").alias("h"))
+    return ingest.with_thin(d, ["skin"]).withColumn("reason", ingest.track_reason(thin=F.col("thin"))).groupBy("skin", "reason").agg(F.count("*").alias("n"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cadenza.functions.scalars import title_parts
 from cadenza.operators.relational import falsy_coalesce
 
 # The format of a song map.
@@ -16,10 +17,15 @@ notes array<struct<x0:int,x1:int,cy:double,cls:string,k:int,t_start:double,t_end
 lyrics array<struct<t_show:double,t_hide:double,bbox:array<int>,wipe:array<struct<t:double,front:int>>>>"""
 
 
+def unescaped(name: Column) -> Column:
+    """A file's name as it is, from the metadata column, which writes it as part of an address."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     """Every map under a path, with song_id from its file name; what can't be parsed has nulls."""
     d = spark.read.schema(SONG_MAP + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True)
-    return d.withColumn("song_id", F.regexp_extract(F.col("_metadata.file_name"), r"(?:song_map_)?([^/]+?)\.json$", 1))
+    return d.withColumn("song_id", F.regexp_extract(unescaped(F.col("_metadata.file_name")), r"(?:song_map_)?([^/]+?)\.json$", 1))
 
 
 def summaries(maps: DataFrame) -> DataFrame:
@@ -51,3 +57,22 @@ def write_maps(maps: DataFrame, path: str) -> str:
     out = f"{path.rstrip('/')}/maps-{uuid.uuid4().hex[:12]}"
     maps.select(F.to_json(F.struct(*maps.columns)).alias("value")).write.text(out)
     return out
+
+
+# What a video's info document holds, the names of which one is in a channel's name, the longest title.
+INFO = "id string, title string, channel string, uploader string, duration double"
+CHANNELS, LONGEST_TITLE = ("DIVA", "カラオケ"), 120
+
+
+def songs_of_info(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each info document under a path (song_id: the folder that it is in): title_jp and artist_jp, of the title's
+    form or else the title and the channel, cut; title_en, artist_en, duration, youtube_id; expected: whether the channel
+    is one whose pictures are known. What can't be parsed has nulls, and isn't expected."""
+    d = spark.read.schema(INFO).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.info.json").json(path, multiLine=True)
+    d = d.select(unescaped(F.element_at(F.split("_metadata.file_path", "/"), -2)).alias("song_id"), "id", "duration", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.nullif("channel", F.lit("")), "uploader", F.lit("")).alias("channel"))
+    p = title_parts(F.col("title"))
+    known = F.lit(False)
+    for c in CHANNELS:
+        known |= F.col("channel").contains(c)
+    cut = lambda c: F.substring(c, 1, LONGEST_TITLE)
+    return d.select("song_id", F.coalesce(p["title_jp"], cut("title")).alias("title_jp"), F.coalesce(p["artist_jp"], cut("channel")).alias("artist_jp"), p["title_en"].alias("title_en"), p["artist_en"].alias("artist_en"), "duration", F.col("id").alias("youtube_id"), known.alias("expected"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cadenza.operators.selection import join_few, quantiles
+
 # Bounds of a score, and the longest results text.
 SCORE, LONGEST = (0.0, 100.0), 300_000
 
@@ -43,7 +45,20 @@ def note_results(plays: DataFrame) -> DataFrame:
     return d.select("id", "song_id", "pos", F.get("r", F.lit(0)).cast("int").alias("rating"), F.coalesce(F.get("r", F.lit(1)), F.lit(0.0)).alias("acc"), F.get("r", F.lit(2)).alias("cents"))
 
 
-def track_reason(loose: bool = False, scale: float = 1.0, thin: float = 8.0) -> Column:
+# The least height of a bar, its share of a picture's median height, widths from which a track counts for
+# that, the median where no track counts.
+THIN, SHARE_OF_MEDIAN, COUNTS, TYPICAL = 8.0, 0.6, 7, 18.0
+
+
+def with_thin(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """tracks (x0, x1, h, ...) with thin, the height below which a bar of its keys is too thin: bars differ from skin to skin."""
+    m = quantiles(tracks.where(F.col("x1") - F.col("x0") >= COUNTS), keys, "h", {"_median": 0.5})
+    every = tracks.select(*keys).distinct().join(m.toDF(*[f"_m_{k}" for k in keys], "_median"), [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left")
+    thin = F.greatest(F.lit(THIN), SHARE_OF_MEDIAN * F.coalesce("_median", F.lit(TYPICAL)))
+    return join_few(tracks, every.select(*keys, thin.alias("thin")), keys)
+
+
+def track_reason(loose: bool = False, scale: float = 1.0, thin: float | Column = THIN) -> Column:
     """Why a track is rejected, null if it is kept; the first rule that holds decides. Columns: x0, x1, first_f, last_f,
     first_w, hits, h."""
     c = F.col
