@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.folds import fold_groups
@@ -38,27 +40,74 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return both.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], *[F.col(f"_found._v{i}").alias(c) for i, c in enumerate(take)])
 
 
+class Cells:
+    """Cells of several widths: level l's are `width` 2 ** l wide, and an interval belongs to the first level whose cells are
+    as wide as it is, so it touches two of them at most, however long it is. One without finite ends stands in a level of one
+    cell. The number of levels follows from the longest interval, which a look at the data finds."""
+
+    def __init__(self, sides: list[tuple[DataFrame, str, str]], width: float):
+        self.width, longest, endless = float(width), 0.0, False
+        for df, a, b in sides:
+            n = F.col(b).cast("double") - F.col(a).cast("double")
+            wild = F.isnan(n) | (F.abs(n) == float("inf"))
+            most, any_ = df.agg(F.max(F.when(~wild, n)), F.max(wild)).first()
+            longest, endless = max(longest, most or 0.0), endless or bool(any_)
+        self.levels = max(0, math.ceil(math.log2(longest / self.width))) if longest > self.width else 0
+        self.top = self.levels + endless
+
+    def level(self, a: str, b: str) -> Column:
+        n = F.col(b).cast("double") - F.col(a).cast("double")
+        if not self.top:
+            return F.lit(0)
+        own = F.lit(0)
+        for k in range(self.levels):  # the least level that is wide enough, without a logarithm's rounding
+            own += (n > self.width * 2**k).cast("int")
+        return F.when(F.isnan(n) | (F.abs(n) == float("inf")), self.top).otherwise(own)
+
+    def at(self, level: Column, x: Column) -> Column:
+        """The cell of a level that x is in."""
+        if not self.top:
+            return F.floor(x / self.width)
+        return F.when(level > self.levels, F.lit(0).cast("long")).otherwise(F.floor(F.when(level <= self.levels, x / (self.width * F.pow(F.lit(2.0), level)))))
+
+    def touched(self, a: str, b: str, level: Column) -> Column:
+        """(level, cell) of each cell of a level that an interval touches."""
+        return F.transform(F.sequence(self.at(level, F.col(a)), self.at(level, F.greatest(a, b))), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    def upwards(self, a: str, b: str) -> Column:
+        """(level, cell) of each cell of an interval's own level and of all above it."""
+        if not self.top:
+            return self.touched(a, b, F.lit(0))
+        return F.flatten(F.transform(F.sequence(self.level(a, b), F.lit(self.top)), lambda l: self.touched(a, b, l)))
+
+
 def interval_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], width: float, how: str = "inner", also: Column | None = None, ident: list[str] | None = None) -> DataFrame:
-    """Pairs of rows of equal keys whose closed intervals meet. Either side is repeated for every cell of `width` that it
-    touches; a pair is kept in the cell of the greater start alone. how: inner, left_semi or left_anti. Columns of the
-    sides other than keys must differ in name; `also` is a further condition on a pair. Semi- and anti-joins tell left
-    rows apart by `ident` (with keys; all columns if it isn't given), by value alone: a number made up while the plan runs
-    may differ wherever it is computed again."""
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width)))
-    rk = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]).withColumn("_rc", cells(*r))
+    """Pairs of rows of equal keys whose closed intervals meet. Either side is repeated for every cell (of `width`, and of
+    Cells' greater widths for longer intervals) that it touches; a pair is kept in the cell of the greater start alone, at
+    the greater of its levels. how: inner, left_semi or left_anti. Columns of the sides other than keys must differ in name;
+    `also` is a further condition on a pair. Semi- and anti-joins tell left rows apart by `ident` (with keys; all columns if
+    it isn't given), by value alone: a number made up while the plan runs may differ wherever it is computed again. Rows with
+    a null end meet nothing."""
+    left_, right = left, right.where(F.col(r[0]).isNotNull() & F.col(r[1]).isNotNull())
+    left = left.where(F.col(l[0]).isNotNull() & F.col(l[1]).isNotNull())
+    cells = Cells([(left, *l), (right, *r)], width)
+    rk = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys], cells.level(*r).alias("_rl")).withColumn("_rc", F.explode(cells.upwards(*r)))
+    lk = left.withColumn("_ll", cells.level(*l)).withColumn("_lc", F.explode(cells.upwards(*l)))
     cond = (F.col("_lc") == F.col("_rc")) & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))
+    if cells.top:
+        cond &= F.col("_lc.level") == F.greatest("_ll", "_rl")
     for k in keys:
         cond &= F.col(k) == F.col(f"_r_{k}")
     if also is not None:
         cond &= also
     if how == "inner":
-        cond &= F.col("_lc") == F.floor(F.greatest(l[0], r[0]) / width)
-        return left.withColumn("_lc", cells(*l)).join(rk, cond).drop("_lc", "_rc", *[f"_r_{k}" for k in keys])
-    hit = left.withColumn("_lc", cells(*l)).join(rk, cond, "left_semi").drop("_lc")
+        cond &= F.col("_lc.cell") == cells.at(F.col("_lc.level"), F.greatest(l[0], r[0]))
+        return lk.join(rk, cond).drop("_lc", "_rc", "_ll", "_rl", *[f"_r_{k}" for k in keys])
+    hit = lk.join(rk, cond, "left_semi").drop("_lc", "_ll")
     if how == "left_semi" and ident:
         return hit.dropDuplicates([*keys, *ident])
     own = [*keys, *ident] if ident else left.columns
-    return left.join(*_same(hit.select(*own).distinct(), own), how)
+    return left_.join(*_same(hit.select(*own).distinct(), own), how)
 
 
 def _same(values: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
@@ -71,18 +120,26 @@ def _same(values: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
 
 
 def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, r: tuple[str, str], take: list[str], width: float, ident: list[str] | None = None) -> DataFrame:
-    """points with `take` of the interval that holds them; of several the one that starts last (then the greatest).
+    """points with `take` of the interval that holds them; of several the one that starts last (then the greatest). Long
+    intervals stand in wide cells (Cells); those with a null end hold nothing.
     With ident, columns that tell the points apart, all is one join and one aggregate; without, what is found for each
     place is joined back by keys and place."""
     rk = intervals.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(f"_i_{c}") for c in dict.fromkeys([*r, *take])])
-    rk = rk.withColumn("_rc", F.explode(F.sequence(F.floor(F.col(f"_i_{r[0]}") / width), F.floor(F.greatest(f"_i_{r[0]}", f"_i_{r[1]}") / width))))
+    ends = (f"_i_{r[0]}", f"_i_{r[1]}")
+    rk = rk.where(F.col(ends[0]).isNotNull() & F.col(ends[1]).isNotNull())
+    cells = Cells([(rk, *ends)], width)
+    rk = rk.withColumn("_rc", F.explode(cells.touched(*ends, cells.level(*ends))))
     p = points if ident else points.select(*keys, at).distinct()
-    cond = (F.floor(F.col(at) / width) == F.col("_rc")) & (F.col(f"_i_{r[0]}") <= F.col(at)) & (F.col(at) <= F.col(f"_i_{r[1]}"))
+    if cells.top:  # a point is in one cell of each level
+        probed = p.withColumn("_pc", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cells.top)), lambda l: F.struct(l.alias("level"), cells.at(l, F.col(at)).alias("cell")))))
+    else:
+        probed = p.withColumn("_pc", F.struct(F.lit(0).alias("level"), cells.at(F.lit(0), F.col(at)).alias("cell")))
+    cond = (F.col("_pc") == F.col("_rc")) & (F.col(f"_i_{r[0]}") <= F.col(at)) & (F.col(at) <= F.col(f"_i_{r[1]}"))
     for k in keys:
         cond &= F.col(k) == F.col(f"_r_{k}")
     own = ident or [*keys, at]
     best = F.max(F.when(F.col("_rc").isNotNull(), F.struct(*[F.col(f"_i_{c}") for c in (r[0], *take)]))).alias("_best")
-    d = p.join(rk, cond, "left").groupBy(*own).agg(best, *[F.first(c).alias(c) for c in p.columns if c not in own])
+    d = probed.join(rk, cond, "left").groupBy(*own).agg(best, *[F.first(c).alias(c) for c in p.columns if c not in own])
     found = [F.col(f"_best._i_{c}").alias(c) for c in take]
     if not ident:
         values, cond = _same(d.select(*own, "_best"), own)
