@@ -44,11 +44,16 @@ def hue_modes(spark, sf_dir):
     return R.circular_mode(notes(spark, sf_dir), ["song_id"], "x0")
 
 
-@query()
+@query(f"""
+WITH {NOTES}, h AS (SELECT page, cy AS y, count(*) AS m FROM notes GROUP BY 1, 2), n AS (SELECT page, y, m / sum(m) OVER (PARTITION BY page) AS n FROM h), g AS (SELECT 6.5::DOUBLE + i * 0.02::DOUBLE AS a FROM range(325) r(i)),
+c AS (SELECT page, a, sum(n * cos(2 * pi() * y / a)) AS c, sum(n * sin(2 * pi() * y / a)) AS s FROM n, g GROUP BY 1, 2),
+f AS (SELECT *, atan2(s, c) / (2 * pi()) AS turn FROM c), q AS (SELECT *, (turn - floor(turn)) * a AS phase FROM f),
+r AS (SELECT page, a, phase, any_value(0.25::DOUBLE * sqrt(c * c + s * s)) + sum(CASE WHEN abs((y - phase + a / 2) - a * floor((y - phase + a / 2) / a) - a / 2) < 1.6 THEN n ELSE 0 END) AS score FROM q JOIN n USING (page) GROUP BY 1, 2, 3)
+SELECT page, round(a, 6) AS spacing, round(phase, 6) % round(a, 6) AS phase, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY page ORDER BY round(score, 9) DESC, a) = 1""")
 def row_lattices(spark, sf_dir):
-    """Row spacing and phase of every page number's bars."""
+    """Row spacing and phase (on its circle: a whole spacing is none) of every page number's bars."""
     d = R.lattice_fit(notes(spark, sf_dir), ["page"], "cy")
-    return d.select("page", F.round("spacing", 6).alias("spacing"), F.round("phase", 6).alias("phase"), F.round("score", 6).alias("score"))
+    return d.select("page", F.round("spacing", 6).alias("spacing"), F.pmod(F.round("phase", 6), F.round("spacing", 6)).alias("phase"), F.round("score", 6).alias("score"))
 
 
 @query(f"""

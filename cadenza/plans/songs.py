@@ -76,7 +76,11 @@ def session_ends(spark, sf_dir):
     return C.finished(C.note_results(frames(spark, sf_dir), n), n).select("session_id", "song_id", "completed", "score")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CREDIT}, p AS (SELECT session_id, t, midi, note_midi, row_number() OVER (PARTITION BY session_id ORDER BY t) AS i FROM k WHERE midi IS NOT NULL),
+s AS (SELECT session_id, i, t, midi + 12 * floor((coalesce(note_midi, midi) - midi) / 12 + 0.5) AS shown FROM p WHERE i = 1
+  UNION ALL SELECT p.session_id, p.i, p.t, p.midi + 12 * floor((coalesce(p.note_midi, s.shown) - p.midi) / 12 + 0.5) FROM s JOIN p ON p.session_id = s.session_id AND p.i = s.i + 1)
+SELECT session_id, t, shown FROM s""")
 def shown_pitches(spark, sf_dir):
     """The pitch that is drawn for each frame, in the octave of the note or of what was drawn last."""
     return C.shown_pitches(C.frame_credits(frames(spark, sf_dir), notes(spark, sf_dir)))
@@ -158,7 +162,11 @@ def page_splits(spark, sf_dir):
     return S.page_splits(d, ["song_id"], "t", "x", 12.0, 150.0, 100.0, 6.0, flips).select("song_id", "t", "page")
 
 
-@query()
+@query(f"""
+WITH {NOTES}, d AS (SELECT song_id, t_start AS t, min(x0) AS x FROM notes GROUP BY 1, 2), near AS (SELECT a.song_id, a.t, b.t AS u, b.x AS y FROM d a JOIN d b ON a.song_id = b.song_id AND abs(a.t - b.t) <= 12),
+s AS (SELECT p.song_id, p.t, median((q.y - p.y) / (q.u - p.u)) AS slope FROM near p JOIN near q ON p.song_id = q.song_id AND p.t = q.t AND q.u > p.u GROUP BY 1, 2),
+r AS (SELECT song_id, t, any_value(slope) AS slope, median(y - slope * u) AS rest, count(*) AS n FROM near JOIN s USING (song_id, t) GROUP BY 1, 2)
+SELECT d.song_id, d.t, d.x, CASE WHEN n > 2 AND abs(x - slope * d.t - rest) > 150 THEN NULL ELSE x END AS cleaned FROM d LEFT JOIN r USING (song_id, t)""")
 def cleaned_traces(spark, sf_dir):
     """Places of a song's trace that lie on the line of their neighbours."""
     d = notes(spark, sf_dir).groupBy("song_id", F.col("t_start").alias("t")).agg(F.min("x0").alias("x"))

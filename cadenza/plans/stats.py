@@ -142,7 +142,11 @@ def gap_sessions(spark, sf_dir):
     return S.gap_sessions(d, ["user_id"], "t", 3600.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
+w AS (SELECT a.user_id, a.i, max(b.i) AS j, max(b.t) AS last, sum(b.n)::BIGINT AS n FROM p a JOIN p b ON a.user_id = b.user_id AND b.t >= a.t AND b.t - a.t <= 1800 GROUP BY 1, 2),
+walk AS (SELECT * FROM w WHERE i = 1 UNION ALL SELECT w.* FROM walk JOIN w ON w.user_id = walk.user_id AND w.i = CASE WHEN walk.n >= 2 THEN walk.j ELSE walk.i END + 1)
+SELECT user_id, last AS t, n FROM (SELECT *, lead(last) OVER (PARTITION BY user_id ORDER BY last) AS following FROM walk WHERE n >= 2) WHERE following IS NULL OR following - last >= 7200""")
 def anchored_sessions(spark, sf_dir):
     """Events within half an hour of a session's first one; sessions of two events or more, two hours apart."""
     d = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"))

@@ -30,7 +30,12 @@ def merged_pages(spark, sf_dir):
     return P.swept_pages(d, ["song_id"], "segment", "t_start", "x0", points=2, lasts=1.0, rates=(1.0, 1200.0), off=200.0, same=150.0, apart=40.0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY t_start, pos) AS i FROM notes),
+k AS (SELECT song_id, pos, i, true AS taken, [struct_pack(x0 := x0, x1 := x1, cy := cy)] AS kept FROM o WHERE i = 1
+  UNION ALL SELECT song_id, pos, i, fresh, CASE WHEN fresh THEN list_append(kept, struct_pack(x0 := x0, x1 := x1, cy := cy))[-12:] ELSE kept END
+  FROM (SELECT o.song_id, o.pos, o.i, o.x0, o.x1, o.cy, k.kept, len(list_filter(k.kept, lambda b: abs(b.x0 - o.x0) <= 60 AND abs(b.x1 - o.x1) <= 60 AND abs(b.cy - o.cy) <= 60)) = 0 AS fresh FROM k JOIN o ON o.song_id = k.song_id AND o.i = k.i + 1))
+SELECT song_id, pos FROM k WHERE taken""")
 def distinct_bars(spark, sf_dir):
     """Bars unlike the last twelve that were kept."""
     return P.unlike_recent(notes(spark, sf_dir), ["song_id"], "pos", "t_start", ("x0", "x1", "cy"), near=60.0)
