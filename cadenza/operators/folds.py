@@ -19,12 +19,12 @@ def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str,
     """keys and schema: what `fold` makes of each group's rows: a list in no particular order or, with `order` (names or
     columns), an iterator in that order, of which no more than a batch is in memory."""
     d = df.select(*dict.fromkeys([*keys, *columns]))
-    ordered = order is not None
+    ordered, names = order is not None, d.columns
     full = StructType([d.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(full)
-        rows = (r for b in batches for r in b.to_pylist())
+        rows = (dict(zip(names, r)) for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:

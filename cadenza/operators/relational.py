@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cadenza.sources.shared import kept
+
 
 def falsy_coalesce(*columns: Column) -> Column:
     """The first value that is neither null nor zero nor empty; the last one as it is."""
@@ -29,14 +31,18 @@ def argmax_first(value: str, what: str, *ties: str) -> Column:
 def ranked(df: DataFrame, keys: list[str], value: str, name: str = "rank", descending: bool = True, each: int = 50_000, most: int = 256) -> DataFrame:
     """df with 1 + how many rows of its keys (all rows, without keys) have a better value. A key may be hot: rows are
     dealt by keys and ranges of values, of about `each` rows and `most` at most, ranked within a range, and the counts of
-    the better ranges, a row for each key and range, are added. Nulls come last. The driver sees the ranges' bounds only."""
+    the better ranges, a row for each key and range, are added. Nulls come last. The driver sees the ranges' bounds only.
+    df is computed once, as a written table; where it is one range, a window is all."""
+    df = kept(df, "ranked")
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
     n = df.count()
     ranges = int(max(1, min(most, n // each)))
     cuts = sorted(set(df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
+    if not cuts:
+        return df.withColumn(name, F.rank().over(W.partitionBy(*keys).orderBy(order)).cast("long"))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{dict(df.dtypes)[value]}>")
     at = F.size(F.filter(bounds, lambda c: c <= F.col(value)))
     cell = F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(len(cuts) - at if descending else at)
-    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
     d = df.withColumn("_cell", cell).withColumn(name, F.rank().over(W.partitionBy(*keys, "_cell").orderBy(order)))
     sizes = df.withColumn("_cell", cell).groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     better = F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
@@ -52,6 +58,17 @@ def top_ranked(df: DataFrame, n: int, *order: Column, name: str = "rank") -> Dat
     return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
+def backfill(df: DataFrame, column: str, claims: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with the nulls of a column filled by the claims (keys, value) of their keys: the least where there are several.
+    What has a value keeps it; a null key claims nothing."""
+    c = claims.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(value).alias("_claimed"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_k_{k}")
+    d = df.join(c, same & F.col(column).isNull(), "left")
+    return d.withColumn(column, F.coalesce(column, "_claimed")).drop("_claimed", *[f"_k_{k}" for k in keys])
+
+
 def clamp(n: int, low: int = 1, high: int = 500) -> int:
     return max(low, min(n, high))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators.relational import delete_cascade, merge
+from cadenza.operators.relational import backfill, delete_cascade, merge
 from cadenza.plans.registry import query
 from cadenza.plans.views import PLAYS, plays, table
 from cadenza.sources import ingest
@@ -45,12 +45,13 @@ def merged_songs(spark, sf_dir):
     return merge(old, new, "id", ["duration"], ["title"])
 
 
-@query("""SELECT o_orderkey, coalesce(nullif(o_custkey, 5), c.c_custkey) AS owner FROM orders o LEFT JOIN customer c ON o.o_custkey = 5 AND c.c_custkey = 8""")
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END, c.c_custkey) AS owner FROM orders o LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) c ON o.o_custkey % 5 = 0 AND c.c_nationkey = o.o_orderkey % 30""")
 def backfilled_owners(spark, sf_dir):
-    """Orders without an owner given the one who claimed the seat."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_custkey"), F.lit(5).cast("long")).alias("owner"), "o_custkey")
-    claims = table(spark, sf_dir, "customer").where("c_custkey = 8").select(F.lit(5).cast("long").alias("o_custkey"), F.col("c_custkey").alias("claimed_by"))
-    return o.join(claims, "o_custkey", "left").select("o_orderkey", F.coalesce("owner", F.when(F.col("owner").isNull(), F.col("claimed_by"))).alias("owner"))
+    """Orders without an owner given the first who claimed their seat."""
+    owner = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", owner.alias("owner"), (F.col("o_orderkey") % 30).cast("int").alias("seat"))
+    claims = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("seat"), "c_custkey")
+    return backfill(o, "owner", claims, ["seat"], "c_custkey").select("o_orderkey", "owner")
 
 
 @query("""SELECT 'parent' AS kept, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'notes', count(*) FROM lineitem WHERE l_orderkey % 7 <> 0""")

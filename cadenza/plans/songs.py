@@ -68,12 +68,14 @@ def section_starts(spark, sf_dir):
 
 
 @query(f"""WITH {RESULTS}, s AS (SELECT session_id, song_id, count_if(rating IS NOT NULL) AS n_attempted, count(*) AS n_passed FROM r GROUP BY 1, 2), m AS (SELECT song_id, count(*) AS n FROM notes GROUP BY 1),
-q AS (SELECT session_id, sum(CASE WHEN rating IS NOT NULL THEN least(hit, t_end - t_start) END) AS h, sum(CASE WHEN rating IS NOT NULL THEN t_end - t_start END) AS d FROM r GROUP BY 1)
-SELECT session_id, song_id, n_passed = n AS completed, round(coalesce(CASE WHEN d >= 0.5 THEN 100 * pow(h / d, 0.7) END, 0), 3) AS score FROM s JOIN m USING (song_id) JOIN q USING (session_id) WHERE n_attempted > 0""")
+q AS (SELECT session_id, sum(CASE WHEN rating IS NOT NULL THEN least(hit, t_end - t_start) END) AS h, sum(CASE WHEN rating IS NOT NULL THEN t_end - t_start END) AS d FROM r GROUP BY 1),
+t AS (SELECT s.session_id, '{{"notes":[' || string_agg('[' || coalesce(CAST(rating AS VARCHAR), 'null') || ',' || CASE WHEN rating IS NULL THEN '0' ELSE CAST(round(acc, 3) AS VARCHAR) END || ',' || CASE WHEN rating IS NULL OR cents IS NULL THEN 'null' ELSE CAST(CAST(round(cents) AS BIGINT) AS VARCHAR) END || ']', ',' ORDER BY n.pos) || ']}}' AS results
+  FROM s JOIN notes n USING (song_id) LEFT JOIN r ON r.session_id = s.session_id AND r.pos = n.pos GROUP BY 1)
+SELECT session_id, song_id, n_passed = n AS completed, round(coalesce(CASE WHEN d >= 0.5 THEN 100 * pow(h / d, 0.7) END, 0), 3) AS score, results FROM s JOIN m USING (song_id) JOIN q USING (session_id) JOIN t USING (session_id) WHERE n_attempted > 0""")
 def session_ends(spark, sf_dir):
     """The row that each session leaves when it is finished or quit; none if nothing was attempted."""
     n = notes(spark, sf_dir)
-    return C.finished(C.note_results(frames(spark, sf_dir), n), n).select("session_id", "song_id", "completed", "score")
+    return C.finished(C.note_results(frames(spark, sf_dir), n), n).select("session_id", "song_id", "completed", "score", "results")
 
 
 @query(f"""
