@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cadenza.llm.common import Scratch, written
+from cadenza.llm.common import Scratch, join_small, written
 
 MARKS = r"^\s*((?:>\s?)+)"
 
@@ -48,17 +48,18 @@ def lines(messages: DataFrame) -> DataFrame:
     return d.withColumn("hash", F.when(norm != "", F.xxhash64(norm))).drop("_raw")
 
 
-def linked_lines(messages: DataFrame, span: int = 256) -> DataFrame:
+def linked_lines(messages: DataFrame, span: int = 256, found: DataFrame | None = None) -> DataFrame:
     """lines() of quotes with origin, the turn of the latest earlier message that has the line as its own. Lines of null
-    conversations or turns are linked to nothing."""
-    d = lines(messages).where("hash IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    conversations or turns are linked to nothing. found: lines() of the messages, if they are at hand."""
+    d = (lines(messages) if found is None else found).where("hash IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     return carried(d, ["conv_id", "hash"], "turn", F.when(F.col("level") == 0, F.col("turn")), "origin", span).where("level > 0").dropDuplicates(["_row", "pos"])
 
 
-def passages(messages: DataFrame) -> DataFrame:
+def passages(messages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """_row, conv_id, turn, passage, level, n_lines, n_linked, hash (of the normalised passage), whole (whether all of it
-    is linked as one), origin per quoted passage."""
-    d = linked_lines(messages)
+    is linked as one), origin per quoted passage. found: as linked_lines()."""
+    found = lines(messages) if found is None else found
+    d = linked_lines(messages, found=found)
     by = W.partitionBy("_row").orderBy("pos")
     new = (F.col("level") != F.coalesce(F.lag("level").over(by), F.lit(0))).cast("int")
     d = d.withColumn("_new", new).withColumn("passage", F.sum("_new").over(by))
@@ -69,10 +70,11 @@ def passages(messages: DataFrame) -> DataFrame:
     hashes = F.transform(F.sort_array("_lines"), lambda x: x["hash"])
     p = own.select(*keys, "n_lines", "_voted", "_some", F.xxhash64(hashes).alias("hash"))
     k = F.col("k").cast("int")
-    # runs of own lines, of the lengths that the conversation's passages have
-    lengths = p.select("conv_id", F.col("n_lines").alias("k")).distinct()
-    mine = lines(messages).where("level = 0 AND hash IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("_row", "conv_id", "turn").agg(F.sort_array(F.collect_set(F.struct("pos", "hash"))).alias("_own"))
-    mine = mine.join(lengths, "conv_id").where("k <= size(_own)").withColumn("_own", F.transform("_own", lambda x: x["hash"]))
+    # Runs of own lines, of the lengths that the conversation's passages have. Few conversations have any, and the lines of
+    # a large one stay where they are.
+    lengths = p.groupBy("conv_id").agg(F.collect_set("n_lines").alias("_ks"))
+    mine = found.where("level = 0 AND hash IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("_row", "conv_id", "turn").agg(F.sort_array(F.collect_set(F.struct("pos", "hash"))).alias("_own"))
+    mine = join_small(mine, lengths, ["conv_id"]).withColumn("k", F.explode("_ks")).where("k <= size(_own)").withColumn("_own", F.transform("_own", lambda x: x["hash"]))
     runs = mine.select("conv_id", "turn", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("_own") - k + 1), lambda i: F.xxhash64(F.slice("_own", i, k)))).alias("hash")).distinct()
     none = [F.lit(None).cast(t).alias(c) for c, t in p.dtypes if c not in ("conv_id", "turn", "hash")]
     both = p.withColumn("k", F.col("n_lines")).withColumn("_quoted", F.lit(True)).unionByName(runs.select("conv_id", "turn", "hash", "k", *none, F.lit(False).alias("_quoted")))
@@ -91,7 +93,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     own = d.groupBy("_row").agg(
         F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.col("level") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("_own"),
         F.max("level").alias("max_level"))
-    votes = passages(messages).groupBy("_row", "origin").agg(F.sum("n_lines").alias("_n"), F.sum("n_linked").alias("_linked"), F.min("level").alias("_level"))
+    narrow = written(d.select("_row", "conv_id", "turn", "pos", "level", "hash"), "lines")
+    votes = passages(messages, narrow).groupBy("_row", "origin").agg(F.sum("n_lines").alias("_n"), F.sum("n_linked").alias("_linked"), F.min("level").alias("_level"))
     quoted = votes.groupBy("_row").agg(
         F.sum("_n").alias("n_quoted"), F.sum("_linked").alias("n_linked"),
         F.max_by("origin", F.when(F.col("origin").isNotNull(), F.struct(-F.col("_level"), F.col("_n"), F.col("origin")))).alias("_quoted"))
@@ -109,14 +112,13 @@ def threads(found: DataFrame) -> DataFrame:
     thread, turn has every thread in reply order. Messages without a conversation or turn are threads of their own."""
     scratch = Scratch(found.sparkSession, "threads")
     hop = found.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up"))
-    hop = scratch.written(hop.select("conv_id", "turn", F.coalesce("up", "turn").alias("top"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("far")), "hops")
-    while True:
-        nxt = hop.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("_top"), F.col("far").alias("_far"))
-        doubled = hop.join(nxt, ["conv_id", "top"], "left").select("conv_id", "turn", F.coalesce("_top", "top").alias("top"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), (F.coalesce("_far", F.lit(0)) > 0).alias("_more"))
-        hop = scratch.written(doubled, "hops")
-        if hop.where("_more").isEmpty():
-            break
-        hop = hop.drop("_more")
+    hop = scratch.written(hop.select("conv_id", "turn", F.coalesce("up", "turn").alias("top"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("far"), F.col("up").isNull().alias("done")), "hops")
+    while not hop.where("NOT done").isEmpty():
+        nxt = hop.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("_top"), F.col("far").alias("_far"), F.col("done").alias("_done"))
+        # what has come to its thread's beginning doesn't move any more, so no top is asked for by all of a conversation
+        far = hop.where("NOT done").join(nxt, ["conv_id", "top"], "left")
+        far = far.select("conv_id", "turn", F.coalesce("_top", "top").alias("top"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.coalesce("_done", F.lit(True)).alias("done"))
+        hop = scratch.written(hop.where("done").unionByName(far), "hops")
     ends = written(hop.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("top").alias("_top"), "far"), "threads")
     scratch.remove()
     d = found.join(ends, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
