@@ -81,3 +81,38 @@ def current(maps: DataFrame, legacy: str | None = None) -> DataFrame:
     w = W.partitionBy("song_id").orderBy("_old", F.desc("modified"), "path")
     d = maps.withColumn("_old", old).withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return d.orderBy("_old", "song_id").drop("_n", "_old")
+
+
+#: Fixed values, in seconds: how long before the next note one ends that would reach into it, and how long it lasts at least.
+GAP, LASTS = 0.01, 0.05
+
+
+def _trimmed(notes):
+    """Notes by t_start and t_end, each ending before the next one begins."""
+    by_time = F.transform(F.array_sort(F.transform(notes, lambda n: F.struct(n["t_start"].alias("a"), n["t_end"].alias("b"), n.alias("n")))), lambda x: x["n"])
+
+    def trim(n, i):
+        after = F.get(by_time, i + 1)["t_start"]
+        return n.withField("t_end", F.when(n["t_end"] > after, F.round(F.greatest(after - GAP, n["t_start"] + LASTS), 3)).otherwise(n["t_end"]))
+
+    return F.transform(by_time, trim)
+
+
+def save(maps: Versions, edits: DataFrame, writer: str | None = None, batch: int | None = None) -> int:
+    """The version in which the songs of edits (song_id, notes, pages: as in a map) have those notes and pages, and what
+    follows from them: counts, page_flips, n_manual (notes whose src is manual), and a method that ends in +manual once.
+    Songs that aren't there are left out. What was there stays readable as the version before, and each version as long as
+    it is kept; a reader sees all edits or none; an edit of a song's state by hand lasts until its file changes."""
+    e = edits.select("song_id", _trimmed(F.coalesce("notes", F.array().cast(maps.schema["map"].dataType["notes"].dataType))).alias("_notes"), F.coalesce("pages", F.array().cast(maps.schema["map"].dataType["pages"].dataType)).alias("_pages"))
+    r = lambda c, places: F.round(c, places)
+    pages = F.transform("_pages", lambda p: F.struct(r(p["vis_a"], 3).alias("vis_a"), r(p["t_end"], 3).alias("t_end"), r(p["R"], 3).alias("R"), r(p["T0"], 4).alias("T0")))
+    m = F.col("map")
+    for name, value in {
+        "notes": F.col("_notes"), "n_notes": F.size("_notes"), "pages": pages, "n_pages": F.size("_pages"),
+        "page_flips": F.transform(F.slice(pages, 2, F.greatest(F.lit(1), F.size("_pages"))), lambda p: p["vis_a"]),
+        "n_manual": F.size(F.filter("_notes", lambda n: n["src"] == "manual")),
+        "method": F.concat(F.replace(F.coalesce(F.col("map.method"), F.lit("")), F.lit("+manual"), F.lit("")), F.lit("+manual")),
+    }.items():
+        m = m.withField(name, value)
+    d = current(maps.read()).join(e, "song_id").withColumn("map", m).drop("_notes", "_pages")
+    return maps.upsert(d, ["path"], _newer, writer, batch)

@@ -63,3 +63,30 @@ def test_songs_of_info_documents(spark, tmp_path):
     assert got["s1"] == ("みどりの丘", "山田うた", "Green Hill", "Uta Yamada", 201.5, "abc", True)
     assert got["s2"] == ("t" * 120, "someone", None, None, None, "def", False)
     assert got["s3"][4:] == (None, None, False)
+
+
+def test_edits_by_hand(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for i in (1, 2):
+        put(tmp_path / "m", f"s{i}.json", song(i))
+    maps, bad = Versions(spark, f"file://{tmp_path}/t/maps", L.MAPS, buckets=4), Versions(spark, f"file://{tmp_path}/t/bad", L.QUARANTINE, buckets=4)
+    L.refresh(spark, f"file://{tmp_path}/m", maps, bad)
+    original = maps.commit_of()["version"]
+    notes = [(2.0, 3.0, "auto"), (0.0, 2.5, "manual"), (2.98, 4.0, "manual"), (5.0, 6.0, None)]
+    pages = [(0.00049, 5.0, 100.04567, 0.123456), (5.00051, 9.0, None, None)]
+    edits = spark.createDataFrame([("s1", notes, pages), ("s9", notes, pages)], "song_id string, n array<struct<a:double,b:double,s:string>>, p array<struct<a:double,b:double,r:double,t:double>>")
+    kind = {f: dict((n, t) for n, t in L.FIELDS)[f] for f in ("notes", "pages")}
+    own = F.transform("n", lambda x: F.from_json(F.lit("{}"), kind["notes"][6:-1]).withField("t_start", x["a"]).withField("t_end", x["b"]).withField("src", x["s"]))
+    edits = edits.select("song_id", own.alias("notes"), F.transform("p", lambda x: F.struct(x["a"].alias("vis_a"), x["b"].alias("t_end"), x["r"].alias("R"), x["t"].alias("T0"))).alias("pages"))
+    for _ in range(2):
+        L.save(maps, edits, "editor", 0)
+    L.save(maps, edits, "editor", 1)
+    got = {r.song_id: r.map for r in maps.read().collect()}
+    assert got.keys() == {"s1", "s2"} and got["s2"].n_manual is None and len(got["s2"].notes) == 2
+    m = got["s1"]
+    assert [(n.t_start, n.t_end, n.src) for n in m.notes] == [(0.0, 1.99, "manual"), (2.0, 2.97, "auto"), (2.98, 4.0, "manual"), (5.0, 6.0, None)]
+    assert (m.n_notes, m.n_pages, m.n_manual, m.method, m.page_flips, m.video) == (4, 2, 2, "+manual", [5.001], "v1")
+    assert [tuple(p) for p in m.pages] == [(0.0, 5.0, 100.046, 0.1235), (5.001, 9.0, None, None)]
+    assert {r.song_id: r.map.n_manual for r in maps.read(original).collect()} == {"s1": None, "s2": None} and maps.versions()[-1] == original + 2
+    assert L.refresh(spark, f"file://{tmp_path}/m", maps, bad)["parsed"] == 0  # the files are as they were
