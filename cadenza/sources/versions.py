@@ -1,8 +1,9 @@
 """Tables in versions: a reader sees the last committed one, whole, whatever is being written or has failed.
 
 A table is a folder of data folders, each written once, and of commits: small JSON files numbered from 1 that say which data
-folders make up the table, by part. A commit's name can be created only once, so of two writers that began from one version
-one gets a Conflict. A commit also notes the last batch of every writer, so that a batch that comes again changes nothing.
+folders make up the table, by part. A commit takes its name by a rename that fails where the name exists (as HDFS's does), so
+of two writers that began from one version one gets a Conflict. A commit also notes the last batch of every writer, so that
+a batch that comes again changes nothing.
 Files are reached as Spark reaches them (Hadoop's file systems); the driver handles names and counts only.
 """
 
