@@ -149,10 +149,21 @@ def file_parts(path: Column) -> Column:
     return F.struct(F.regexp_extract(path, r"^(.*)[/\\]", 1).alias("folder"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r".(\.[^.]*)$", 1).alias("extension"))
 
 
+def minutes(seconds: Column) -> Column:
+    """m:ss, null for null."""
+    s = seconds.cast("double")
+    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad(half_up(s % 60).cast("string"), 2, "0"))
+
+
 def clock(seconds: Column) -> Column:
     """m:ss, empty for null or zero."""
-    s = seconds.cast("double")
-    return F.when(F.coalesce(s, F.lit(0.0)) == 0, "").otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad(half_up(s % 60).cast("string"), 2, "0")))
+    return F.when(F.coalesce(seconds.cast("double"), F.lit(0.0)) == 0, "").otherwise(minutes(seconds))
+
+
+def slashed(day: Column) -> Column:
+    """yyyy/MM/dd; years beyond 9999 or before 0 as they are, where the pattern alone would add a sign or zeros."""
+    year = F.year(day)
+    return F.when(year.between(0, 9999), F.date_format(day, "yyyy/MM/dd")).otherwise(F.concat(year.cast("string"), F.date_format(day, "/MM/dd")))
 
 
 def ago(then: Column, now: Column) -> Column:
