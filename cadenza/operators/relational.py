@@ -10,7 +10,7 @@ from cadenza.sources.shared import kept
 def falsy_coalesce(*columns: Column) -> Column:
     """The first value that is neither null nor zero nor empty; the last one as it is."""
     *most, last = columns
-    return F.coalesce(*[F.when((c.cast("string") != "") & (c.cast("string") != "0") & (c.cast("string") != "0.0") & (c.cast("string") != "false"), c) for c in most], last)
+    return F.coalesce(*[F.when(~c.cast("string").isin("", "0", "0.0", "-0.0", "false"), c) for c in most], last)
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
