@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Words that an executor holds at once.
+#: Words that an executor holds at once; characters of texts whose matches a task holds at once (one text at least).
 WORDS = 500_000
+CHARACTERS = 200_000
 SPANS = "array<struct<start:int,base:string,reading:string>>"
 FOUND = "array<struct<start:int,rank:int,size:int,base:string,reading:string>>"
 #: Where a word is one: anywhere, after a digit (spaces between don't matter), after a Han or Katakana character. At one
@@ -78,6 +79,19 @@ def settled(found: list[tuple]) -> list[tuple]:
     return out
 
 
+def few(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """The texts in order, a list of so many characters at a time, or of one text."""
+    out, size = [], 0
+    for t in (x.as_py() for x in texts):
+        if out and size + len(t or "") > most:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t or "") + 1
+    if out:
+        yield out
+
+
 def _matched(df: DataFrame, text: str, entries: list[tuple], name: str, whole: bool) -> DataFrame:
     shared, token = df.sparkSession.sparkContext.broadcast(entries), uuid.uuid4().hex
     fields = ["start", "base", "reading"] if whole else ["start", "rank", "size", "base", "reading"]
@@ -89,13 +103,17 @@ def _matched(df: DataFrame, text: str, entries: list[tuple], name: str, whole: b
             _built.clear()
             _built[token] = Matcher(shared.value)
         matcher = _built[token]
-        for batch in texts:
-            rows = [None if t is None else matcher.found(t) for t in batch.to_pylist()]
+
+        def spans(part: list[str | None]) -> pa.Array:
+            rows = [None if t is None else matcher.found(t) for t in part]
             rows = [r if r is None or not whole else settled(r) for r in rows]
             flat = [x for r in rows for x in r or ()]
             columns = [pa.array([x[i] for x in flat], kinds.get(f, pa.int32())) for i, f in enumerate(fields)]
             offsets = np.concatenate([[0], np.cumsum([len(r or ()) for r in rows])])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields), mask=pa.array([r is None for r in rows]))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+        for batch in texts:  # what is found is Python's objects for a few texts only
+            yield pa.concat_arrays([spans([]), *(spans(part) for part in few(batch, CHARACTERS))])
 
     return df.withColumn(name, match(F.col(text)))
 
