@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from tests_common import duckdb_of, rows_of
 
+import __spark_entry__ as entry
 from cadenza.functions.annotate import few
-from cadenza.operators.robust import SMALL, line_through, theil_sen_line
+from cadenza.operators.robust import SMALL, circular_mode, line_through, theil_sen_line
 from cadenza.operators.sweeps import confirmed_sweeps
 
 
@@ -32,3 +34,22 @@ def test_sweeps_are_walked_once(spark):
     assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = {r.pos: r.sweep for r in d.collect()}
     assert len(got) == 640 and max(got.values()) > 32 and all(got[i] == got[i - 1] for i in range(600) if i % 10 > 1)
+
+
+def test_circular_modes_make_no_row_for_each_offset(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(178, 200) if rng.random() < 0.3 else rng.randrange(180)) for k in range(40) for _ in range(1 + k * 3)] + [(40, None), (40, 3), (41, 100), (41, 106), (42, 179), (42, 5)]
+    d = circular_mode(spark.createDataFrame(rows, "k int, v int"), ["k"], "v")
+    assert "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key in range(43):
+        values = [v % 180 for k, v in rows if k == key and v is not None]
+        want[key] = max((sum((v - m + 6) % 180 <= 12 for v in values), -m) for m in range(180))
+    got = {r.k: (r.weight, -r.mode if r.mode is not None else None) for r in d.collect()}
+    assert got.pop(40) == (13, None) and want.pop(40) and got == want
+
+
+def test_song_keys_make_no_row_for_each_base(spark):
+    d = entry.queries()["song_keys"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(d) == rows_of(duckdb_of("/root/testdata/sf0.001").execute(entry.oracle_sql()["song_keys"]))
