@@ -105,10 +105,12 @@ k AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM s W
 SELECT song_id, CAST(base AS INT) AS base, score::BIGINT AS score, (score - second)::BIGINT AS margin FROM k WHERE rn = 1""")
 def song_keys(spark, sf_dir):
     """The key in which most of a song's notes are of the scale, and its margin over the next."""
-    h = notes(spark, sf_dir).groupBy("song_id", (F.col("midi") % 12).alias("pc")).agg(F.count("*").alias("n"))
-    d = h.withColumn("base", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    s = d.groupBy("song_id", "base").agg(F.sum(F.when(((F.col("pc") + F.col("base")) % 12).isin(0, 2, 4, 5, 7, 9, 11), F.col("n")).otherwise(0)).alias("score"))
-    return R.best_hypothesis(s, ["song_id"], "base", "score")
+    pc = F.col("midi") % 12
+    d = notes(spark, sf_dir).groupBy("song_id").agg(*[F.count_if(((pc + b) % 12).isin(0, 2, 4, 5, 7, 9, 11)).alias(f"_{b}") for b in range(12)])
+    # a row for each song, its twelve scores in it: the best first, of equal ones the least base
+    best = F.sort_array(F.array(*[F.struct((-F.col(f"_{b}")).alias("less"), F.lit(b).alias("base")) for b in range(12)]))
+    d = d.select("song_id", F.get(best, F.lit(0)).alias("a"), F.get(best, F.lit(1)).alias("b"))
+    return d.select("song_id", F.col("a.base").alias("base"), (-F.col("a.less")).alias("score"), (F.col("b.less") - F.col("a.less")).alias("margin"))
 
 
 @query(f"""
