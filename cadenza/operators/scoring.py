@@ -15,6 +15,8 @@ from cadenza.operators.sequence import by, combos
 #: A frame counts if it comes less than so many seconds after the one before; a note that is closed later
 #: than so many seconds after its end wasn't attempted.
 LONGEST_FRAME, LATE = 0.3, 1.5
+#: Digits of the seconds that a note was hit.
+EXACT = 9
 
 
 def frame_credits(frames: DataFrame, notes: DataFrame) -> DataFrame:
@@ -34,8 +36,9 @@ def note_results(frames: DataFrame, notes: DataFrame) -> DataFrame:
     got past. Notes are closed by the first frame after their end."""
     f = frame_credits(frames, notes)
     near = F.col("distance") <= 1.6
+    # Rounded, so that a note just at a rating's bound is rated alike in whatever order its frames are summed.
     own = f.where("distance IS NOT NULL").groupBy("session_id", "pos").agg(
-        F.sum(F.col("dt") * F.col("credit")).alias("hit"), F.sum("dt").alias("sung"),
+        F.round(F.sum(F.col("dt") * F.col("credit")), EXACT).alias("hit"), F.sum("dt").alias("sung"),
         F.sum(F.when(near, F.col("off") * 100 * F.col("dt"))).alias("_c"), F.sum(F.when(near, F.col("dt"))).alias("_w"))
     due = f.select("session_id", "song_id").distinct().join(notes.select("song_id", "pos", "t_start", "t_end"), "song_id")
     closed = asof(due.withColumn("after", F.col("t_end") + 1e-9), f.select("session_id", F.col("t").alias("closed_at")), ["session_id"], "after", "closed_at", ["closed_at"], forward=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.functions.scalars import FULL, LOWEST_STAMP, NONE, RATINGS, STAMPS
-from cadenza.operators.scoring import LATE, LONGEST_FRAME
+from cadenza.operators.scoring import EXACT, LATE, LONGEST_FRAME
 
 RESULT = """session_id long, kind string, pos int, rating int, acc double, cents double, combo long, max_combo long, score double, stamp string,
 trace array<struct<t:double,shown:double,credit:double>>"""
@@ -151,13 +151,13 @@ class Scorer(StatefulProcessor):
             self.handle.registerTimer(min(later))
 
     def closed(self, key, pos: int, n: list, t: float, s: dict) -> Row:
-        late, dur = t - n[1] > LATE, n[1] - n[0]
-        acc = 0.0 if late else min(1.0, n[3] / dur) if dur > 0 else 0.0
+        late, dur, hit = t - n[1] > LATE, n[1] - n[0], round(n[3], EXACT)
+        acc = 0.0 if late else min(1.0, hit / dur) if dur > 0 else 0.0
         rate = None if late else next((r for least, r in RATINGS if acc >= least), 0)
         if rate is not None:
             s["combo"] = s["combo"] + 1 if rate else 0
             s["best"] = max(s["best"], s["combo"])
-            s["hit"] += min(n[3], dur)
+            s["hit"] += min(hit, dur)
             s["dur"] += dur
             self.rated.updateValue((pos,), (n[1], acc))
         return self.row(key, "note", s, pos=pos, rating=rate, acc=acc, cents=n[4] / n[5] if n[5] else None)
