@@ -1,14 +1,16 @@
 """Which absolute pitch a song's rows of notes stand for, by the energy of its sound at the notes' times.
 
-Vectors are aggregated element by element, a column each, so sums combine before they are shuffled. Notes of one row of the
-lattice are summed up before any hypothesis is tried: a hypothesis gathers one element from each row's vector.
+A note is a weight on each of its frames. Weights of one row of the lattice and one frame are summed up before they meet the
+frame's vector, vectors element by element, a column each, so sums combine before they are shuffled, and all notes of a row
+before any hypothesis is tried: a hypothesis gathers one element from each row's vector.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.operators.robust import best_hypothesis
+from cadenza.operators.selection import join_few
 
 #: What of a note's beginning and end is left out, the weight of the octave above, the range in which the
 #: median of a song's pitches has to lie, the least mean that a frame is divided by.
@@ -22,38 +24,33 @@ def weighed(energy: Column, size: int) -> Column:
     return F.transform(logs, lambda x: x / F.greatest(mean, F.lit(LEAST)))
 
 
-def element_means(rows: DataFrame, keys: list[str], vector: str, size: int, how=F.avg) -> DataFrame:
-    """keys, vector: the mean (or another aggregate) of each element over the rows of a key."""
-    d = rows.select(*keys, *[F.get(vector, F.lit(i)).alias(f"_e{i}") for i in range(size)])
-    d = d.groupBy(*keys).agg(*[how(f"_e{i}").alias(f"_e{i}") for i in range(size)])
-    return d.select(*keys, F.array(*[f"_e{i}" for i in range(size)]).alias(vector))
-
-
-def note_vectors(frames: DataFrame, notes: DataFrame, song: str, pos: str, step: float, size: int, energy: str = "energy") -> DataFrame:
-    """song, pos and energy: the mean weighed energy of the frames (song, frame, energy) in a note's middle (t_start, t_end),
-    one frame at least. Notes from the first one, by pos, that reaches beyond the last frame are left out. A note meets its
-    frames by their numbers, an equi-join."""
+def frame_weights(frames: DataFrame, notes: DataFrame, song: str, pos: str, row: str, step: float) -> DataFrame:
+    """song, row, frame, weight: how much a frame (song, frame) counts for the notes of a row, each of which spreads 1 over
+    the frames that there are in its middle (t_start, t_end), one at least. Notes from the first one, by pos, that reaches
+    beyond the last frame are left out. Notes of one row with the same middle are counted before they meet their frames."""
     dur = F.col("t_end") - F.col("t_start")
     a = F.floor((F.col("t_start") + LEFT_OUT * dur) / step)
-    n = notes.withColumn("_a", a).withColumn("_b", F.greatest(F.col("_a") + 1, F.floor((F.col("t_end") - LEFT_OUT * dur) / step)))
-    n = n.join(frames.groupBy(song).agg((F.max("frame") + 1).alias("_frames")), song)
-    beyond = F.min(F.when(F.col("_b") > F.col("_frames"), F.col(pos))).over(W.partitionBy(song))
-    n = n.withColumn("_first", beyond).where(F.col("_first").isNull() | (F.col(pos) < F.col("_first")))
-    n = n.select(song, pos, F.explode(F.sequence("_a", F.col("_b") - 1)).alias("frame"))
-    d = n.join(frames.select(song, "frame", weighed(F.col(energy), size).alias(energy)), [song, "frame"])
-    return element_means(d, [song, pos], energy, size)
+    n = notes.where(F.col(pos).isNotNull()).select(song, pos, F.col(row).cast("int").alias(row), a.alias("_a"), F.floor((F.col("t_end") - LEFT_OUT * dur) / step).alias("_b"))
+    n = join_few(n.withColumn("_b", F.greatest(F.col("_a") + 1, "_b")), frames.groupBy(song).agg((F.max("frame") + 1).alias("_frames")), [song])
+    first = n.groupBy(song).agg(F.min(F.when(F.col("_b") > F.col("_frames"), F.col(pos))).alias("_first"))
+    n = join_few(n, first, [song]).where(F.col("_first").isNull() | (F.col(pos) < F.col("_first")))
+    n = n.groupBy(song, row, "_a", "_b").agg(F.count("*").alias("_m"))
+    d = n.withColumn("frame", F.explode(F.sequence("_a", F.col("_b") - 1))).join(frames.groupBy(song, "frame").agg(F.count("*").alias("_d")), [song, "frame"])
+    d = d.groupBy(song, row, "_a", "_b").agg((F.first("_m") / F.sum("_d")).alias("weight"), F.collect_list("frame").alias("_f"))
+    return d.select(song, row, F.explode("_f").alias("frame"), "weight").groupBy(song, row, "frame").agg(F.sum("weight").alias("weight"))
 
 
 def anchored(frames: DataFrame, notes: DataFrame, song: str, pos: str, row: str, step: float, low: int, size: int, energy: str = "energy") -> DataFrame:
     """song, base, score, margin: the base for which the energy at base + row of all notes, and OCTAVE of that an octave
     above, is the greatest on the average; how far the next one is below. Element i of a frame is pitch low + i. A base
     must keep all rows of the song's notes (also of those left out) within the elements, and their median in SUNG."""
-    v = note_vectors(frames, notes, song, pos, step, size, energy).join(notes.select(song, pos, F.col(row).cast("int").alias(row)), [song, pos])
     both = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get(energy, i) + OCTAVE * F.coalesce(F.get(energy, i + 12), F.lit(0.0)))
-    sums = element_means(v.withColumn(energy, both), [song, row], energy, size, F.sum)
-    counts = v.groupBy(song).agg(F.count("*").alias("_n"))
+    v = frames.select(song, "frame", weighed(F.col(energy), size).alias(energy)).withColumn(energy, both)
+    d = frame_weights(frames, notes, song, pos, row, step).join(v, [song, "frame"])
+    d = d.groupBy(song, row).agg(F.sum("weight").alias("_w"), *[F.sum(F.get(energy, F.lit(i)) * F.col("weight")).alias(f"_e{i}") for i in range(size)])
+    sums = d.select(song, row, "_w", F.array(*[f"_e{i}" for i in range(size)]).alias(energy))
     span = notes.groupBy(song).agg(F.min(row).alias("_min"), F.max(row).alias("_max"), F.median(row).alias("_median"))
     bases = F.explode(F.filter(F.sequence(F.lit(low), F.lit(low + size - 1)), lambda b: (b + F.col("_min") >= low) & (b + F.col("_max") < low + size) & (b + F.col("_median")).between(*SUNG)))
-    d = sums.join(span.select(song, bases.alias("base")), song).groupBy(song, "base").agg(F.sum(F.get(energy, F.col("base") + F.col(row) - low)).alias("_sum"))
-    scores = d.join(counts, song).select(song, "base", (F.col("_sum") / F.col("_n")).alias("score"))
+    d = sums.join(span.select(song, bases.alias("base")), song).groupBy(song, "base").agg(F.sum(F.get(energy, F.col("base") + F.col(row) - low)).alias("_sum"), F.round(F.sum("_w")).alias("_n"))
+    scores = d.select(song, "base", (F.col("_sum") / F.col("_n")).alias("score"))
     return best_hypothesis(scores, [song], "base", "score")

@@ -89,3 +89,10 @@ def test_anchoring_equals_a_loop(spark):
         best, second = sorted(scores.items(), key=lambda x: -x[1])[:2]
         assert (got[s].base, got[s].score, got[s].margin) == (best[0], pytest.approx(best[1]), pytest.approx(best[1] - second[1]))
     assert A.anchored(f.limit(0), n, "song", "pos", "k", step, low, size).count() == 0
+
+
+def test_notes_of_one_middle_meet_their_frames_once(spark):
+    frames = spark.createDataFrame([(1, f, [1.0]) for f in range(4)], "song int, frame long, energy array<double>")
+    notes = spark.createDataFrame([(1, p, 0.0, 2.0 + p % 2, 7) for p in range(1000)] + [(1, 1000, 3.0, 9.0, 7)], "song int, pos int, t_start double, t_end double, k int")
+    got = {r.frame: r.weight for r in A.frame_weights(frames, notes, "song", "pos", "k", 1.0).collect()}
+    assert {f: round(w, 6) for f, w in got.items()} == {0: 750.0, 1: 250.0}
