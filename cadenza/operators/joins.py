@@ -122,12 +122,22 @@ def _same(values: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
 def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, r: tuple[str, str], take: list[str], width: float, ident: list[str] | None = None) -> DataFrame:
     """points with `take` of the interval that holds them; of several the one that starts last (then the greatest). Long
     intervals stand in wide cells (Cells); those with a null end hold nothing.
-    With ident, columns that tell the points apart, all is one join and one aggregate; without, what is found for each
-    place is joined back by keys and place."""
+    Where none is longer than `width`, a cell's intervals are one row, the last one first, that each of its points looks
+    through. Else, with ident, columns that tell the points apart, all is one join and one aggregate; without, what is
+    found for each place is joined back by keys and place."""
     rk = intervals.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(f"_i_{c}") for c in dict.fromkeys([*r, *take])])
     ends = (f"_i_{r[0]}", f"_i_{r[1]}")
     rk = rk.where(F.col(ends[0]).isNotNull() & F.col(ends[1]).isNotNull())
     cells = Cells([(rk, *ends)], width)
+    if not cells.top:
+        last_first = F.sort_array(F.collect_list(F.struct(*[f"_i_{c}" for c in dict.fromkeys([r[0], *take, r[1]])])), asc=False)
+        near = rk.withColumn("_rc", F.explode(cells.touched(*ends, F.lit(0)))).groupBy(*[f"_r_{k}" for k in keys], F.col("_rc.cell").alias("_rc")).agg(last_first.alias("_near"))
+        cond = cells.at(F.lit(0), F.col(at)) == F.col("_rc")
+        for k in keys:
+            cond &= F.col(k) == F.col(f"_r_{k}")
+        first = F.get(F.filter("_near", lambda x: (x[ends[0]] <= F.col(at)) & (F.col(at) <= x[ends[1]])), F.lit(0))
+        d = points.join(near, cond, "left").withColumn("_best", first)
+        return d.select(*points.columns, *[F.col(f"_best._i_{c}").alias(c) for c in take])
     rk = rk.withColumn("_rc", F.explode(cells.touched(*ends, cells.level(*ends))))
     p = points if ident else points.select(*keys, at).distinct()
     if cells.top:  # a point is in one cell of each level
