@@ -1,38 +1,79 @@
 """Overlapping intervals and bars: partition, duplicates, clusters and tracks.
 
-last_wins is declarative. The greedy folds depend on the order of their rows and take one song or page at a time.
+The folds depend on the order of their rows and take one song or page at a time.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators.folds import fold_groups
-from cadenza.operators.joins import stab
-from cadenza.operators.sequence import by, islands
-
 
 #: Fixed values, in seconds: pieces shorter than SLIVER own nothing, notes shorter than SHORTEST go, a note lies within
 #: another one up to WITHIN at either end.
 SLIVER, SHORTEST, WITHIN = 0.02, 0.035, 0.02
 
 
-def last_wins(df: DataFrame, keys: list[str], ident: str, start: str = "t_start", end: str = "t_end", sliver: float = SLIVER, least: float = SHORTEST, width: float = 4.0) -> DataFrame:
+def last_wins(df: DataFrame, keys: list[str], ident: str, start: str = "t_start", end: str = "t_end", sliver: float = SLIVER, least: float = SHORTEST) -> DataFrame:
     """keys, ident, start, end: no two overlap. Every moment between two neighbouring bounds belongs to the interval that
-    started last (of equal starts the one that ends first, then the least ident); pieces shorter than `sliver` belong to
-    nobody, pieces of one interval at most `least` apart are one again, and what is shorter than `least` goes."""
-    d = df.where(F.col(end) > F.col(start)).select(*keys, ident, F.col(start).alias("_a"), F.col(end).alias("_b"))
-    d = d.withColumn("_rank", -F.row_number().over(by(keys, ["_a", "_b", ident])))
-    cuts = d.select(*keys, F.explode(F.array("_a", "_b")).alias("_s")).distinct()
-    pieces = cuts.withColumn("_e", F.lead("_s").over(by(keys, ["_s"]))).where(F.col("_e") - F.col("_s") >= sliver - 1e-9).withColumn("_m", (F.col("_s") + F.col("_e")) / 2)
-    owned = stab(pieces, d, keys, "_m", ("_a", "_b"), ["_rank", ident], width, [*keys, "_m"]).where(F.col(ident).isNotNull())
-    w = by(keys, ["_s"])
-    new = ~F.col(ident).eqNullSafe(F.lag(ident).over(w)) | (F.col("_s") - F.lag("_e").over(w) > least + 1e-6)
-    owned = islands(owned, keys, ["_s"], new).groupBy(*keys, ident, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("island")
-    return owned.where(F.col(end) - F.col(start) >= least)
+    started last (of equal starts the one that ends first, then the least ident); pieces shorter than `sliver`
+    belong to nobody, pieces of one interval at most `least` apart are one again, and what is shorter than `least` goes.
+    Intervals stream in the order of their starts; those that are open are in memory."""
+    kind = df.select(F.coalesce(start, end).alias("_")).dtypes[0][1]
+    d = df.where(F.col(end) > F.col(start)).dropna(subset=keys).select(*keys, ident, F.col(start).cast(kind).alias("_a"), F.col(end).cast(kind).alias("_b"))
+
+    def pieces(rows: Iterable[dict]) -> Iterator[tuple]:
+        """ident and bounds of what is owned between two neighbouring bounds, in order."""
+        ends: list = []  # bounds to come, a heap
+        live: list[tuple] = []  # ends, starts and idents; an earlier one ends later, the last one owns
+        at = None
+
+        def upto(x) -> Iterator[tuple]:
+            middle = (at + x) / 2
+            while live and live[-1][0] < middle:
+                live.pop()
+            if live and x - at >= sliver - 1e-9 and live[-1][1] <= middle and live[-1][2] is not None:
+                yield live[-1][2], at, x
+
+        for a, same in groupby(rows, lambda r: r["_a"]):
+            while ends and ends[0] <= a:
+                x = heapq.heappop(ends)
+                if x > at:
+                    yield from upto(x)
+                    at = x
+            if at is not None and a > at:
+                yield from upto(a)
+            at = a
+            for r in reversed(list(same)):  # of equal starts the one that ends first comes out on top
+                b = math.inf if r["_b"] != r["_b"] else r["_b"]
+                heapq.heappush(ends, b)
+                while live and live[-1][0] <= b:
+                    live.pop()
+                live.append((b, a, r[ident]))
+        while ends:
+            x = heapq.heappop(ends)
+            if x > at:
+                yield from upto(x)
+                at = x
+
+    def fold(rows: Iterable[dict]) -> Iterator[tuple]:
+        own = None
+        for i, s, e in pieces(rows):
+            if own and own[0] == i and s - own[2] <= least + 1e-6:
+                own = i, own[1], e
+                continue
+            if own and own[2] - own[1] >= least:
+                yield own
+            own = i, s, e
+        if own and own[2] - own[1] >= least:
+            yield own
+
+    return fold_groups(d, keys, [ident, "_a", "_b"], f"{ident} {dict(df.dtypes)[ident]}, {start} {kind}, {end} {kind}", fold, order=["_a", "_b", ident])
 
 
 def shadowed(df: DataFrame, keys: list[str], ident: str, kept: DataFrame) -> DataFrame:
@@ -46,7 +87,7 @@ def undo_splits(df: DataFrame, keys: list[str], exact: list[str], start: str, en
 
 
 def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start: str, end: str, slack: float = WITHIN) -> DataFrame:
-    """keys, pitch, ident of what isn't contained, up to slack at either end, in a kept interval of one pitch that comes
+    """keys, pitch, ident, start, end of what isn't contained, up to slack at either end, in a kept interval of one pitch that comes
     before it in the order of start, end and ident. All that a pitch needs to remember is the last end that it kept."""
 
     def fold(rows: Iterable[dict]) -> Iterator[tuple]:
@@ -54,9 +95,10 @@ def drop_contained(df: DataFrame, keys: list[str], ident: str, pitch: str, start
         for r in rows:
             if r[end] - slack > reached:
                 reached = max(reached, r[end])
-                yield (r[ident],)
+                yield r[ident], r[start], r[end]
 
-    return fold_groups(df, [*keys, pitch], [ident, start, end], f"{ident} {dict(df.dtypes)[ident]}", fold, order=[start, end, ident])
+    kinds = dict(df.dtypes)
+    return fold_groups(df, [*keys, pitch], [ident, start, end], ", ".join(f"{c} {kinds[c]}" for c in (ident, start, end)), fold, order=[start, end, ident])
 
 
 class Spans:

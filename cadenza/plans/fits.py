@@ -132,9 +132,7 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY song_id ORDER BY s) AS island FROM (
 SELECT song_id, pos, min(s) AS t_start, max(e) AS t_end FROM r GROUP BY song_id, pos, island HAVING max(e) - min(s) >= 0.035""")
 def monophonic_notes(spark, sf_dir):
     """Notes without contained duplicates of one pitch, cut so that no two sound together: the one that started last wins."""
-    n = notes(spark, sf_dir)
-    kept = I.drop_contained(n, ["song_id"], "pos", "midi", "t_start", "t_end").select("song_id", "pos")
-    return I.last_wins(n.join(kept, ["song_id", "pos"], "left_semi"), ["song_id"], "pos")
+    return I.last_wins(I.drop_contained(notes(spark, sf_dir), ["song_id"], "pos", "midi", "t_start", "t_end"), ["song_id"], "pos")
 
 
 @query(f"""
