@@ -29,17 +29,23 @@ def frames(spark, sf_dir):
         F.when(k % 11 != 0, 36 + k % 49 + (k % 8) * 0.125).alias("midi"))
 
 
+def scored(spark, sf_dir):
+    """Frames and the notes of their songs."""
+    f = frames(spark, sf_dir)
+    return f, notes(spark, sf_dir, f)
+
+
 @query(f"WITH {CREDIT} SELECT session_id, t, pos, round(credit, 6) AS credit FROM k")
 def frame_credits(spark, sf_dir):
     """The note that sounds at every frame, and what the frame earns."""
-    d = S.frame_credits(frames(spark, sf_dir), notes(spark, sf_dir))
+    d = S.frame_credits(*scored(spark, sf_dir))
     return d.select("session_id", "t", "pos", F.round("credit", 6).alias("credit"))
 
 
 @query(f"WITH {RESULTS} SELECT session_id, pos, CAST(rating AS INT) AS rating, round(acc, 6) AS acc, round(cents, 4) AS cents, closed_at FROM r")
 def note_results(spark, sf_dir):
     """Accuracy, rating and cents of every note that was passed."""
-    d = S.note_results(frames(spark, sf_dir), notes(spark, sf_dir))
+    d = S.note_results(*scored(spark, sf_dir))
     return d.select("session_id", "pos", "rating", F.round("acc", 6).alias("acc"), F.round("cents", 4).alias("cents"), "closed_at")
 
 
@@ -49,7 +55,7 @@ q AS (SELECT session_id, sum(CASE WHEN rating IS NOT NULL THEN least(hit, t_end
 SELECT session_id, n_perfect, n_great, n_good, n_miss, max_combo, round(CASE WHEN d >= 0.5 THEN 100 * pow(h / d, 0.7) END, 4) AS score FROM q JOIN m USING (session_id)""")
 def session_scores(spark, sf_dir):
     """Score, ratings and longest combo of every session."""
-    return S.session_scores(S.note_results(frames(spark, sf_dir), notes(spark, sf_dir))).withColumn("score", F.round("score", 4))
+    return S.session_scores(S.note_results(*scored(spark, sf_dir))).withColumn("score", F.round("score", 4))
 
 
 @query(f"""WITH {RESULTS}, p AS (SELECT song_id, page AS section, min(t_start) AS t0, min(t_start) + 8 AS t1 FROM notes GROUP BY 1, 2),
@@ -57,6 +63,6 @@ s AS (SELECT session_id, section, avg(acc) AS acc FROM r JOIN p USING (song_id)
 SELECT session_id, section, round(acc, 6) AS acc, CASE WHEN acc >= 0.8 THEN 'すごい!!' WHEN acc >= 0.55 THEN 'いいね!' WHEN acc >= 0.3 THEN 'おしい…' ELSE 'がんばれ!' END AS stamp FROM s""")
 def section_stamps(spark, sf_dir):
     """The stamp of every section with two attempted notes."""
-    n = notes(spark, sf_dir)
+    f, n = scored(spark, sf_dir)
     flips = n.groupBy("song_id", F.col("page").alias("section")).agg(F.min("t_start").alias("t0"), (F.min("t_start") + 8).alias("t1"))
-    return S.section_stamps(S.note_results(frames(spark, sf_dir), n), flips).withColumn("acc", F.round("acc", 6))
+    return S.section_stamps(S.note_results(f, n), flips).withColumn("acc", F.round("acc", 6))

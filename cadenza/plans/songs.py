@@ -74,8 +74,9 @@ t AS (SELECT s.session_id, '{{"notes":[' || string_agg('[' || coalesce(CAST(rati
 SELECT session_id, song_id, n_passed = n AS completed, round(coalesce(CASE WHEN d >= 0.5 THEN 100 * pow(h / d, 0.7) END, 0), 3) AS score, results FROM s JOIN m USING (song_id) JOIN q USING (session_id) JOIN t USING (session_id) WHERE n_attempted > 0""")
 def session_ends(spark, sf_dir):
     """The row that each session leaves when it is finished or quit; none if nothing was attempted."""
-    n = notes(spark, sf_dir)
-    return C.finished(C.note_results(frames(spark, sf_dir), n), n).select("session_id", "song_id", "completed", "score", "results")
+    f = frames(spark, sf_dir)
+    n = notes(spark, sf_dir, f)
+    return C.finished(C.note_results(f, n), n).select("session_id", "song_id", "completed", "score", "results")
 
 
 @query(f"""
@@ -85,7 +86,7 @@ s AS (SELECT session_id, i, t, midi + 12 * floor((coalesce(note_midi, midi) - mi
 SELECT session_id, t, shown FROM s""")
 def shown_pitches(spark, sf_dir):
     """The pitch that is drawn for each frame, in the octave of the note or of what was drawn last."""
-    return C.shown_pitches(C.frame_credits(frames(spark, sf_dir), notes(spark, sf_dir)))
+    return C.shown_pitches(C.frame_credits(frames(spark, sf_dir), notes(spark, sf_dir, frames(spark, sf_dir))))
 
 
 def numbered_frames(spark, sf_dir):
@@ -100,8 +101,9 @@ AND frame BETWEEN ceil(4 * (t_start + 0.15 * (t_end - t_start))) AND floor(4 * (
 def note_energies(spark, sf_dir):
     """The mean over the frames in the middle 70 % of every note: the notes' frame numbers joined to the table of frames."""
     at = lambda share: 4 * (F.col("t_start") + share * (F.col("t_end") - F.col("t_start")))
-    n = notes(spark, sf_dir).select("song_id", "pos", F.ceil(at(0.15)).alias("a"), F.floor(at(0.85)).alias("b")).where("a <= b").select("song_id", "pos", F.explode(F.sequence("a", "b")).alias("frame"))
-    d = n.join(numbered_frames(spark, sf_dir), ["song_id", "frame"])
+    f = numbered_frames(spark, sf_dir)
+    n = notes(spark, sf_dir, f).select("song_id", "pos", F.ceil(at(0.15)).alias("a"), F.floor(at(0.85)).alias("b")).where("a <= b").select("song_id", "pos", F.explode(F.sequence("a", "b")).alias("frame"))
+    d = n.join(f, ["song_id", "frame"])
     return d.groupBy("song_id", "pos").agg(F.count("*").alias("n_frames"), F.round(F.avg("midi"), 6).alias("mean_midi"))
 
 
@@ -197,10 +199,12 @@ SELECT song_id, a + 3 * i AS t, a + 3 * i < a OR a + 3 * i > b AS extended FROM
 def extended_pages(spark, sf_dir):
     """Page starts with a period of three, filled in and carried on to both ends of the song."""
     p = notes(spark, sf_dir).groupBy("song_id").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
-    p = p.select("song_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("k")).select("song_id", (10 + 3 * F.col("k")).cast("double").alias("t"))
-    ends = p.groupBy("song_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    d = S.fill_periods(p, ["song_id"], "t", 3.0, start=F.lit(2.0), end=F.lit(44.0))
-    return d.join(ends, "song_id").select("song_id", "t", ((F.col("t") < F.col("a")) | (F.col("t") > F.col("b"))).alias("extended"))
+    at = lambda k: (10 + 3 * F.col(k)).cast("double")
+    p = p.where("song_id IS NOT NULL").select("song_id", at("lo").alias("a"), at("hi").alias("b"))
+    p = p.select("*", F.explode(F.array_distinct(F.array("a", "b"))).alias("t"))
+    # a song's ends go along as keys
+    d = S.fill_periods(p, ["song_id", "a", "b"], "t", 3.0, start=F.lit(2.0), end=F.lit(44.0))
+    return d.select("song_id", "t", ((F.col("t") < F.col("a")) | (F.col("t") > F.col("b"))).alias("extended"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 3 THEN o_custkey END AS owner FROM orders""")

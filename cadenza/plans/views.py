@@ -30,10 +30,14 @@ PLAYS = "plays AS (SELECT event_id AS id, user_id, event_type AS song_id, value
 USERS = "users AS (SELECT c_custkey AS user_id, c_name AS display_name, c_nationkey AS avatar_ver FROM customer)"
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes of songs (orders): lineitem with a position of its own, as (l_orderkey, l_linenumber) isn't unique."""
+def notes(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """The notes of songs (orders): lineitem with a position of its own, as (l_orderkey, l_linenumber) isn't unique. With
+    `of`, whole songs that have its song_ids alone: the others go before positions are given."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    if of is not None:
+        lines = lines.join(of.select(F.col("song_id").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi")
+    return lines.select(
         F.col("l_orderkey").alias("song_id"), (F.row_number().over(w) - 1).alias("pos"), F.col("l_quantity").alias("t_start"),
         (F.col("l_quantity") + (F.col("l_partkey") % 8 + 1) * 0.5).alias("t_end"), (F.lit(40) + F.col("l_suppkey") % 40).alias("midi"),
         F.col("l_linenumber").alias("page"), (F.col("l_partkey") % 600).cast("double").alias("x0"),

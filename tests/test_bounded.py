@@ -1,9 +1,12 @@
 """What a task holds at once, and fits of small groups, against the plain way."""
 
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+
 from tests_common import duckdb_of, rows_of
 
 import __spark_entry__ as entry
@@ -59,3 +62,24 @@ def test_notes_per_page_joins_nothing(spark):
     d = entry.queries()["notes_per_page"](spark, "/root/testdata/sf0.001")
     assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert rows_of(d) == rows_of(duckdb_of("/root/testdata/sf0.001").execute(entry.oracle_sql()["notes_per_page"]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["note_results", "session_scores", "section_stamps", "session_ends", "note_energies"])
+def test_songs_that_nobody_sings_go_first(spark, name):
+    from cadenza.plans import registry
+
+    lines = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    windows = [i for i, x in enumerate(lines) if "Window" in x and "l_orderkey" in x]
+    for i in windows:  # below each window that numbers notes
+        below = next((j for j in range(i + 1, len(lines)) if deep(lines[j]) <= deep(lines[i])), len(lines))
+        assert any("LeftSemi" in x for x in lines[i + 1 : below])
+    assert windows
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_extended_pages_are_not_joined(spark):
+    from cadenza.plans import registry
+
+    assert "Join" not in registry.QUERIES["extended_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
