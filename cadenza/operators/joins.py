@@ -172,6 +172,24 @@ def count_until(grid: DataFrame, events: DataFrame, keys: list[str], at: str, ev
     return out.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def events_within(spans: DataFrame, events: DataFrame, keys: list[str], ident: list[str], span: tuple[str, str], at: str) -> DataFrame:
+    """keys, ident, first_event, last_event, n of the events after a span's begin and up to its end, of spans that have any;
+    ident tells a key's spans apart. No event meets a span: at both bounds stands how many events came before, and which
+    one is next to it."""
+    none, kind = F.lit(None), events.schema[at].dataType
+    e = events.dropna(subset=[*keys, at]).select(*keys, *[none.cast(spans.schema[c].dataType).alias(c) for c in ident], F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(at).alias("_e"))
+    b = spans.dropna(subset=[*keys, *span]).select(*keys, *ident, F.explode(F.array(*[F.struct(F.col(c).alias("_at"), F.lit(i).alias("_side")) for i, c in enumerate(span, 1)])).alias("_b"))
+    d = e.unionByName(b.select(*keys, *ident, "_b.*", none.cast(kind).alias("_e")))
+    # events of a bound's time come before it
+    so_far = W.partitionBy(*keys).orderBy("_at", F.col("_side") > 0).rowsBetween(W.unboundedPreceding, 0)
+    to_come = W.partitionBy(*keys).orderBy(F.desc("_at"), F.desc(F.col("_side") > 0)).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({"_n": F.count("_e").over(so_far), "_last": F.last("_e", ignorenulls=True).over(so_far)})
+    d = d.withColumn("_first", F.last("_e", ignorenulls=True).over(to_come)).where("_side > 0")
+    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    d = d.groupBy(*keys, *ident).agg(of(1, "_first").alias("first_event"), of(2, "_last").alias("last_event"), (of(2, "_n") - of(1, "_n")).alias("n"))
+    return d.where("n > 0")
+
+
 def positional(results: DataFrame, array: Column, targets: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """The elements of an array column with the target rows at their place; what has no counterpart is dropped."""
     d = results.withColumn("_items", array).select("*", F.posexplode("_items").alias(pos, "item")).drop("_items")

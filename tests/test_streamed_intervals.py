@@ -42,3 +42,14 @@ def test_points_look_through_their_cell(spark):
         got = {r.p: (r.i, r.name) for r in d.collect()}
         assert got == {p: max(((a, i, n) for q, i, a, b, n in spans if q == k and t is not None and a <= t <= b), default=(None, None, None))[1:] for k, t, p in points}
         assert plan(d).count("Join") == 1 and plan(d).count("Aggregate") == 1
+
+
+def test_events_within_spans_without_pairs(spark):
+    rng = random.Random(7)
+    at = lambda: rng.choice([None, *[rng.randrange(200) / 4 for _ in range(9)]])
+    spans = [(rng.choice([1, 2, None]), i, at(), at()) for i in range(120)]
+    events = [(rng.choice([1, 2, 3, None]), at()) for _ in range(150)]
+    d = J.events_within(spark.createDataFrame(spans, "k int, i int, lo double, hi double"), spark.createDataFrame(events, "k int, e double"), ["k"], ["i"], ("lo", "hi"), "e")
+    inside = {(k, i): [e for q, e in events if None not in (k, q, e, lo, hi) and q == k and lo < e <= hi] for k, i, lo, hi in spans}
+    assert {(r.k, r.i): (r.first_event, r.last_event, r.n) for r in d.collect()} == {x: (min(e), max(e), len(e)) for x, e in inside.items() if e}
+    assert "Join" not in plan(d)
