@@ -8,7 +8,7 @@ from cadenza.plans.boards import DONE
 from cadenza.plans.live import RESULTS, frames
 from cadenza.plans.registry import query
 from cadenza.plans.views import PLAYS, notes, plays
-from cadenza.sources.shared import shared_path
+from cadenza.sources.shared import kept, shared_path
 from cadenza.sources.versions import Versions
 from cadenza.streaming import boards
 from cadenza.streaming.scoring import RESULT, score_stream
@@ -46,7 +46,9 @@ def live_note_results(spark, sf_dir):
     # A frame of nobody's, long after all others, lets the watermark pass them.
     end = f.agg(F.max("t").alias("t")).where("t IS NOT NULL").select(F.lit(-1).cast("long").alias("session_id"), at(F.col("t") + 1_000_000).alias("at"), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("midi"))
     starts = f.select("session_id", "song_id").distinct().withColumn("at", at(F.lit(0)))
-    scored = score_stream(streamed(sung, "frames", end), streamed(starts, "starts"), notes(spark, sf_dir), late="2 days")
+    # written once: every batch reads them again
+    songs = kept(notes(spark, sf_dir, f).select("song_id", "pos", "t_start", "t_end", "midi"), "notes")
+    scored = score_stream(streamed(sung, "frames", end), streamed(starts, "starts"), songs, late="2 days")
     path = shared_path(spark, "scored")
     out = Versions(spark, path, RESULT)
     scored.writeStream.foreachBatch(lambda df, batch: out.append(df, "scorer", batch) and None).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()

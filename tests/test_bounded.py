@@ -83,3 +83,19 @@ def test_extended_pages_are_not_joined(spark):
     from cadenza.plans import registry
 
     assert "Join" not in registry.QUERIES["extended_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_a_stream_does_not_number_its_notes_in_every_batch(spark, monkeypatch):
+    from cadenza.plans import streams
+
+    class Taken(Exception):
+        pass
+
+    def take(frames, starts, notes, late):
+        raise Taken(notes._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(streams, "score_stream", take)
+    with pytest.raises(Taken) as taken:
+        streams.live_note_results(spark, "/root/testdata/sf0.001")
+    assert "Window" not in str(taken.value) and "Relation" in str(taken.value)
