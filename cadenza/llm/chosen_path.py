@@ -2,14 +2,15 @@
 
 Every text is a set of word shingles; equal sets are one member. Each of several independent trees sends a member down
 the path of its minwise tokens at the coordinates chosen for that path, so a node holds members that agree on all of
-them, and two members of similarity s part at a coordinate with probability 1 - s. A node of one member is done, and one
-of at most BLOCK members is compared exhaustively.
+them, and two members of similarity s part at a coordinate with probability 1 - s. A path begins with LEVELS coordinates,
+so that members which share a passage and little else rarely meet. A node of one member is done, and one of at most BLOCK
+members is compared exhaustively, once if several trees have it.
 
 In a larger node links are sought before anything branches: its members are dealt at random into cells of BLOCK, each of
 which is compared exhaustively, and linked members take a common label; a few such rounds leave near copies of one text
 with one label. Members of one label need not be compared again, so a node of one label is done. If at most COMPARED
-members are outside the commonest label, they are compared with all of the node, in blocks; else the node branches by one
-coordinate, in 1 / similarity children on the average, and its children go the same way. A member's rows are multiplied
+members are outside the commonest label, they are compared with all of the node, in blocks (nodes of one commonest label
+as one node, where that is fewer pairs); else the node branches by one coordinate, in 1 / similarity children on the average, and its children go the same way. A member's rows are multiplied
 by about COMPARED / WIDE at most where it is compared, and by 1 / similarity a level where it branches. Nothing is dropped:
 after DEPTH levels what is outside the commonest label is compared with all of its node all the same.
 
@@ -19,6 +20,7 @@ Candidates are found by 128 minwise tokens and confirmed on the full sets. The l
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from cadenza.llm.common import BROADCAST_ROWS, Scratch, corpus, join_counted, runs, slices, written
 from cadenza.llm.components import components
 
-#: Trees, all alike: a pair of similarity 0.8 whose nodes don't branch is missed by all six with probability 6e-5, one of
-#: similarity 0.6 with 4e-3, however large the nodes are.
-TREES = 6
+#: Trees, all alike, and coordinates that their paths begin with: a pair of similarity 0.8 whose nodes don't branch is
+#: missed by all ten with probability 4e-5, however large the nodes are.
+TREES, LEVELS = 10, 2
 #: Members of a node that is compared as a whole and of a random cell; of either side of a block where what is outside a
 #: label meets the rest; outside a label at most for that; levels; rounds of cells.
 BLOCK, WIDE, COMPARED, DEPTH, ROUNDS = 256, 512, 8192, 10, 3
@@ -44,6 +46,11 @@ def least_equal(similarity: float) -> int:
     return int((similarity - 4 * (similarity * (1 - similarity) / COORDINATES) ** 0.5) * COORDINATES)
 
 
+def trees(similarity: float) -> int:
+    """TREES, or as many more as a pair just at a lower similarity needs to be missed as rarely."""
+    return max(TREES, math.ceil(TREES * math.log(1 - 0.8**LEVELS) / math.log(1 - similarity**LEVELS))) if similarity < 1 else TREES
+
+
 COORDINATES = 128
 _random = np.random.RandomState(20240229)
 ODD = _random.randint(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
@@ -107,25 +114,39 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest (128 bits of the set; null for an empty one), minima and tokens (binary: the minwise
-    hashes, and one byte of each) of every row."""
+def roots(least: np.ndarray, n: int) -> np.ndarray:
+    """Each member's node in each of n trees, as 32 bits: the path begins with a coordinate of the tree's own and LEVELS - 1
+    chosen ones."""
+    out, i = np.empty((len(least), n), np.uint32), np.arange(len(least))
+    for t in range(n):
+        key = mixed(least[:, t % COORDINATES].astype(np.uint64) + step(t + 1))
+        for _ in range(LEVELS - 1):
+            path = mixed(key + step(1))
+            c = (mixed(path + np.uint64(1)) % np.uint64(COORDINATES)).astype(int)
+            key = mixed(path + least[i, c].astype(np.uint64))
+        out[:, t] = key >> np.uint64(32)
+    return out
+
+
+def signatures(docs: DataFrame, words: int, n: int = TREES) -> DataFrame:
+    """doc_id, n_shingles, digest (128 bits of the set; null for an empty one), roots and tokens (binary: the nodes in n
+    trees, and one byte of each minwise hash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets, at = shingle_sets(part.column("text"), words)
-            full, raw, n = minima(sets, at), sets.tobytes(), np.diff(at)
+            full, raw, count = minima(sets, at), sets.tobytes(), np.diff(at)
             short = np.ascontiguousarray(full.view(np.uint8).reshape(len(full), COORDINATES, 4)[:, :, 0])
-            digests, least, tokens, k = [], [], [], 0
+            nodes, digests, first, tokens, k = roots(full, n), [], [], [], 0
             for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
                 digests.append(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() if y > x else None)
-                least.append(full[k].tobytes() if y > x else None)
+                first.append(nodes[k].tobytes() if y > x else None)
                 tokens.append(short[k].tobytes() if y > x else None)
                 k += y > x
-            binary = [pa.array(c, pa.binary()) for c in (digests, least, tokens)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *binary], ["doc_id", "n_shingles", "digest", "minima", "tokens"])
+            binary = [pa.array(c, pa.binary()) for c in (digests, first, tokens)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), *binary], ["doc_id", "n_shingles", "digest", "roots", "tokens"])
 
-    return corpus(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, minima binary, tokens binary")
+    return corpus(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, roots binary, tokens binary")
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -133,28 +154,29 @@ def _matrix(column, kind) -> np.ndarray:
 
 
 def _roots(members: DataFrame) -> DataFrame:
-    """key, sid: each member's node in every tree."""
+    """key, tree, sid: each member's node in every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                m = _matrix(b.column("minima"), np.uint32)
-                keys = [mixed(m[:, t].astype(np.uint64) + step(t + 1)) >> np.uint64(8) for t in range(TREES)]
-                tree = np.repeat(np.arange(TREES, dtype=np.int32), b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(tree), pa.array(np.tile(b.column("sid").to_numpy(), TREES))], ["key", "tree", "sid"])
+                nodes = _matrix(b.column("roots"), np.uint32).T
+                n = len(nodes)
+                tree = np.repeat(np.arange(n, dtype=np.int32), b.num_rows)
+                keys = (tree.astype(np.int64) << 32) + nodes.reshape(-1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tree), pa.array(np.tile(b.column("sid").to_numpy(), n))], ["key", "tree", "sid"])
 
-    return members.select("sid", "minima").mapInArrow(run, "key long, tree int, sid long")
+    return members.select("sid", "roots").mapInArrow(run, "key long, tree int, sid long")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """The nodes below those of key, tree, sid, label, minima, each by a coordinate that it chooses: 1 / similarity of
+    """The nodes below those of key, tree, sid, label, tokens, each by a coordinate that it chooses: 1 / similarity of
     them on the average."""
     whole, part = divmod(1 / similarity, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                m, key, i = _matrix(b.column("minima"), np.uint32), b.column("key").to_numpy().astype(np.uint64), np.arange(b.num_rows)
+                m, key, i = _matrix(b.column("tokens"), np.uint8), b.column("key").to_numpy().astype(np.uint64), np.arange(b.num_rows)
                 keys, kept = [], []
                 for r in range(int(whole) + 1):
                     path = mixed(key + step(r + 1))
@@ -174,6 +196,25 @@ def _open(rows: DataFrame) -> DataFrame:
     return d.select("key", "tree", "size", "common", (F.col("size") - F.col("_most")).alias("outside")).where("outside > 0")
 
 
+def _alike_once(rows: DataFrame) -> DataFrame:
+    """The rows (key, sid, label) of nodes of at most BLOCK members, of nodes with the same members those of one."""
+    members = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in range(2)]
+    sets = rows.groupBy("key").agg(F.count("*").alias("_n"), members[0].alias("_a"), members[1].alias("_b"))
+    return rows.join(sets.groupBy("_n", "_a", "_b").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _as_one(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (key, sid, label, size, common, outside), those of nodes with one commonest label as one node where that is
+    fewer pairs of an outside member and any other. A member has one label in all of its nodes."""
+    rows = scratch.written(rows, "near")
+    nodes = rows.select("key", "common", "size", "outside").distinct().groupBy("common").agg(F.count("*").alias("nodes"), F.sum(F.col("size").cast("double") * F.col("outside")).alias("pairs"))
+    one = scratch.written(rows.select("common", "sid", "label").distinct(), "one")
+    sizes = one.groupBy("common").agg(F.count("*").alias("size"), F.sum((F.col("label") != F.col("common")).cast("long")).alias("outside"))
+    fewer = scratch.written(sizes.join(nodes.where("nodes > 1"), "common").where("double(size) * outside <= pairs").select("common", "size", "outside"), "fewer")
+    rest = rows.join(fewer.select("common"), "common", "left_anti").select("key", "sid", "label", "size", "common", "outside")
+    return rest.unionByName(join_counted(one, fewer, "common").select(F.xxhash64("common").alias("key"), "sid", "label", "size", "common", "outside"))
+
+
 def _outside_against_all(rows: DataFrame) -> DataFrame:
     """Blocks in which every member outside its node's commonest label (side 0) meets every other one (side 1)."""
     k, l = (F.ceil(F.col(c) / WIDE).cast("int") for c in ("size", "outside"))
@@ -189,32 +230,34 @@ def _search(members: DataFrame, sets: Sets, similarity: float, scratch: Scratch)
     own, blocks, links = F.col("sid"), [], []
     for depth in range(DEPTH + 1):
         sizes = scratch.written(nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        sized = join_counted(nodes, sizes, "key")
-        blocks.append(sized.where(F.col("size") <= BLOCK).select(F.col("key").alias("block"), "sid", "label", F.lit(0).alias("side")))
-        if sizes.where(F.col("size") > BLOCK).isEmpty():
+        shared = scratch.written(join_counted(nodes, sizes, "key"), "shared")
+        small = shared.where(F.col("size") <= BLOCK).select("key", "sid", "label")
+        blocks.append(_alike_once(small).select(F.col("key").alias("block"), "sid", "label", F.lit(0).alias("side")))
+        rows = shared.where(F.col("size") > BLOCK).drop("size")
+        if rows.isEmpty():
             break
-        rows = scratch.written(sized.where(F.col("size") > BLOCK).drop("size"), "large")
+        tokens = scratch.written(members.select("sid", "tokens").join(rows.select("sid").distinct(), "sid", "left_semi"), "tokens")
         open_ = scratch.written(_open(rows), "open")
         for r in range(ROUNDS):
             chosen = open_.where((F.col("outside") > BLOCK) & (2 * F.col("outside") > F.col("size")))
             if r < ROUNDS - 1:
-                chosen = chosen.where("tree < 2")  # the trees are alike, and a label counts in all of them
+                chosen = chosen.where(F.col("tree").isin(2 * r, 2 * r + 1))  # the trees are alike, and a label counts in all of them
             if chosen.isEmpty():
                 continue
             cell = F.pmod(F.xxhash64("sid", "tree", F.lit(r)), F.ceil(F.col("size") / BLOCK)).cast("int")
             cells = join_counted(rows, chosen.drop("tree"), "key").select(F.xxhash64("key", F.lit(r), cell).alias("block"), "sid", "label", (F.col("label") == F.col("common")).cast("int").alias("side"))
-            found = scratch.written(_links(_candidates(cells, members, similarity, scratch), sets, similarity), "links")
+            found = scratch.written(_links(_candidates(cells, tokens, similarity, scratch), sets, similarity), "links")
             links.append(found)
             least = found.groupBy("a").agg(F.min("b").alias("b"))
             rows = scratch.written(rows.join(least, own == least["a"], "left").select("key", "tree", "sid", F.coalesce("b", "label").alias("label")), "large")
             open_ = scratch.written(_open(rows), "open")
         near = F.lit(True) if depth == DEPTH else F.col("outside") <= COMPARED
         if not open_.where(near).isEmpty():
-            blocks.append(_outside_against_all(join_counted(rows, open_.where(near).drop("tree"), "key")))
+            blocks.append(_outside_against_all(_as_one(join_counted(rows, open_.where(near).drop("tree"), "key"), scratch)))
         far = open_.where(~near)
         if far.isEmpty():
             break
-        nodes = scratch.written(_children(join_counted(rows, far.drop("tree"), "key").join(members.select("sid", "minima"), "sid").select("key", "tree", "sid", "label", "minima"), similarity), "nodes")
+        nodes = scratch.written(_children(join_counted(rows, far.drop("tree"), "key").join(tokens, "sid").select("key", "tree", "sid", "label", "tokens"), similarity), "nodes")
     every = blocks[0]
     for b in blocks[1:]:
         every = every.unionByName(b)
@@ -327,9 +370,10 @@ class Sets:
         if wanted.count() <= BROADCAST_ROWS:  # else the texts move to their ids
             ids = F.broadcast(ids)
         texts = corpus(self.docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        # several rows may have one doc_id
-        found = _sets(texts, self.words).join(wanted.select("sid", "digest"), "digest").dropDuplicates(["sid"]).select("sid", "shingles")
-        self.made.append(self.scratch.written(found, "sets"))
+        found = self.scratch.written(_sets(texts, self.words).join(wanted.select("sid", "digest"), "digest").select("sid", "shingles"), "sets")
+        if not found.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # several rows may have one doc_id
+            found = self.scratch.written(found.dropDuplicates(["sid"]), "sets")
+        self.made.append(found)
         out = self.made[0]
         for m in self.made[1:]:
             out = out.unionByName(m)
@@ -337,14 +381,18 @@ class Sets:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """digest, shingles (binary) of every row that has words."""
+    """digest, shingles (binary) of the rows that have words, of equal sets of a task one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in slices(batches):
             sets, at = shingle_sets(part.column("text"), words)
-            raw = sets.tobytes()
-            x = [raw[8 * u : 8 * v] for u, v in zip(at[:-1].tolist(), at[1:].tolist()) if v > u]
-            digest = [hashlib.blake2b(s, digest_size=16).digest() for s in x]
+            raw, new = sets.tobytes(), {}
+            for s in (raw[8 * u : 8 * v] for u, v in zip(at[:-1].tolist(), at[1:].tolist()) if v > u):
+                new.setdefault(hashlib.blake2b(s, digest_size=16).digest(), s)
+            digest = [d for d in new if d not in seen]
+            seen.update(digest)
+            x = [new[d] for d in digest]
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(x, pa.binary())], ["digest", "shingles"])
 
     return docs.select("text").mapInArrow(run, "digest binary, shingles binary")
@@ -359,13 +407,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     table gives no row; null ids are greater than any other; other columns are left out.
     """
     early = Scratch(docs.sparkSession, "signed")
-    signed = early.written(signatures(docs, words), "signed")
-    first = [F.first(c).alias(c) for c in ("minima", "tokens")]
+    signed = early.written(signatures(docs, words, trees(similarity)), "signed")
+    first = [F.first(c).alias(c) for c in ("roots", "tokens")]
     members = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), *first)
     # the numbers hold from here on, as they are only ever read from the written table
     members = written(members.withColumn("sid", F.monotonically_increasing_id()), "members")
     signed = written(signed.select("doc_id", "n_shingles", "digest"), "digests")
-    early.remove()  # the minima are the members' from here on
+    early.remove()  # the tokens are the members' from here on
     scratch = Scratch(docs.sparkSession, "near")
     try:
         hung = components(_search(members, Sets(docs, members, words, scratch), similarity, scratch))
