@@ -236,7 +236,8 @@ def _search(members: DataFrame, sets: Sets, similarity: float, scratch: Scratch)
         rows = shared.where(F.col("size") > BLOCK).drop("size")
         if rows.isEmpty():
             break
-        tokens = scratch.written(members.select("sid", "tokens").join(rows.select("sid").distinct(), "sid", "left_semi"), "tokens")
+        ids = scratch.written(rows.select("sid").distinct(), "ids")  # few, so that no member's tokens move for them
+        tokens = scratch.written(members.select("sid", "tokens").join(ids, "sid", "left_semi"), "tokens")
         open_ = scratch.written(_open(rows), "open")
         for r in range(ROUNDS):
             chosen = open_.where((F.col("outside") > BLOCK) & (2 * F.col("outside") > F.col("size")))
@@ -350,7 +351,10 @@ def _links(candidates: DataFrame, sets: Sets, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     d = candidates.select(F.xxhash64("members", "sides").alias("group"), F.explode(F.arrays_zip("members", "labels", "sides")).alias("m"))
-    d = d.select("group", F.col("m.members").alias("sid"), F.col("m.labels").alias("label"), F.col("m.sides").alias("side")).join(sets.of(candidates), "sid")
+    d = d.select("group", F.col("m.members").alias("sid"), F.col("m.labels").alias("label"), F.col("m.sides").alias("side"))
+    if (candidates.agg(F.sum(F.size("members"))).first()[0] or 0) <= BROADCAST_ROWS:  # else the sets move to them
+        d = F.broadcast(d)
+    d = d.join(sets.of(candidates), "sid")
     return d.repartition("group").sortWithinPartitions("group", "side", "sid").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -366,11 +370,11 @@ class Sets:
         for m in self.made:
             wanted = wanted.join(m.select("sid"), "sid", "left_anti")
         wanted = self.scratch.written(self.members.select("sid", "digest", "least").join(wanted, "sid", "left_semi"), "wanted")
-        ids = wanted.select(F.col("least").alias("_id")).distinct()
-        if wanted.count() <= BROADCAST_ROWS:  # else the texts move to their ids
-            ids = F.broadcast(ids)
+        ids, keyed = wanted.select(F.col("least").alias("_id")).distinct(), wanted.select("sid", "digest")
+        if wanted.count() <= BROADCAST_ROWS:  # else the texts move to their ids, and their sets to the members
+            ids, keyed = F.broadcast(ids), F.broadcast(keyed)
         texts = corpus(self.docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        found = self.scratch.written(_sets(texts, self.words).join(wanted.select("sid", "digest"), "digest").select("sid", "shingles"), "sets")
+        found = self.scratch.written(_sets(texts, self.words).join(keyed, "digest").select("sid", "shingles"), "sets")
         if not found.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # several rows may have one doc_id
             found = self.scratch.written(found.dropDuplicates(["sid"]), "sets")
         self.made.append(found)
