@@ -146,7 +146,7 @@ def merged_splits(spark, sf_dir):
 def uncontained_notes(spark, sf_dir):
     """Notes that no earlier note of their pitch class contains."""
     d = notes(spark, sf_dir).withColumn("pc", F.col("midi") % 4)
-    return I.drop_contained(d, ["song_id"], "pos", "pc", "t_start", "t_end")
+    return I.drop_contained(d, ["song_id"], "pos", "pc", "t_start", "t_end").select("song_id", "pc", "pos")
 
 
 @query()
