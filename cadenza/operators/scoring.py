@@ -15,8 +15,9 @@ from cadenza.operators.sequence import by, combos
 #: A frame counts if it comes less than so many seconds after the one before; a note that is closed later
 #: than so many seconds after its end wasn't attempted.
 LONGEST_FRAME, LATE = 0.3, 1.5
-#: Digits of the seconds that a note was hit.
-EXACT = 9
+#: Digits of the seconds that a note was hit and of a section's mean accuracy: the order of a sum shows beyond them alone. A
+#: mean has fewer, as what was cut off its notes adds up.
+EXACT, MEAN = 12, 11
 
 
 def frame_credits(frames: DataFrame, notes: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def session_scores(results: DataFrame) -> DataFrame:
 def section_stamps(results: DataFrame, flips: DataFrame) -> DataFrame:
     """session_id, section, acc, stamp of every page with two attempted notes or more. flips: song_id, t0, t1, section."""
     d = results.where("rating IS NOT NULL").join(flips, "song_id").where("t_end > t0 AND t_end <= t1 + 0.2")
-    d = d.groupBy("session_id", "section").agg(F.avg("acc").alias("acc"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    d = d.groupBy("session_id", "section").agg(F.round(F.avg("acc"), MEAN).alias("acc"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
     return d.withColumn("stamp", stamp(F.col("acc")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.functions.scalars import FULL, LOWEST_STAMP, NONE, RATINGS, STAMPS
-from cadenza.operators.scoring import EXACT, LATE, LONGEST_FRAME
+from cadenza.operators.scoring import EXACT, LATE, LONGEST_FRAME, MEAN
 
 RESULT = """session_id long, kind string, pos int, rating int, acc double, cents double, combo long, max_combo long, score double, stamp string,
 trace array<struct<t:double,shown:double,credit:double>>"""
@@ -134,7 +134,7 @@ class Scorer(StatefulProcessor):
             del pages[section]
             own = [acc for b, acc in self.rated.values() if t0 < b <= t1 + BEYOND]
             if len(own) >= 2:
-                acc = sum(own) / len(own)
+                acc = round(sum(own) / len(own), MEAN)
                 yield self.row(key, "stamp", s, pos=section, acc=acc, stamp=next((x for least, x in STAMPS if acc >= least), LOWEST_STAMP))
         if trace:
             trace = [x for x in [*map(tuple, self.trace.get()), *trace] if x[0] >= last - SHOWN]
