@@ -21,12 +21,13 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 
 
 class Scorer(StatefulProcessor):
-    """State of a session, each a variable of its own in the store: its open notes by position, its pages by number, the
-    accuracy of rated notes that a page still waits for, frames that the watermark hasn't reached by time, the trace's last
-    seconds, and one row of sums. A timer stands at the end of each note, LATE after it, and of each page.
+    """State of a session, each a variable of its own in the store: its open notes, its pages, the accuracy of rated notes
+    that a page still waits for, frames that the watermark hasn't reached, a row of them for each batch, the trace's last
+    seconds, and one row of sums. A timer stands at the next end of a note, LATE after it, or of a page.
 
     Frames are taken in the order of the song's clock once the watermark has passed them, so that the order in which they
-    came doesn't show. A timer looks at where the song's clock is by then: a session that was held waits on.
+    came doesn't show. A timer looks at where the song's clock is by then: a session that was held waits on. A call of the
+    store costs more than the frames that it carries, so lists go as a whole, and nothing is read before something is due.
     """
 
     def __init__(self, trace: bool):
@@ -34,65 +35,92 @@ class Scorer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.notes = handle.getMapState("notes", "pos int", "a double, b double, midi double, hit double, cents double, w double")
-        self.pages = handle.getMapState("pages", "section int", "t0 double, t1 double")
-        self.rated = handle.getMapState("rated", "pos int", "b double, acc double")
-        self.frames = handle.getMapState("frames", "t double", "ms long, midi double")
+        self.notes = handle.getListState("notes", "pos int, a double, b double, midi double, hit double, cents double, w double")
+        self.pages = handle.getListState("pages", "section int, t0 double, t1 double")
+        self.rated = handle.getListState("rated", "b double, acc double")
+        self.frames = handle.getListState("frames", "t array<double>, ms array<long>, midi array<double>")
         self.trace = handle.getListState("trace", "t double, shown double, credit double")
-        self.sums = handle.getValueState("sums", "origin double, t double, shown double, combo long, best long, hit double, dur double")
+        self.sums = handle.getValueState("sums", "origin double, t double, shown double, combo long, best long, hit double, dur double, due long, paged boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        begun, started, notes, pages, frames = self.sums.exists(), None, [], [], {}
+        sums, started, notes, pages, frames = self.sums.get(), None, {}, {}, {}
         for r in rows:
             if r.kind == "frame":
                 if r.t is not None and r.ms is not None and not math.isnan(r.t):
-                    midi = None if r.midi is None or math.isnan(r.midi) else r.midi
-                    frames[r.t] = min(frames.get(r.t, (r.ms, midi)), (r.ms, midi), key=lambda x: (x[1] is not None, x[1] or 0.0))
-            elif not begun:
+                    self.heard(frames, r.t, r.ms, None if r.midi is None or math.isnan(r.midi) else r.midi)
+            elif sums is None:
                 started = r.ms / 1000 if started is None else min(started, r.ms / 1000)
-                (notes if r.kind == "note" else pages).append(r)
-        for t, x in frames.items():
-            held = self.frames.getValue((t,))
-            if held is None or (x[1] is not None, x[1] or 0.0) < (held[1] is not None, held[1] or 0.0):
-                self.frames.updateValue((t,), x)
+                if None not in (r.pos, r.a, r.b) and (r.kind == "page" or r.midi is not None):
+                    (notes if r.kind == "note" else pages)[r.pos] = (r.a, r.b, r.midi)
+        if frames:
+            self.frames.appendList([self.chunk(frames)])
+        now, first = timerValues.getCurrentWatermarkInMs(), min((ms for ms, _ in frames.values()), default=None)
         if started is not None:
-            self.sums.update((started, None, None, 0, 0, 0.0, 0.0))
-            for n in notes:
-                if None not in (n.pos, n.a, n.b, n.midi):
-                    self.notes.updateValue((n.pos,), (n.a, n.b, n.midi, 0.0, 0.0, 0.0))
-                    self.handle.registerTimer(self.due(started, n.b + LATE))
-            for p in pages:
-                if None not in (p.pos, p.a, p.b):
-                    self.pages.updateValue((p.pos,), (p.a, p.b))
-                    self.handle.registerTimer(self.due(started, p.b + BEYOND + LATE))
-        elif not begun and frames:
-            self.handle.registerTimer(max(ms for ms, _ in frames.values()) + int(1000 * PATIENCE))
-        if begun or started is not None:
-            yield from self.taken(key, timerValues.getCurrentWatermarkInMs())
+            yield from self.taken(key, now, (started, None, None, 0, 0, 0.0, 0.0, None, bool(pages)), {pos: [*n, 0.0, 0.0, 0.0] for pos, n in notes.items()}, {k: p[:2] for k, p in pages.items()})
+        elif sums is None:
+            if frames:
+                self.handle.registerTimer(max(ms for ms, _ in frames.values()) + int(1000 * PATIENCE))
+        elif min(x for x in (sums[7], first) if x is not None) <= now:
+            yield from self.taken(key, now, sums)
+        elif first is not None and first < sums[7]:
+            self.sums.update((*sums[:7], first, sums[8]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if not self.sums.exists():
-            for (t,), (ms, _) in list(self.frames.iterator()):
-                if ms + 1000 * PATIENCE <= now:
-                    self.frames.removeKey((t,))
-            return
-        yield from self.taken(key, now)
+        now, sums = timerValues.getCurrentWatermarkInMs(), self.sums.get()
+        if sums is None:
+            self.keep({t: x for t, x in self.held().items() if x[0] + 1000 * PATIENCE > now})
+        elif sums[7] <= now:
+            yield from self.taken(key, now, sums)
 
     @staticmethod
     def due(origin: float, t: float) -> int:
         """When the song's clock will be at t, in whole milliseconds, if it runs on."""
         return math.ceil(1000 * (origin + t)) + 1
 
-    def taken(self, key, now: int) -> Iterator[Row]:
-        """What frames up to the watermark, and the watermark itself, settle."""
-        notes, trace, out, waits = {k[0]: list(v) for k, v in self.notes.iterator()}, [], [], []
-        changed: set[int] = set()
-        origin, last, shown, *totals = self.sums.get()
+    @staticmethod
+    def heard(frames: dict, t: float, ms: int, midi: float | None) -> None:
+        """Of frames at one time one without a pitch counts, else the lowest."""
+        was = frames.get(t)
+        if was is None or (midi is not None, midi or 0.0) < (was[1] is not None, was[1] or 0.0):
+            frames[t] = (ms, midi)
+
+    @staticmethod
+    def chunk(frames: dict) -> tuple:
+        return list(frames), [ms for ms, _ in frames.values()], [midi for _, midi in frames.values()]
+
+    def held(self) -> dict:
+        """Frames that wait, by time."""
+        frames: dict = {}
+        for own in self.frames.get():
+            for t, ms, midi in zip(*own):
+                self.heard(frames, t, ms, midi)
+        return frames
+
+    def keep(self, frames: dict) -> None:
+        if frames:
+            self.frames.put([self.chunk(frames)])
+        else:
+            self.frames.clear()
+
+    def taken(self, key, now: int, sums: tuple, notes: dict | None = None, pages: dict | None = None) -> Iterator[Row]:
+        """What frames up to the watermark, and the watermark itself, settle. notes and pages of a session that begins."""
+        begins = notes is not None
+        origin, last, shown, *totals, _, paged = sums
         s = dict(zip(("combo", "best", "hit", "dur"), totals))
-        reached = sorted((t, *x) for (t,), x in self.frames.iterator() if x[0] <= now)
+        if not begins:
+            notes = {pos: list(n) for pos, *n in self.notes.get()}
+            pages = {section: x for section, *x in self.pages.get()} if paged else {}
+        frames, trace, out, rated, waits, changed = self.held(), [], [], [], [], begins
+        reached = sorted((t, *x) for t, x in frames.items() if x[0] <= now)
+
+        def close(pos: int, t: float) -> None:
+            n = notes.pop(pos)
+            out.append(self.closed(key, pos, n, t, s))
+            if out[-1].rating is not None:
+                rated.append((n[1], out[-1].acc))
+
         for t, ms, midi in reached:
-            self.frames.removeKey((t,))
+            del frames[t]
             dt, last = (0.0 if last is None else t - last), (t if last is None else max(last, t))
             origin = ms / 1000 - t
             if not 0 < dt < LONGEST_FRAME:
@@ -109,46 +137,59 @@ class Scorer(StatefulProcessor):
                     if abs(off) <= NONE:
                         n[4] += off * 100 * dt
                         n[5] += dt
-                    changed.add(on[1])
+                    changed = True
                 trace.append((t, shown, credit))
             for a, pos in sorted((n[0], pos) for pos, n in notes.items() if t > n[1]):
-                out.append(self.closed(key, pos, notes.pop(pos), t, s))
+                close(pos, t)
         for pos, n in sorted(notes.items()):
             at = self.due(origin, n[1] + LATE)
             if at <= now:  # no frame can rate it any more
-                out.append(self.closed(key, pos, notes.pop(pos), math.inf, s))
+                close(pos, math.inf)
             else:
                 waits.append(at)
-        for r in out:
-            self.notes.removeKey((r.pos,))
-        for pos in changed & notes.keys():
-            self.notes.updateValue((pos,), tuple(notes[pos]))
         yield from out
-        pages = {k[0]: v for k, v in self.pages.iterator()}
+        turned = []
         for section, (t0, t1) in sorted(pages.items(), key=lambda x: (x[1][1], x[0])):
             at = self.due(origin, t1 + BEYOND + LATE)
             if at > now:
                 waits.append(at)
-                continue
-            self.pages.removeKey((section,))
-            del pages[section]
-            own = [acc for b, acc in self.rated.values() if t0 < b <= t1 + BEYOND]
-            if len(own) >= 2:
-                acc = round(sum(own) / len(own), MEAN)
-                yield self.row(key, "stamp", s, pos=section, acc=acc, stamp=next((x for least, x in STAMPS if acc >= least), LOWEST_STAMP))
-        if trace:
+            else:
+                turned.append((section, t0, t1))
+                del pages[section]
+        if turned:
+            rated_all = [*self.rated.get(), *rated]
+            for section, t0, t1 in turned:
+                own = [acc for b, acc in rated_all if t0 < b <= t1 + BEYOND]
+                if len(own) >= 2:
+                    acc = round(sum(own) / len(own), MEAN)
+                    yield self.row(key, "stamp", s, pos=section, acc=acc, stamp=next((x for least, x in STAMPS if acc >= least), LOWEST_STAMP))
+        if trace and self.with_trace:
             trace = [x for x in [*map(tuple, self.trace.get()), *trace] if x[0] >= last - SHOWN]
-            self.trace.put(trace)
-            if self.with_trace:
+            if trace:
+                self.trace.put(trace)
                 yield self.row(key, "trace", s, trace=[Row(t=t, shown=x, credit=c) for t, x, c in trace])
+            else:
+                self.trace.clear()
         if not notes and not pages:
-            for state in (self.notes, self.pages, self.rated, self.frames, self.trace, self.sums):
+            for state in (self.notes, self.frames, self.sums, *((self.pages, self.rated) if paged else ()), *((self.trace,) if self.with_trace else ())):
                 state.clear()
             return
-        self.sums.update((origin, last, shown, s["combo"], s["best"], s["hit"], s["dur"]))
-        later = [at for at in waits if at > now]
-        if later:  # the song's clock may have been held since the timers were set
-            self.handle.registerTimer(min(later))
+        if reached:
+            self.keep(frames)
+        if changed or out:
+            if notes:
+                self.notes.put([(pos, *n) for pos, n in notes.items()])
+            else:
+                self.notes.clear()
+        if begins and pages or turned:
+            if pages:
+                self.pages.put([(section, *x) for section, x in pages.items()])
+            else:
+                self.pages.clear()
+        if pages and rated:
+            self.rated.appendList(rated)
+        self.sums.update((origin, last, shown, s["combo"], s["best"], s["hit"], s["dur"], min([*waits, *(ms for ms, _ in frames.values())]), paged))
+        self.handle.registerTimer(min(waits))  # the song's clock may have been held since the last one was set
 
     def closed(self, key, pos: int, n: list, t: float, s: dict) -> Row:
         late, dur, hit = t - n[1] > LATE, n[1] - n[0], round(n[3], EXACT)
@@ -159,7 +200,6 @@ class Scorer(StatefulProcessor):
             s["best"] = max(s["best"], s["combo"])
             s["hit"] += min(hit, dur)
             s["dur"] += dur
-            self.rated.updateValue((pos,), (n[1], acc))
         return self.row(key, "note", s, pos=pos, rating=rate, acc=acc, cents=n[4] / n[5] if n[5] else None)
 
     @staticmethod
