@@ -15,9 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[Iterable[dict]], Iterable[tuple]], batch: int = 20_000, order: list | None = None) -> DataFrame:
+def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str, fold: Callable[[Iterable[dict]], Iterable[tuple]], batch: int = 20_000, order: list | None = None, dealt: bool = False) -> DataFrame:
     """keys and schema: what `fold` makes of each group's rows: a list in no particular order or, with `order` (names or
-    columns), an iterator in that order, of which no more than a batch is in memory."""
+    columns), an iterator in that order, of which no more than a batch is in memory. dealt: df is what a fold over these keys
+    gave, so a group's rows are in one task already and are sorted there, without a shuffle."""
     d = df.select(*dict.fromkeys([*keys, *columns]))
     ordered, names = order is not None, d.columns
     full = StructType([d.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
@@ -39,4 +40,4 @@ def fold_groups(df: DataFrame, keys: list[str], columns: list[str], schema: str,
         if out:
             yield made()
 
-    return d.repartition(*keys).sortWithinPartitions(*keys, *order or ()).mapInArrow(run, full)
+    return (d if dealt else d.repartition(*keys)).sortWithinPartitions(*keys, *order or ()).mapInArrow(run, full)

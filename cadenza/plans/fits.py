@@ -187,5 +187,5 @@ def at_pace(n):
 def deduped_notes(spark, sf_dir):
     """What becomes of colliding notes of each sweep: the audit log's reasons and the notes kept."""
     n = at_pace(notes(spark, sf_dir)).withColumn("pitch", F.col("midi") % 4)
-    d = n.join(confirmed_sweeps(n, ["song_id"], "pos", 300.0), ["song_id", "pos"])
-    return dedupe_sweep(d, ["song_id"], "sweep", "pos", "pitch", F.col("page"))
+    d = confirmed_sweeps(n, ["song_id"], "pos", 300.0, ["x0", "x1", "t_start", "t_end", "pitch", "page"])
+    return dedupe_sweep(d, ["song_id"], "sweep", "pos", "pitch", F.col("page"), dealt=True)

@@ -37,8 +37,9 @@ def notes(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> Data
     lines = table(spark, sf_dir, "lineitem")
     if of is not None:
         lines = lines.join(of.select(F.col("song_id").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi")
-    return lines.select(
-        F.col("l_orderkey").alias("song_id"), (F.row_number().over(w) - 1).alias("pos"), F.col("l_quantity").alias("t_start"),
+    # numbered before anything is computed: the shuffle has the table's own columns alone, and the songs stay where it put them
+    return lines.withColumn("pos", F.row_number().over(w) - 1).select(
+        F.col("l_orderkey").alias("song_id"), "pos", F.col("l_quantity").alias("t_start"),
         (F.col("l_quantity") + (F.col("l_partkey") % 8 + 1) * 0.5).alias("t_end"), (F.lit(40) + F.col("l_suppkey") % 40).alias("midi"),
         F.col("l_linenumber").alias("page"), (F.col("l_partkey") % 600).cast("double").alias("x0"),
         (F.col("l_partkey") % 600 + 10 + F.col("l_suppkey") % 50).cast("double").alias("x1"), (F.col("l_partkey") % 23 * 7.5).alias("cy"))
