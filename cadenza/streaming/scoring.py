@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,7 +32,7 @@ class Scorer(StatefulProcessor):
     """
 
     def __init__(self, trace: bool):
-        self.with_trace = trace
+        self.with_trace, self.fields = trace, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,13 +46,16 @@ class Scorer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sums, started, notes, pages, frames = self.sums.get(), None, {}, {}, {}
         for r in rows:
-            if r.kind == "frame":
-                if r.t is not None and r.ms is not None and not math.isnan(r.t):
-                    self.heard(frames, r.t, r.ms, None if r.midi is None or math.isnan(r.midi) else r.midi)
+            if self.fields is None:  # a row's names are looked up once
+                self.fields = itemgetter(*map(r.__fields__.index, ("kind", "pos", "a", "b", "midi", "ms")))
+            kind, pos, a, b, midi, ms = self.fields(r)
+            if kind == "frame":
+                if a is not None and ms is not None and not math.isnan(a):
+                    self.heard(frames, a, ms, None if midi is None or math.isnan(midi) else midi)
             elif sums is None:
-                started = r.ms / 1000 if started is None else min(started, r.ms / 1000)
-                if None not in (r.pos, r.a, r.b) and (r.kind == "page" or r.midi is not None):
-                    (notes if r.kind == "note" else pages)[r.pos] = (r.a, r.b, r.midi)
+                started = ms / 1000 if started is None else min(started, ms / 1000)
+                if None not in (pos, a, b) and (kind == "page" or midi is not None):
+                    (notes if kind == "note" else pages)[pos] = (a, b, midi)
         if frames:
             self.frames.appendList([self.chunk(frames)])
         now, first = timerValues.getCurrentWatermarkInMs(), min((ms for ms, _ in frames.values()), default=None)
@@ -68,7 +72,9 @@ class Scorer(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, sums = timerValues.getCurrentWatermarkInMs(), self.sums.get()
         if sums is None:
-            self.keep({t: x for t, x in self.held().items() if x[0] + 1000 * PATIENCE > now})
+            frames = self.held()
+            if frames:
+                self.keep({t: x for t, x in frames.items() if x[0] + 1000 * PATIENCE > now})
         elif sums[7] <= now:
             yield from self.taken(key, now, sums)
 
@@ -231,7 +237,7 @@ def score_stream(frames: DataFrame, starts: DataFrame, notes: DataFrame, flips:
         pages = flips.select("song_id", F.lit("page").alias("kind"), F.col("section").cast("int").alias("pos"), number("t0").alias("a"), number("t1").alias("b"))
         own = own.unionByName(pages, allowMissingColumns=True)
     songs = starts.select(F.col("session_id").cast("long").alias("session_id"), "song_id", at).join(own, "song_id").drop("song_id")
-    sung = frames.select(F.col("session_id").cast("long").alias("session_id"), F.lit("frame").alias("kind"), at, number("t").alias("t"), number("midi").alias("midi"))
+    sung = frames.select(F.col("session_id").cast("long").alias("session_id"), F.lit("frame").alias("kind"), at, number("t").alias("a"), number("midi").alias("midi"))
     # one watermark for both, so that a stream in which nothing starts doesn't hold it back
     d = songs.unionByName(sung, allowMissingColumns=True).withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
     return d.groupBy("session_id").transformWithState(Scorer(trace), RESULT, "Append", "eventTime")

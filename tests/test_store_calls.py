@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import Row
+
 from cadenza.streaming.scoring import Scorer
 
 
@@ -74,9 +76,9 @@ def run(trace):
     """A session of three notes and 300 frames in five batches; with a trace its last third is silent."""
     handle, scorer, now = Handle(), Scorer(trace), SimpleNamespace(getCurrentWatermarkInMs=lambda: clock[0])
     scorer.init(handle)
-    row = lambda kind, **x: SimpleNamespace(**dict.fromkeys(("pos", "a", "b", "midi", "t", "ms")) | {"kind": kind} | x)
+    row = lambda kind, **x: Row(**dict.fromkeys(("session_id", "pos", "a", "b", "midi", "t", "ms")) | {"kind": kind} | x)
     start = [row("note", pos=i, a=2.0 + 5 * i, b=4.0 + 5 * i, midi=60.0, ms=1000) for i in range(3)]
-    frames = [row("frame", t=0.1 * i, midi=None if trace and i >= 200 else 60.0, ms=1000 + 100 * i) for i in range(1, 301)]
+    frames = [row("frame", t=0.1 * i, a=0.1 * i, midi=None if trace and i >= 200 else 60.0, ms=1000 + 100 * i) for i in range(1, 301)]
     clock, out = [0], []
     for n in range(5):
         out += scorer.handleInputRows((1,), iter((start if n == 1 else []) + frames[n::5]), now)
